@@ -17,6 +17,11 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
 
 
+def pinned(rows: DataFrame) -> DataFrame:
+    """The same rows behind a generator, so that what was computed is not written out again for each use above."""
+    return rows.select(F.inline(F.array(F.struct(*[F.col(c) for c in rows.columns]))))
+
+
 def chunks(docs: DataFrame, boundary: Column | None = None, most_lines: int = 151, key: str = "doc_id", text: str = "text", name: Column | None = None) -> DataFrame:
     """Chunks of a document: a boundary line begins one, and every `most_lines` lines of it another; blank ones are dropped.
 

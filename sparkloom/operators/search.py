@@ -177,12 +177,12 @@ def embedding_top(rows: DataFrame, query: Sequence[float], k: int = 5, vector: s
 def bm25(counts: DataFrame, query: Sequence[str], key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """key, score of documents with a query term; counts: key, term, n."""
     lengths = counts.groupBy(key).agg(F.sum("n").alias("len"))
-    stats = lengths.agg(F.count("*").alias("N"), F.avg("len").alias("avg"))
+    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean"))
     hits = counts.where(F.col("term").isin(*query))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))  # at most a row for each query term
     rows = hits.join(lengths, key).join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     return rows.groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
 
 
