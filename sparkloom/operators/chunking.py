@@ -75,11 +75,8 @@ def depth_end(rows: DataFrame, opens: Column, closes: Column, key: list[str], li
 def parents(items: DataFrame, levels: list[int], key: str = "doc_id", line: str = "line_no", level: str = "level", never: int = 88) -> DataFrame:
     """parent: the nearest earlier item of a smaller level; items of level `never` are no parents."""
     by = Window.partitionBy(key).orderBy(line).rowsBetween(Window.unboundedPreceding, -1)
-    best = F.lit(None).cast("long")
-    for k in sorted(levels):
-        if k != never:
-            seen = F.last(F.when(F.col(level) == k, F.col(line)), ignorenulls=True).over(by)
-            best = F.when(F.col(level) > k, F.greatest(F.coalesce(best, F.lit(-1)), F.coalesce(seen, F.lit(-1)))).otherwise(best)
+    seen = lambda k: F.last(F.when(F.col(level) == k, F.col(line)), ignorenulls=True).over(by)
+    best = F.greatest(F.lit(-1), *[F.coalesce(F.when(F.col(level) > k, seen(k)), F.lit(-1)) for k in sorted(levels) if k != never])
     return items.withColumn("parent", F.when(best >= 0, best))
 
 

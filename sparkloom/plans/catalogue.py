@@ -1,3 +1,24 @@
-"""All queries of the library by name."""
-def queries(): return {}
-def oracle_sql(): return {}
+"""All queries of the library by name, with their SQL where there is one."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import checks, corpus, learning, search, structure
+
+_ALL = corpus.QUERIES | search.QUERIES | checks.QUERIES | structure.QUERIES | learning.QUERIES
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked search over documents by query words, category and name."""
+    return search.enhanced_search(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: run for name, (run, _) in _ALL.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _ALL.items() if sql is not None}
