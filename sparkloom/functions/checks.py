@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,10 +122,6 @@ def invalid_characters(value: Column) -> Column:
 
 def nfc(value: Column) -> Column:
     """Normal form C; a pandas UDF, as there is no built-in."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def normal(s: pd.Series) -> pd.Series:
         return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +70,6 @@ def embed(rows: DataFrame, provider=None, size: int = 64, text: str = "content")
         spot = lambda w, i: F.pmod(F.xxhash64(w), F.lit(size)) == i
         vector = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(words, lambda w: spot(w, i))).cast("float"))
         return rows.withColumn("embedding", vector)
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def made(texts: pd.Series) -> pd.Series:
         held = []

@@ -103,7 +103,7 @@ def longest_path(edges: DataFrame, depth: int = 32) -> DataFrame:
     level = roots.withColumn("depth", F.lit(0))
     found = level
     for k in range(1, depth + 1):
-        level = level.join(pairs, (level.doc_id == pairs.doc_id) & (level.name == pairs.caller)).select(pairs.doc_id, pairs.target.alias("name"), F.lit(k).alias("depth")).distinct()
+        level = level.select("doc_id", F.col("name").alias("caller")).join(pairs, ["doc_id", "caller"]).select("doc_id", F.col("target").alias("name"), F.lit(k).alias("depth")).distinct()
         if level.isEmpty():
             break
         found = found.unionByName(level)

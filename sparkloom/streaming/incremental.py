@@ -12,14 +12,14 @@ from ..operators import catalog, chunking
 
 
 def file_stream(spark: SparkSession, path: str, pattern: str = "*.txt", files_each: int = 1000) -> DataFrame:
-    """name, content of files as they arrive."""
+    """source_file (its name), content of files as they arrive."""
     rows = spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_each).schema("value string").load(path)
-    return rows.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\z", 1).alias("name"), F.col("value").alias("content"))
+    return rows.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\z", 1).alias("source_file"), F.col("value").alias("content"))
 
 
 def index_stream(files: DataFrame, table: str, checkpoint: str, chunker: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Keeps path/batch=N folders of chunks; a batch that is retried replaces its own folder. Runs until the input is used up."""
-    chunk = chunker or (lambda rows: chunking.chunks(rows, None, 100, "name", "content"))
+    chunk = chunker or (lambda rows: chunking.chunks(rows, None, 100, "source_file", "content"))
 
     def put(batch: DataFrame, number: int) -> None:
         chunk(batch).write.mode("overwrite").parquet(f"{table}/batch={number}")
@@ -30,12 +30,12 @@ def index_stream(files: DataFrame, table: str, checkpoint: str, chunker: Callabl
 def current(spark: SparkSession, table: str) -> DataFrame:
     """The chunks of each document's last batch."""
     rows = spark.read.option("basePath", table).parquet(f"{table}/batch=*")
-    last = rows.groupBy("name").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["name", "batch"], "left_semi")
+    last = rows.groupBy("source_file").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["source_file", "batch"], "left_semi")
 
 
 def refreshed(spark: SparkSession, table: str, known: DataFrame, now: DataFrame) -> tuple[DataFrame, DataFrame]:
     """After a diff of fingerprints: the chunks without those of removed documents, and the new catalog."""
     changes = catalog.diff(known, now)
-    gone = changes.where("status = 'removed'").select("name")
-    return current(spark, table).join(gone, "name", "left_anti"), now
+    gone = changes.where("status = 'removed'").select(F.col("name").alias("source_file"))
+    return current(spark, table).join(gone, "source_file", "left_anti"), now
