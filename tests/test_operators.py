@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import checks
 from sparkloom.functions import text as fx
-from sparkloom.operators import chunking, graphs, learning, lexicons, prompts, search, structure, validation
+from sparkloom.operators import chunking, graphs, learning, lexicons, programs as facts, prompts, search, structure, validation
 from sparkloom.plans import structure as programs
 
 
@@ -156,6 +156,28 @@ def test_confusion(spark):
     assert [tuple(r) for r in learning.confusion(rows).orderBy("label").collect()] == [(0.0, 1.0, 0.5, 0.666667, 2), (1.0, 0.5, 1.0, 0.666667, 1)]
 
 
+def test_program_facts(spark):
+    rows = lambda text: programs.lines_of(spark, text.split("\n"))
+    out = facts.replace_scopes(rows("MOVE A TO B.\nREPLACE ==A== BY ==C==.\nMOVE A TO AB.\nREPLACE OFF.\nMOVE A TO B.")).orderBy("line_no").collect()
+    assert [r.line for r in out] == ["MOVE A TO B.", "MOVE C TO AB.", "MOVE A TO B."]
+    code = facts.procedure_code(rows("First.\n  MOVE 1 TO X\n\n  ADD 1 TO X\n\n\n  GONE\nSecond.\n  STOP RUN"), spark.createDataFrame([(1, "first"), (1, "second")], "doc_id long, name string"))
+    assert {r["name"]: r.code for r in code.collect()} == {"first": "First.\n  MOVE 1 TO X\n\n  ADD 1 TO X\n", "second": "Second.\n  STOP RUN"}
+    expected = spark.createDataFrame([(1, "readFile"), (1, "init"), (1, "done")], "doc_id long, name string")
+    found = spark.createDataFrame([(1, "INIT")], "doc_id long, name string")
+    lines = rows("* readFile comes here\n* next\n  PERFORM readFile\ninit.\ndone. x")
+    assert sorted(map(tuple, facts.recovered(lines, found, expected).collect())) == [(1, "done", 4), (1, "readFile", 2)]
+    heads = facts.completed(rows("MOVE A TO B.")).orderBy("place").collect()
+    assert [r.line.strip() for r in heads] == ["IDENTIFICATION DIVISION.", "PROGRAM-ID. PROG1.", "PROCEDURE DIVISION.", "MOVE A TO B."]
+    tree = spark.createDataFrame([(1, 0, 0, "a"), (1, 1, 1, "b"), (1, 2, 2, "c"), (1, 3, 1, "d")], "doc_id int, line_no int, level int, value string")
+    assert facts.lisp(tree).first()["text"] == "(a (b (c)) (d))"
+    assert one(spark, facts.filled(F.col("t"), {"name": F.lit("x")}), t="call ${name};") == "call x;"
+    said = facts.reasoning(F.col("t"), F.lit(True), F.lit(2), F.lit(3), F.array(F.lit("IF"), F.lit("READ")))
+    assert one(spark, said, t="MAIN-READ") == "enhanced scoring v2.0, in PROCEDURE DIVISION, business logic naming (+30.0), 2 PERFORM refs, 3 stmts, 2 types, file I/O, control logic, main procedure pattern"
+    assert one(spark, facts.hybrid(F.lit(3), F.lit(4)), t="") and not one(spark, facts.hybrid(F.lit(0), F.lit(0)), t="")
+    struct = facts.tal_items(rows("STRUCT rec (*);\nBEGIN\n  INT a;\n  STRING b[0:9];\nEND;\nINT c;\nINT a;")).orderBy("line_no").collect()
+    assert [(r["name"], r.kind, r.struct) for r in struct] == [("rec", "STRUCT", None), ("a", "MEMBER", "rec"), ("b", "MEMBER", "rec"), ("c", "VAR", None)]
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.sampled_from(["IF", "END-IF", "MOVE", "STATEMENT", "EXEC_SQL", "END-EXEC", "EVALUATE", "END-EVALUATE"]), min_size=1, max_size=12))
 def test_blocks_equal_the_loop(kinds):
