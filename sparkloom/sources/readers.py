@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import catalog
@@ -68,9 +68,10 @@ def record_file(spark: SparkSession, path: str, row_index: str = "row_index") ->
     # Files are read in partitions of increasing ids; offsets of partitions come from their counts, so no global sort.
     held = rows.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
     counts = held.groupBy("__part").agg(F.count("*").alias("n"))
-    offsets = counts.alias("a").join(counts.alias("b"), F.col("b.__part") < F.col("a.__part"), "left").groupBy("a.__part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__part", before.alias("before"))  # a row a partition
     place = F.col("before") + F.col("__id") - F.shiftleft(F.col("__part"), 33) + 2
-    return held.join(F.broadcast(offsets), "__part").withColumn(row_index, place.cast("long")).drop("__id", "__part", "before")  # a row a partition
+    return held.join(offsets, "__part").withColumn(row_index, place.cast("long")).drop("__id", "__part", "before")
 
 
 def corpus(spark: SparkSession, path: str, defaults: dict[str, object] | None = None) -> DataFrame:
