@@ -148,30 +148,96 @@ def _close(a: str = "na", b: str = "nb"):
     return (NUMERATOR + DENOMINATOR) * small >= NUMERATOR * total
 
 
-def verify(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes whose multiset similarity reaches the threshold; blobs: node, blob."""
-    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+def elements(sorted_shingles: np.ndarray) -> np.ndarray:
+    """The multiset as a sorted set: the k-th occurrence of a shingle is an element of its own."""
+    if not len(sorted_shingles):
+        return sorted_shingles
+    starts = np.flatnonzero(np.r_[True, sorted_shingles[1:] != sorted_shingles[:-1]])
+    nth = np.arange(len(sorted_shingles)) - np.repeat(starts, np.diff(np.r_[starts, len(sorted_shingles)]))
+    out = common.mix(sorted_shingles + nth.astype(np.uint64) * _MULTIPLIERS[2])
+    out.sort()
+    return out
+
+
+COMPARED = T.StructType(
+    [
+        T.StructField("a", T.BinaryType()),
+        T.StructField("b", T.BinaryType()),
+        T.StructField("nb", T.LongType()),
+        T.StructField("inter", T.LongType()),
+        T.StructField("linked", T.BooleanType()),
+        T.StructField("rest", T.ArrayType(T.LongType())),
+    ]
+)
+
+
+def _elements_of(blob: bytes, hashes: common.WordHashes) -> np.ndarray:
+    return elements(shingles(hashes.of(zstandard.ZstdDecompressor().decompress(blob).split(b" "))))
+
+
+#: Leaders of LOOK members or more: about SAMPLE of them are looked at for elements that several hold.
+LOOK, SAMPLE, OFTEN = 32, 64, 6
+
+
+def frequent(stars: DataFrame, blobs: DataFrame) -> DataFrame:
+    """a, often, late: elements that OFTEN, and that 2 or more, of about SAMPLE members of a leader hold.
+
+    They only speed up what follows: any choice is right.
+    """
+    shape = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("own", T.ArrayType(T.LongType()))])
+    sizes = stars.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") >= LOOK)
+    some = stars.select("a", "b").join(sizes, "a").where(F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / SAMPLE)) == 0)
+    hashes = common.WordHashes()
 
     def make(batch):
-        unpack, hashes, kept, out = zstandard.ZstdDecompressor(), common.WordHashes(), {}, []
+        return {"a": batch.column(0), "own": [_elements_of(x, hashes).view(np.int64) for x in batch.column(1).to_pylist()]}
+
+    held = common.map_rows(some.join(blobs.withColumnRenamed("node", "b"), "b").select("a", "blob"), make, shape)
+    counts = held.select("a", F.explode("own").alias("e")).groupBy("a", "e").agg(F.count("*").alias("n")).where("n > 1")
+    held = lambda c: F.collect_list(F.when(c, F.col("e")))
+    return counts.groupBy("a").agg(held(F.col("n") >= OFTEN).alias("often"), held(F.col("n") < OFTEN).alias("late"))
 
-        def bag(blob):
-            s = shingles(hashes.of(unpack.decompress(blob).split(b" ")))
-            return weights(s), len(s)
 
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for i, (x, blob_x, blob_y) in enumerate(zip(a, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            if x not in kept:
-                kept = {x: bag(blob_x)}  # pairs of one leader mostly come together
-            (wx, nx), (wy, ny) = kept[x], bag(blob_y)
-            if (NUMERATOR + DENOMINATOR) * overlap(wx, wy) >= NUMERATOR * (nx + ny):
-                out.append(i)
-        return {"a": [a[i] for i in out], "b": [b[i] for i in out]}
+def compare(pairs: DataFrame, blobs: DataFrame, around: DataFrame | None = None, least: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes: size of b, whether they are similar enough, and, given around (frequent), `inter` and `rest`.
+
+    Let q be the elements of a and those that are frequent around it. inter: how many elements of b are in q. rest: of
+    the others, those that several hold last, the first that must hold a common one with whatever is similar to b without
+    owing it to q. A partner has at least m = max(0.8 |b|, least) elements, least being the smallest size among those led by a. It
+    shares 4 (|b| + m) / 9 with b, at most `inter` of them in q; so it shares k = 4 (|b| + m) / 9 - inter outside, and one
+    of the first |rest| - k + 1 (prefix filter).
+    """
+    with_rest = around is not None
+    hashes = common.WordHashes()
+
+    def make(batch):
+        kept, inter, size, linked, rest = {}, [], [], [], []
+        a, b, blob_a, blob_b, often, late = (batch.column(i) for i in range(6))
+        smallest = batch.column(6).to_pylist()
+        for i, (x, blob_x, blob_y) in enumerate(zip(a.to_pylist(), blob_a.to_pylist(), blob_b.to_pylist(), strict=True)):
+            if x not in kept:  # pairs of one leader mostly come together
+                lists = [np.array(c[i].as_py() or [], np.int64).view(np.uint64) for c in (often, late)]
+                kept = {x: (_elements_of(blob_x, hashes), *lists)}
+            (ex, more, last), ey = kept[x], _elements_of(blob_y, hashes)
+            outside = ey[~np.isin(ey, ex, assume_unique=True)]
+            size.append(len(ey))
+            linked.append((NUMERATOR + DENOMINATOR) * (len(ey) - len(outside)) >= NUMERATOR * (len(ex) + len(ey)))
+            if with_rest:
+                outside = outside[~np.isin(outside, more, assume_unique=True)]
+                inter.append(len(ey) - len(outside))
+                partner = max(-(-NUMERATOR * len(ey) // DENOMINATOR), smallest[i])
+                k = -(-NUMERATOR * (len(ey) + partner) // (NUMERATOR + DENOMINATOR)) - inter[-1]
+                held = np.isin(outside, last, assume_unique=True)
+                outside = np.concatenate([outside[~held], outside[held]])
+                rest.append(outside[: len(outside) - max(k, 1) + 1].view(np.int64))
+        return {"a": a, "b": b, "nb": size, "linked": linked} | ({"inter": inter, "rest": rest} if with_rest else dict.fromkeys(("inter", "rest"), [None] * len(size)))
 
     left = blobs.select(F.col("node").alias("a"), F.col("blob").alias("blob_a"))
+    nothing = {c: F.lit(None).cast("array<bigint>") for c in ("often", "late")} | {"least": F.lit(0).cast("long")}
+    left = left.join(around, "a", "left").join(least, "a") if with_rest else left.withColumns(nothing)
     right = blobs.select(F.col("node").alias("b"), F.col("blob").alias("blob_b"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a")
-    return common.map_rows(both.select("a", "b", "blob_a", "blob_b"), make, schema)
+    return common.map_rows(both.select("a", "b", "blob_a", "blob_b", "often", "late", "least"), make, COMPARED)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -203,45 +269,56 @@ def classes(signed: DataFrame) -> DataFrame:
         "nodes",
     )
     rows = nodes.select("node", "n", F.explode("bands").alias("key"))
-    leaders = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
-    shared = common.stored(
-        rows.join(leaders, "key").select("key", "size", "node", "n", F.col("lead.node").alias("a"), F.col("lead.n").alias("na")), "buckets"
-    )
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = common.stored(rows.join(sizes, "key"), "buckets")
+    # The leader of a bucket is its node that meets most others over all its buckets: the likely origin of its copies.
+    central = shared.groupBy("node").agg(F.sum("size").alias("met"))
+    leaders = shared.join(central, "node").groupBy("key").agg(F.max(F.struct("met", "node", "n")).alias("lead"))
+    shared = common.stored(shared.join(leaders, "key").select("key", "size", "node", "n", F.col("lead.node").alias("a"), F.col("lead.n").alias("na")), "led")
     # Blobs of the nodes that share a bucket, one row a node.
     copies = worded.select("node", "blob").join(shared.select("node").distinct(), "node", "left_semi")
     blobs = common.stored(copies.groupBy("node").agg(F.first("blob").alias("blob")), "blobs")
-    stars = common.stored(
-        shared.where(F.col("node") != F.col("a")).groupBy("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"))
-        .agg(F.count("*").alias("agree")).where(_close()), "stars",
-    )
-    # First each node with the leader it shares most bands with, then what that left apart.
-    first = stars.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a"))
-    edges = common.stored(verify(first, blobs), "first")
-    labels = components(edges)
-    more = apart(stars, labels)
-    edges = common.stored(edges.union(verify(more, blobs)), "second")
-    labels = components(edges)
-    # Whatever else a bucket holds from two components, pair by pair, so that no link is lost.
-    held = shared.where("size > 2").join(labels, "node", "left").select("key", "node", "n", "a", F.coalesce("label", "node").alias("label"))
-    mixed = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    held = common.stored(held.join(mixed.select("key"), "key", "left_semi"), "mixed")
-    x = held.select("key", "a", F.col("node").alias("p"), F.col("n").alias("na"), F.col("label").alias("lp"))
-    y = held.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lq"))
-    rest = x.join(y, "key").where((F.col("p") < F.col("b")) & (F.col("lp") != F.col("lq")) & (F.col("p") != F.col("a")) & (F.col("b") != F.col("a"))).where(_close())
-    rest = rest.select(F.col("p").alias("a"), "b").distinct()
-    edges = common.stored(edges.union(verify(rest, blobs)), "third")
-    labels = components(edges)
+    stars = shared.where(F.col("node") != F.col("a")).groupBy("a", F.col("node").alias("b"), "na", F.col("n").alias("nb")).agg(F.max("size").alias("size"))
+    least = shared.groupBy("a").agg(F.min("n").alias("least"))
+    stars = common.stored(stars.where(_close() | (F.col("size") > 2)).select("a", "b"), "pairs")
+    stars = common.stored(compare(stars, blobs, frequent(stars, blobs), least), "stars")
+    links = stars.where("linked").select("a", "b")
+    labels = components(links)
+    missed = common.stored(compare(unled(shared, stars, labels), blobs), "missed")
+    labels = components(links.unionByName(missed.where("linked").select("a", "b")))
     named = nodes.join(labels, "node", "left").select("node", "id", "copies", F.coalesce("label", "node").alias("label"))
     sums = named.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
     return named.join(sums, "label").select("node", "label", "class_id", "class_size")
 
 
-def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components so far."""
-    la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-    lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    joined = pairs.join(la, "a", "left").join(lb, "b", "left")
-    return joined.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+def unled(shared: DataFrame, stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one bucket, in different components so far, that may be similar; its leader's pairs are known.
+
+    Both y and z have been compared with q, the leader's elements and the frequent ones around it. They overlap by at
+    most min of what each has in q, and what they share outside it. So either they share an element of both `rest` lists, or z is so short
+    that what they have in q is enough: 4 (|y| + |z|) <= 9 min(inter). No other pair of the bucket is looked at.
+    """
+    held = shared.where("size > 2").join(labels, "node", "left").select("key", "node", "a", F.coalesce("label", "node").alias("label"))
+    mixed = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    led = labels.select(F.col("node").alias("a"), F.col("label").alias("leads"))
+    met = held.join(mixed.select("key"), "key", "left_semi").select("a", F.col("node").alias("b"), "label").distinct()
+    met = met.join(led, "a", "left").withColumn("astray", F.col("label") != F.coalesce("leads", "a"))
+    met = common.stored(met.join(stars, ["a", "b"]).select("a", "b", "label", "astray", "nb", "inter", "rest"), "mixed")
+    side = lambda rows, s, *more: rows.select("a", F.col("b").alias(s), F.col("nb").alias(f"n_{s}"), F.col("label").alias(f"l_{s}"), F.col("inter").alias(f"o_{s}"), *more)
+    apart = (F.col("l_y") != F.col("l_z")) & _close("n_y", "n_z")
+    element = F.explode("rest").alias("e")
+    by_rest = side(met.where("astray"), "y", element).join(side(met, "z", element, F.col("astray").alias("also")), ["a", "e"])
+    by_rest = by_rest.where(apart & (~F.col("also") | (F.col("y") < F.col("z"))))
+    # Lengths in steps of 2 %: y looks at those from 0.8 |y| to 9/4 inter - |y|, none for most.
+    step = lambda n: F.floor(F.log(n) / F.log(F.lit(1.02)))
+    covered = met.where(DENOMINATOR * F.col("inter") >= NUMERATOR * F.col("nb"))
+    longest = F.col("inter") * (NUMERATOR + DENOMINATOR) / NUMERATOR - F.col("nb")
+    lengths = F.explode(F.sequence(step(F.col("nb") * NUMERATOR / DENOMINATOR) - 1, step(longest) + 1)).alias("step")
+    short = side(covered.where("astray").where(longest >= F.col("nb") * NUMERATOR / DENOMINATOR), "y", lengths)
+    by_length = short.join(side(covered, "z", step(F.col("nb")).alias("step")), ["a", "step"]).where(apart)
+    by_length = by_length.where(NUMERATOR * (F.col("n_y") + F.col("n_z")) <= (NUMERATOR + DENOMINATOR) * F.least("o_y", "o_z"))
+    both = by_rest.select("y", "z").unionByName(by_length.select("y", "z"))
+    return both.select(F.least("y", "z").alias("a"), F.greatest("y", "z").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -269,7 +346,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
         out = {name: batch.column(i) for i, name in enumerate(names)}
         return out | {"__node": [node_of(common.folded_words(t)) for t in batch.column(at).to_pylist()]}
 
-    # Wordless rows match no class and stay.
+    # Wordless rows match no class and stay. The texts are shuffled once, or not at all where the classes are few.
     marked = common.map_rows(docs, make, schema).join(found, "__node", "left")
-    worded = marked.where("__label is not null and doc_id <=> __class").dropDuplicates(["__label"])
-    return worded.unionByName(marked.where("__label is null")).select(names)
+    kept = marked.where("__label is null or doc_id <=> __class")
+    named = signed.select("doc_id", F.col("node").alias("__node")).join(found, "__node").where("doc_id <=> __class")
+    if named.groupBy("__label").count().where("count > 1").isEmpty():
+        return kept.select(names)
+    # Only with repeated rows: several are of the class's smallest doc_id, and one of them stays.
+    return kept.where("__label is not null").dropDuplicates(["__label"]).unionByName(kept.where("__label is null")).select(names)
