@@ -122,7 +122,10 @@ class Windows:
 
 
 def matches(windows: np.ndarray, count: np.ndarray, begin: np.ndarray, keys: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) pairs. keys: sorted term * _SPAN + position; begin, count: of each term's list in keys."""
+    """(window, place) pairs: a match's start, or with slop the place of its rarest term. keys: sorted term * _SPAN + position; begin, count: of each term's list in keys.
+
+    A match is a start from which every term has an occurrence at most `slop` words from its offset.
+    """
     width = windows.shape[1]
     alive = np.flatnonzero((count[windows] > 0).all(axis=1))
     if not len(alive):
@@ -132,19 +135,20 @@ def matches(windows: np.ndarray, count: np.ndarray, begin: np.ndarray, keys: np.
     many = count[rarest]
     row = np.repeat(np.arange(len(alive)), many)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    start = keys[begin[rarest][row] + nth] % _SPAN - order[row, 0]
-    fits = start >= 0
-    row, start = row[fits], start[fits]
+    place = keys[begin[rarest][row] + nth] % _SPAN
+    shifts = np.arange(-slop, slop + 1)
+    row, place, shift = np.repeat(row, len(shifts)), np.repeat(place, len(shifts)), np.tile(shifts, len(row))
+    start = place - order[row, 0] + shift
     for k in range(1, width):
         if not len(row):
             break
         offset = order[row, k]
-        wanted = windows[alive[row], offset] * _SPAN + np.maximum(start + offset - slop, 0)
-        found = np.searchsorted(keys, wanted)
-        near = keys[np.minimum(found, len(keys) - 1)] - wanted
-        fits = (found < len(keys)) & (near >= 0) & (near <= 2 * slop)
-        row, start = row[fits], start[fits]
-    return alive[row], start
+        first, last = np.maximum(start + offset - slop, 0), start + offset + slop
+        term = windows[alive[row], offset] * _SPAN
+        found = np.searchsorted(keys, term + first)
+        fits = (last >= 0) & (keys[np.minimum(found, len(keys) - 1)] <= term + last) & (found < len(keys))
+        row, start, place = row[fits], start[fits], place[fits]
+    return alive[row], place - (order[row, 0] if not slop else 0)
 
 
 HITS = T.StructType(
@@ -248,7 +252,10 @@ def search(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """One row a document: words, words inside an occurrence of a window, items found, their digest, proximity items."""
+    """One row a document: words, words inside an occurrence of a window, items found, their digest, proximity items.
+
+    n_near_items counts items with a window all of whose terms are within `slop` words of their places from some start.
+    """
     found = search(docs, benchmark, width, slop)
     length = F.aggregate(
         F.sequence(F.lit(0), F.size("spans") - 1), F.lit(0).cast("long"),
