@@ -213,3 +213,46 @@ def keep_good(docs: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def _sql() -> str:
+    """The same rows in DuckDB's SQL, written out from the parameters above."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = {k: sorted(set(v)) for k, v in COMMON_WORDS.items()}
+    langs = ", ".join(map(quoted, listed))
+    entries = ", ".join(f"({quoted(k)}, {quoted(w)})" for k, v in listed.items() for w in v)
+    classes = {0: r"[\x20\x09-\x0D]", 1: "[a-z]", 2: "[A-Z]", 3: "[0-9]", 4: r"[.,;:?''\x22()-]", 6: r"[^\x00-\x7F]"}
+    hist = [f"len(regexp_extract_all(t, '{p}'))" for p in classes.values()]
+    ascii_rest = "length(t) - " + " - ".join(f"c{k}" for k in classes)
+    js = lambda table: f"""select doc_id, sqrt(greatest(sum(case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) / 2, 0)) as d from {table} group by doc_id"""
+    noise = lambda k: f"sqrt(({k} - 1) / (8 * ln(2) * n_words))"
+    return rf"""
+with t as (select doc_id, case when lang in ({langs}) then lang end as lang, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+l as (select doc_id, unnest(string_split(t, chr(10))) as line from t),
+dl as (select doc_id, count(*) - count(distinct line) as n_dup_lines from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+g as (select doc_id, unnest(range(1, len(w) - 1)) as i, w from t),
+g3 as (select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) as n from g),
+rw as (select doc_id, count(distinct k) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as k from g3 where n > 1) group by doc_id),
+c as (select doc_id, lang, t, w, {', '.join(f'{h} as c{k}' for k, h in zip(classes, hist, strict=True))} from t),
+b as (select c.doc_id, lang, w, c0, c1, c2, c3, c4, {ascii_rest} as c5, c6, len(w) as n_words, length(t) - c0 as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
+      coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words from c left join dl on dl.doc_id = c.doc_id left join rw on rw.doc_id = c.doc_id),
+m as (select *, n_words < {BASE_WORDS} or 100 * n_repeat_words > 50 * n_words as base_failed from b),
+cw(lang, word) as (values {entries}),
+wd as (select m.doc_id, m.lang, x.word, count(*) as n from (select doc_id, unnest(w) as word from m where lang is not null) x join m on m.doc_id = x.doc_id join cw on cw.lang = m.lang and cw.word = x.word group by all),
+wh as (select m.doc_id, m.lang, cw.word, coalesce(wd.n, 0) as n from m join cw on cw.lang = m.lang left join wd on wd.doc_id = m.doc_id and wd.word = cw.word
+       union all select m.doc_id, m.lang, '', n_words - coalesce((select sum(n) from wd where wd.doc_id = m.doc_id), 0) from m where m.lang is not null),
+rf as (select wh.lang, wh.word, sum(wh.n) as n from wh join m on m.doc_id = wh.doc_id and not base_failed group by all),
+rt as (select lang, sum(n) as total from rf group by lang having sum(n) >= {MIN_REFERENCE}),
+wp as (select wh.doc_id, wh.n / m.n_words as p, rf.n / rt.total as q from wh join m on m.doc_id = wh.doc_id and n_words >= {MIN_WORDS} join rf on rf.lang = wh.lang and rf.word = wh.word join rt on rt.lang = wh.lang),
+ch as (select doc_id, lang, n_words, base_failed, u.k as k, u.n as n from (select *, unnest([{', '.join(f'struct_pack(k := {k}, n := c{k})' for k in range(CLASSES))}]) as u from m)),
+cr as (select lang, k, sum(n) as n from ch where not base_failed and lang in (select lang from rt) group by all union all select '*', k, sum(n) from ch where not base_failed group by k),
+cp as (select ch.doc_id, ch.n / sum(ch.n) over (partition by ch.doc_id) as p, cr.n / sum(cr.n) over (partition by ch.doc_id) as q from ch join cr on cr.k = ch.k and cr.lang = (case when ch.lang in (select lang from rt) then ch.lang else '*' end) where n_words >= {MIN_WORDS}),
+cd as ({js('cp')}), wj as ({js('wp')}),
+d as (select m.*, coalesce(cd.d, 0) as class_distance, coalesce(wj.d, 0) as word_distance from m left join cd on cd.doc_id = m.doc_id left join wj on wj.doc_id = m.doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and not (class_distance > {CLASS_EXCESS} + {noise(CLASSES)} or word_distance > {WORD_EXCESS} + {noise(_WIDTH - CLASSES)}) as kept, round(class_distance, 6) as class_distance, round(word_distance, 6) as word_distance
+from d
+"""
+
+
+SQL = _sql()

@@ -33,7 +33,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    rounded = {c: F.round(c, 6) for c in ("class_distance", "word_distance")}
+    return quality_rules.judge(table(spark, sf_dir, "documents")).withColumns(rounded)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_token_rollups": token_rollups.SQL, "op10_preference_format": preference_format.SQL}
+    return {"op1_warc": warc.SQL, "op4_quality_rules": quality_rules.SQL, "op2_token_rollups": token_rollups.SQL, "op10_preference_format": preference_format.SQL}

@@ -204,3 +204,16 @@ def roundtrip(pages: DataFrame, least: int = 0, segment: int = SEGMENT) -> DataF
         as_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_id("refers_to").alias("refers_to"),
         (F.col("chunk") + 1).alias("n_chunks"),
     )
+
+
+# SHA-1 in hexadecimal is 8 groups of 20 bits, each 4 letters of base32.
+_BASE32 = " || ".join(
+    f"'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((cast('0x' || digest[{5 * g + 1}:{5 * g + 5}] as bigint) >> {s}) & 31) + 1]" for g in range(8) for s in (15, 10, 5, 0)
+)
+SQL = f"""
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as digest from pages),
+f as (select *, min(page_id) over (partition by html) as first_id from p)
+select page_id, octet_length(encode(html)) as payload_bytes, {_BASE32} as payload_digest, case when page_id = first_id then 'response' else 'revisit' end as record_type,
+       case when page_id <> first_id then first_id end as refers_to, cast(case when page_id = first_id then greatest(1, ceil(octet_length(encode(html)) / {SEGMENT}.0)) else 1 end as int) as n_chunks
+from f
+"""
