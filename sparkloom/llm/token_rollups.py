@@ -65,7 +65,8 @@ def maintained(docs: DataFrame) -> DataFrame:
     Copies are the documents whose text also occurs under a smaller doc_id.
     """
     spark = docs.sparkSession
-    rollup = Rollup(spark, common.shared_path(spark, "rollup"))
+    path = common.shared_path(spark, "rollup")
+    rollup = Rollup(spark, path)
     before, after = counted(docs, "words-1"), counted(docs, "marks-2")
     rollup.commit("1-insert", signed(after=before))
     for _ in range(2):  # the second is a replay
@@ -75,6 +76,7 @@ def maintained(docs: DataFrame) -> DataFrame:
     sized = counted(docs.withColumn("__same", same), "marks-2", "__same").withColumnRenamed("__same", "same")
     gone = sized.join(first, "same").where(F.col("doc_id") > F.col("first"))
     rollup.commit("3-delete", signed(before=gone))
+    common.drop_at_end(spark, path)
     return rollup.totals()
 
 

@@ -198,6 +198,7 @@ def roundtrip(pages: DataFrame, least: int = 0, segment: int = SEGMENT) -> DataF
     path = common.shared_path(spark, "warc")
     source = pages.select(F.col("page_id").cast("long").alias("id"), F.col("url").cast("string"), F.col("html").cast("string").cast("binary").alias("payload"))
     write_archives(source, path, least, segment)
+    common.drop_at_end(spark, path)
     chunks = read_archives(spark, path, with_data=False).where("last")
     as_id = lambda c: F.expr(f"try_cast({c} as bigint)")
     return chunks.select(
