@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import chunking, lexicons, weights
+from ..sources import tables
 
 #: Stand-in lexicons.
 TOPICS = {
@@ -38,7 +39,7 @@ MOST_LINES = 21
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return tables.read(spark, sf, "documents")
 
 
 def chunked(spark: SparkSession, sf: str) -> DataFrame:
