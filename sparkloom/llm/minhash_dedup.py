@@ -275,9 +275,9 @@ def classes(signed: DataFrame) -> DataFrame:
     central = shared.groupBy("node").agg(F.sum("size").alias("met"))
     leaders = shared.join(central, "node").groupBy("key").agg(F.max(F.struct("met", "node", "n")).alias("lead"))
     shared = common.stored(shared.join(leaders, "key").select("key", "size", "node", "n", F.col("lead.node").alias("a"), F.col("lead.n").alias("na")), "led")
-    # Blobs of the nodes that share a bucket, one row a node.
-    copies = worded.select("node", "blob").join(shared.select("node").distinct(), "node", "left_semi")
-    blobs = common.stored(copies.groupBy("node").agg(F.first("blob").alias("blob")), "blobs")
+    # Blobs of the nodes that share a bucket, one row a node: copies are folded before anything is shuffled.
+    copies = worded.groupBy("node").agg(F.first("blob").alias("blob"))
+    blobs = common.stored(copies.join(shared.select("node").distinct(), "node", "left_semi"), "blobs")
     stars = shared.where(F.col("node") != F.col("a")).groupBy("a", F.col("node").alias("b"), "na", F.col("n").alias("nb")).agg(F.max("size").alias("size"))
     least = shared.groupBy("a").agg(F.min("n").alias("least"))
     stars = common.stored(stars.where(_close() | (F.col("size") > 2)).select("a", "b"), "pairs")
