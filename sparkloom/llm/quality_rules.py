@@ -2,8 +2,10 @@
 
 Divergence: a text's histogram of character classes and its histogram of common words are compared with those of
 its language by Jensen-Shannon distance (base 2, so 0 to 1). The reference of a language is the sum of both
-histograms over all documents of that language which pass the base rules; '*' is the sum over all languages and
-serves texts whose language is null, unlisted or seen in too few words. Guards: a text of fewer than MIN_WORDS
+histograms over all documents of that language which pass the base rules, where no source counts for more words than
+the language's median source, less the documents that diverge from such a sum (PASSES times); '*' is the sum over all
+languages and serves texts whose language is null, unlisted or seen in too few words. The plain sum, with neither
+guard, is what the SQL of op4_quality_rules states; judge(plain=True) gives it. Guards: a text of fewer than MIN_WORDS
 words is not judged by a histogram, nor one of a language without a reference of MIN_REFERENCE words by common words;
 and a distance counts only beyond what a text of that length shows by chance.
 
@@ -31,6 +33,8 @@ COMMON_WORDS = {
 #: Production parameters.
 MIN_WORDS, MIN_REFERENCE, CLASS_EXCESS, WORD_EXCESS = 50, 2_000, 0.20, 0.10
 BASE_WORDS, SYMBOLS = 50, b"#*$%&|<>"
+#: Passes that leave divergent documents out of the references.
+PASSES = 2
 #: Character classes: blank, a-z, A-Z, 0-9, sentence marks, other marks, first bytes of other characters; 7: later bytes.
 CLASSES = 7
 _CLASS = np.array(
@@ -110,7 +114,7 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
 
 _WIDTH = CLASSES + 1 + max(len(set(v)) for v in COMMON_WORDS.values())
 MEASURED = T.StructType(
-    [T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType())]
+    [T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType())]
     + [T.StructField(c, T.LongType()) for c in COUNTS]
     + [T.StructField("base_failed", T.BooleanType()), T.StructField("hist", T.ArrayType(T.LongType()))]
 )
@@ -135,16 +139,32 @@ def measure(docs: DataFrame) -> DataFrame:
             hists.append(hist)
         out = {c: [r[i] for r in rows] for i, c in enumerate(COUNTS)}
         lang = [x if x in COMMON_WORDS else None for x in batch.column(2).to_pylist()]
-        return out | {"doc_id": batch.column(0), "lang": lang, "base_failed": [base_failed(r) for r in rows], "hist": common.lists(np.array(hists))}
+        return out | {"doc_id": batch.column(0), "lang": lang, "source": batch.column(3), "base_failed": [base_failed(r) for r in rows], "hist": common.lists(np.array(hists))}
 
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    origin = F.col("source") if "source" in docs.columns else F.lit(None)
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), origin.cast("string"))
     return common.map_rows(source, make, MEASURED)
 
 
 def references(measured: DataFrame) -> dict[str | None, np.ndarray]:
     """Histogram sums over all rows that pass the base rules, for each listed language; None: of all rows. At most five rows."""
     sums = [F.sum(F.col("hist")[i]).alias(f"h{i}") for i in range(_WIDTH)]
-    rows = measured.where("not base_failed").groupBy("lang").agg(*sums).collect()
+    return _held(measured.where("not base_failed").groupBy("lang").agg(*sums).collect())
+
+
+def capped_references(measured: DataFrame) -> dict[str | None, np.ndarray]:
+    """As references(), but no source counts for more words than the median source of its language, or MIN_REFERENCE if that is more."""
+    sums = [F.sum(F.col("hist")[i]).alias(f"h{i}") for i in range(_WIDTH)]
+    by_source = common.stored(measured.where("not base_failed").groupBy("lang", "source").agg(F.sum("n_words").alias("n"), *sums), "sources")
+    most = {r[0]: max(r[1], MIN_REFERENCE) for r in by_source.groupBy("lang").agg(F.percentile("n", F.lit(0.5))).collect()}
+    cap = F.lit(float(most.get(None, MIN_REFERENCE)))
+    for lang in most.keys() - {None}:
+        cap = F.when(F.col("lang") == lang, F.lit(float(most[lang]))).otherwise(cap)
+    share = F.least(F.lit(1.0), cap / F.col("n"))
+    return _held(by_source.groupBy("lang").agg(*(F.sum(F.round(F.col(f"h{i}") * share).cast("long")) for i in range(_WIDTH))).collect())
+
+
+def _held(rows: list) -> dict[str | None, np.ndarray]:
     held = {r[0]: np.array(r[1:], np.int64) for r in rows}
     whole = sum(held.values()) if held else np.zeros(_WIDTH, np.int64)
     return {k: v for k, v in held.items() if k is not None and v[CLASSES:].sum() >= MIN_REFERENCE} | {None: whole}
@@ -165,6 +185,27 @@ def diverges(classes: float, words: float, n_words: int) -> bool:
     return bool(classes > CLASS_EXCESS + noise(CLASSES) or words > WORD_EXCESS + noise(_WIDTH - CLASSES))
 
 
+def rejects(hist: np.ndarray, n_words: int, lang: str | None, held: dict[str | None, np.ndarray]) -> tuple[bool, float, float]:
+    """Whether a text diverges, and its distances."""
+    classes, words = distances(hist, n_words, lang, held)
+    return diverges(classes, words, n_words), classes, words
+
+
+def robust(measured: DataFrame) -> dict[str | None, np.ndarray]:
+    """References that neither one source nor the documents to be found can draw to themselves."""
+    held = capped_references(measured)
+    for _ in range(PASSES):
+
+        def stay(batches, held=held):
+            for batch in batches:
+                rows = zip(batch.column("hist").to_pylist(), batch.column("n_words").to_pylist(), batch.column("lang").to_pylist(), strict=True)
+                yield batch.filter(pa.array([not rejects(np.array(h), n, lang, held)[0] for h, n, lang in rows], pa.bool_()))
+
+        # A language of which too little stays keeps the reference it had.
+        held = held | {k: v for k, v in capped_references(measured.where("not base_failed").mapInArrow(stay, measured.schema)).items() if v.sum()}
+    return held
+
+
 JUDGED = T.StructType(
     [T.StructField("doc_id", T.LongType())]
     + [T.StructField(c, T.LongType()) for c in COUNTS]
@@ -173,20 +214,20 @@ JUDGED = T.StructType(
 )
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """One row a document: counts, base_failed, kept and both distances."""
+def judge(docs: DataFrame, plain: bool = False) -> DataFrame:
+    """One row a document: counts, base_failed, kept and both distances. plain: by references() and diverges() alone, as the SQL."""
     common.ship(docs.sparkSession)
     measured = common.stored(measure(docs), "measured")
-    held = references(measured)
+    held = references(measured) if plain else robust(measured)
 
     def make(batch):
         cols = {n: batch.column(n) for n in ("doc_id", *COUNTS, "base_failed")}
         far = [
-            distances(np.array(h), n, lang, held)
+            rejects(np.array(h), n, lang, held)
             for h, n, lang in zip(batch.column("hist").to_pylist(), cols["n_words"].to_pylist(), batch.column("lang").to_pylist(), strict=True)
         ]
-        kept = [not failed and not diverges(*d, n) for failed, d, n in zip(cols["base_failed"].to_pylist(), far, cols["n_words"].to_pylist(), strict=True)]
-        return cols | {"kept": kept, "class_distance": [d[0] for d in far], "word_distance": [d[1] for d in far]}
+        kept = [not failed and not d[0] for failed, d in zip(cols["base_failed"].to_pylist(), far, strict=True)]
+        return cols | {"kept": kept, "class_distance": [d[1] for d in far], "word_distance": [d[2] for d in far]}
 
     return common.map_rows(measured, make, JUDGED)
 
@@ -194,7 +235,7 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, whole."""
     common.ship(docs.sparkSession)
-    held = references(measure(docs))
+    held = robust(common.stored(measure(docs), "measured"))
     text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
     tool: list[Measure] = []
 
@@ -209,7 +250,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
                 if (words := tool[-1].words(hashes, lang)) is not None:
                     hist[CLASSES : CLASSES + len(words)] = words
                 lang = lang if lang in COMMON_WORDS else None
-                kept.append(not base_failed(counts) and not diverges(*distances(hist, counts[0], lang, held), counts[0]))
+                kept.append(not base_failed(counts) and not rejects(hist, counts[0], lang, held)[0])
             yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)

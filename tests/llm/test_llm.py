@@ -178,6 +178,24 @@ def test_quality_rules_on_labels(spark):
     assert held.get((1, False), 0) == 0 and held[(0, False)] > held.get((0, True), 0)
 
 
+def labelled(spark):
+    """Rows of sf0.01 with labels, and counts of (quality, kept) of the rules over some rows."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = common.table(spark, d, "documents").select("doc_id", "text", "lang", "source"), common.table(spark, d, "labels")
+    count = lambda rows: {(r.quality, r.kept): r["count"] for r in quality_rules.judge(rows).where("not base_failed").join(labels, "doc_id").groupBy("quality", "kept").count().collect()}
+    return docs, labels, count
+
+
+@pytest.mark.parametrize("one_source", [True, False])
+def test_quality_rules_with_a_third_of_junk(spark, one_source):
+    """Junk at more than a third of the words that pass, from one source or from all, takes no clean document with it."""
+    docs, labels, count = labelled(spark)
+    junk = docs.join(labels.where("quality = 0").select("doc_id"), "doc_id").crossJoin(spark.range(20)).drop("id")
+    junk = junk.select((F.col("doc_id") + 10**9).alias("doc_id"), "text", "lang", (F.lit("junk") if one_source else F.col("source")).alias("source"))
+    held = count(docs.unionByName(junk))
+    assert held.get((1, False), 0) == 0 and held[(0, False)] > 5 * held.get((0, True), 0)
+
+
 def test_divergence_in_sql(spark):
     """Character-class counts equal SQL's, and distances equal a plain formula."""
     con = duckdb.connect()
