@@ -33,8 +33,9 @@ COMMON_WORDS = {
 #: Production parameters.
 MIN_WORDS, MIN_REFERENCE, CLASS_EXCESS, WORD_EXCESS = 50, 2_000, 0.20, 0.10
 BASE_WORDS, SYMBOLS = 50, b"#*$%&|<>"
-#: Passes that leave divergent documents out of the references.
-PASSES = 2
+#: Passes that leave divergent documents out of the references; quantile, draws and text lengths of the common words' limits.
+PASSES, QUANTILE, DRAWS = 2, 0.99, 2_000
+LENGTHS = np.unique(np.geomspace(MIN_WORDS, 20_000, 25).astype(int))
 #: Character classes: blank, a-z, A-Z, 0-9, sentence marks, other marks, first bytes of other characters; 7: later bytes.
 CLASSES = 7
 _CLASS = np.array(
@@ -185,25 +186,53 @@ def diverges(classes: float, words: float, n_words: int) -> bool:
     return bool(classes > CLASS_EXCESS + noise(CLASSES) or words > WORD_EXCESS + noise(_WIDTH - CLASSES))
 
 
-def rejects(hist: np.ndarray, n_words: int, lang: str | None, held: dict[str | None, np.ndarray]) -> tuple[bool, float, float]:
-    """Whether a text diverges, and its distances."""
+def word_limits(held: dict[str | None, np.ndarray]) -> dict[str, np.ndarray]:
+    """For each language and text length of LENGTHS, the distance of common words that counts.
+
+    Squared, it is that of WORD_EXCESS and the QUANTILE of what texts drawn from the reference itself show; but a text
+    with none of the words always counts.
+    """
+    limits = {}
+    for lang in sorted(k for k in held if k is not None):
+        p = held[lang][CLASSES:] / held[lang][CLASSES:].sum()
+        r = np.random.default_rng(0)
+        chance = [np.quantile(_js_squared(r.multinomial(n, p, DRAWS), p), QUANTILE) for n in LENGTHS]
+        none = np.zeros((1, len(p)))
+        none[0, len(set(COMMON_WORDS[lang]))] = 1
+        limits[lang] = np.minimum(np.sqrt(WORD_EXCESS**2 + np.array(chance)), np.sqrt(_js_squared(none, p)[0]) - 1e-9)
+    return limits
+
+
+def _js_squared(counts: np.ndarray, q: np.ndarray) -> np.ndarray:
+    p = counts / counts.sum(1, keepdims=True)
+    middle = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (np.where(p > 0, p * np.log2(p / middle), 0) + np.where(q > 0, q * np.log2(q / middle), 0)).sum(1) / 2
+
+
+def rejects(hist: np.ndarray, n_words: int, lang: str | None, held: dict[str | None, np.ndarray], limits: dict[str, np.ndarray] | None) -> tuple[bool, float, float]:
+    """Whether a text diverges, and its distances. limits None: the allowance of diverges()."""
     classes, words = distances(hist, n_words, lang, held)
-    return diverges(classes, words, n_words), classes, words
+    if limits is None or lang not in limits:
+        return diverges(classes, words, n_words), classes, words
+    limit = np.interp(np.log(max(n_words, 1)), np.log(LENGTHS), limits[lang])
+    return diverges(classes, 0.0, n_words) or bool(words > limit), classes, words
 
 
-def robust(measured: DataFrame) -> dict[str | None, np.ndarray]:
-    """References that neither one source nor the documents to be found can draw to themselves."""
+def robust(measured: DataFrame) -> tuple[dict[str | None, np.ndarray], dict[str, np.ndarray]]:
+    """References that neither one source nor the documents to be found can draw to themselves, and their limits."""
     held = capped_references(measured)
     for _ in range(PASSES):
+        limits = word_limits(held)
 
-        def stay(batches, held=held):
+        def stay(batches, held=held, limits=limits):
             for batch in batches:
                 rows = zip(batch.column("hist").to_pylist(), batch.column("n_words").to_pylist(), batch.column("lang").to_pylist(), strict=True)
-                yield batch.filter(pa.array([not rejects(np.array(h), n, lang, held)[0] for h, n, lang in rows], pa.bool_()))
+                yield batch.filter(pa.array([not rejects(np.array(h), n, lang, held, limits)[0] for h, n, lang in rows], pa.bool_()))
 
         # A language of which too little stays keeps the reference it had.
         held = held | {k: v for k, v in capped_references(measured.where("not base_failed").mapInArrow(stay, measured.schema)).items() if v.sum()}
-    return held
+    return held, word_limits(held)
 
 
 JUDGED = T.StructType(
@@ -218,12 +247,12 @@ def judge(docs: DataFrame, plain: bool = False) -> DataFrame:
     """One row a document: counts, base_failed, kept and both distances. plain: by references() and diverges() alone, as the SQL."""
     common.ship(docs.sparkSession)
     measured = common.stored(measure(docs), "measured")
-    held = references(measured) if plain else robust(measured)
+    held, limits = (references(measured), None) if plain else robust(measured)
 
     def make(batch):
         cols = {n: batch.column(n) for n in ("doc_id", *COUNTS, "base_failed")}
         far = [
-            rejects(np.array(h), n, lang, held)
+            rejects(np.array(h), n, lang, held, limits)
             for h, n, lang in zip(batch.column("hist").to_pylist(), cols["n_words"].to_pylist(), batch.column("lang").to_pylist(), strict=True)
         ]
         kept = [not failed and not d[0] for failed, d in zip(cols["base_failed"].to_pylist(), far, strict=True)]
@@ -235,7 +264,7 @@ def judge(docs: DataFrame, plain: bool = False) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, whole."""
     common.ship(docs.sparkSession)
-    held = robust(common.stored(measure(docs), "measured"))
+    held, limits = robust(common.stored(measure(docs), "measured"))
     text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
     tool: list[Measure] = []
 
@@ -250,7 +279,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
                 if (words := tool[-1].words(hashes, lang)) is not None:
                     hist[CLASSES : CLASSES + len(words)] = words
                 lang = lang if lang in COMMON_WORDS else None
-                kept.append(not base_failed(counts) and not rejects(hist, counts[0], lang, held)[0])
+                kept.append(not base_failed(counts) and not rejects(hist, counts[0], lang, held, limits)[0])
             yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)

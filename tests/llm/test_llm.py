@@ -196,6 +196,13 @@ def test_quality_rules_with_a_third_of_junk(spark, one_source):
     assert held.get((1, False), 0) == 0 and held[(0, False)] > 5 * held.get((0, True), 0)
 
 
+def test_a_text_without_common_words_diverges_from_the_least_length_on(spark):
+    docs, _, _ = labelled(spark)
+    odd = spark.createDataFrame([(10**9 + n, " ".join(f"zq{k}x" for k in range(n)).translate(str.maketrans("0123456789", "abcdefghij")), "en", "s") for n in (50, 51, 60, 80)], docs.schema)
+    found = quality_rules.judge(docs.unionByName(odd)).where(f"doc_id >= {10**9}").collect()
+    assert len(found) == 4 and not any(r.base_failed or r.kept for r in found)
+
+
 def test_divergence_in_sql(spark):
     """Character-class counts equal SQL's, and distances equal a plain formula."""
     con = duckdb.connect()
