@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and an assignment-aware lexer for source and configuration text.
 
 The lexer reads name-literal pairs: `name = "x"`, `name: x`, `"name": "x"`, `export NAME=x`, `name => x`,
-`<name>x</name>`, and names with dots, dashes and brackets. Literals joined by + or . are one value. A bare
-identifier on the right takes the literal that was assigned to it before in the text (constant propagation, through
-any number of steps), and the span is then that literal's. A literal scores by its target name and its looks; it is
+`<name>x</name>`, `name: type = "x"`, and names with dots, dashes and brackets. Tabs may stand around the operator, and
+a literal in quotes on the next line. Literals joined by + or . are one value. A value that has a value itself is a
+type or a name, and the literal belongs to both names. A bare identifier on the right takes the literal that was
+assigned to it before in the text (constant propagation, through any number of steps), and the span is then that
+literal's; one that no assignment explains is a literal itself unless it is called, subscripted or names a type. A literal scores by its target name and its looks; it is
 reported from a score of MIN_SCORE.
 
 Spans are code points, end exclusive: the whole match for patterns, the literal without quotes for the lexer.
@@ -38,10 +40,19 @@ MIN_SCORE = 3
 
 _HINT = re.compile(r"passw|passphrase|pwd|secret|token|api[_.-]?key|access[_.-]?key|private[_.-]?key|credential|auth|bearer|signing[_.-]?key|encryption[_.-]?key", re.ASCII | re.IGNORECASE)
 _STRING = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"""
+_VALUE = rf"""(?P<value>(?:{_STRING})(?:\s*[+.]\s*(?:{_STRING}))*|[A-Za-z0-9_+/.=\-~!@^&*$%#]+)"""
+# Blanks around an operator; a literal in quotes may stand on the next line, and so may an equals sign.
+_BEFORE, _AFTER = r"[\x20\t]*(?:\r?\n[\x20\t]*(?=:?=))?", r"""[\x20\t]*(?:\\?\r?\n[\x20\t]*(?=["'`]))?"""
 _PAIR = re.compile(
-    rf"""(?P<name>["']?[A-Za-z_][A-Za-z0-9_.\-]*["']?(?:\[["'][A-Za-z0-9_.\-]+["']\])?)\x20*(?P<op>:=|=>|=|:(?!//))\x20*(?P<value>(?:{_STRING})(?:\x20*[+.]\x20*(?:{_STRING}))*|[A-Za-z0-9_+/.=\-~!@^&*$%#]+)"""
+    rf"""(?P<name>["']?[A-Za-z_][A-Za-z0-9_.\-]*["']?(?:\[["'][A-Za-z0-9_.\-]+["']\])?){_BEFORE}(?P<op>:=|=>|=|:(?!//)){_AFTER}{_VALUE}"""
     r"""|<(?P<tag>[A-Za-z_][A-Za-z0-9_.\-]*)>(?P<inner>[^<>\n]+)</(?P=tag)>"""
 )
+# What looked like a value but has a value itself: a type, with its brackets and alternatives, or another name.
+_INNER = re.compile(
+    rf"""[&*?]*(?:'[a-z]+\x20)?(?:(?:mut|const)\x20)?(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?:::[A-Za-z_]\w*|\[[^"'=\n]*\]|<[^"'=\n]*>|\x20*[|&]\x20*[A-Za-z_][\w.]*|[?*&!])*"""
+    rf"""(?:{_BEFORE}(?::=|=>|=(?!=)|:(?!//|:)){_AFTER}(?=["'`])|[\x20\t]+(?::=|=>|=(?!=)){_AFTER}|=(?=[^\s=])){_VALUE}"""
+)
+_KEY = re.compile(rf"{_BEFORE}(?::=|=>|=(?!=)|:(?!//|:))")
 _QUOTED = re.compile(_STRING)
 _IDENTIFIER = re.compile(r"^[A-Za-z_][A-Za-z0-9_.]*$")
 
@@ -68,27 +79,57 @@ def literal_score(name: str, value: str) -> int:
     return base + (entropy(value) >= 3.0) + mixed - (not mixed and entropy(value) < 2.5)
 
 
+#: Words that stand where a value would but name a type.
+TYPES = frozenset("string integer boolean number object float double bytes unknown symbol optional varchar bytearray securestring".split())
+
+
+def is_word(name: str, value: str, after: str) -> bool:
+    """Whether an unquoted word may be a value as it stands: no call or subscript, no type, no parameter of the name's own name."""
+    return after not in ("(", "[") and value.lower() not in TYPES and value != re.split(r"[.\-]", name)[-1]
+
+
 def lex(text: str) -> list[tuple[str, int, int]]:
     """(name, start, end) of every literal given to a name, with constants followed."""
     known: dict[str, list[tuple[int, int]]] = {}
-    out = []
-    for m in _PAIR.finditer(text):
+    out, at = [], 0
+    while m := _PAIR.search(text, at):
+        at = m.end()
         if m["tag"]:
-            name, spans = m["tag"], [(m.start("inner"), m.end("inner"))]
-        else:
-            name, value, at = m["name"].strip("\"'"), m["value"], m.start("value")
+            known[m["tag"]] = [m.span("inner")]
+            out.append((m["tag"], *m.span("inner")))
+            continue
+        names = [m["name"].strip("\"'")]
+        while m:
+            value, start = m["value"], m.start("value")
+            inner = None
             if value[0] in "\"'`":
-                spans = [(at + q.start() + 1, at + q.end() - 1) for q in _QUOTED.finditer(value)]
-            elif value.rstrip(".") in known:
-                spans = known[value.rstrip(".")]
+                spans = [(start + q.start() + 1, start + q.end() - 1) for q in _QUOTED.finditer(value)]
+                if _KEY.match(text, m.end()):
+                    # The text is a key itself.
+                    at = start
+                    if "\n" in text[m.start() : start]:
+                        break
             else:
-                spans = [(at, at + len(value.rstrip(".")))]
-                if _IDENTIFIER.match(value) and not any(c.isdigit() for c in value):
-                    # A plain word: a name not assigned here; it is no literal of a program but may be one of a configuration.
-                    known[name] = spans
-                    continue
-        known[name] = spans
-        out += [(name, a, b) for a, b in spans if b > a]
+                inner = _INNER.match(text, start)
+                if value.rstrip(".") in known:
+                    spans = known[value.rstrip(".")]
+                else:
+                    spans = [(start, start + len(value.rstrip(".")))]
+                if inner and (_IDENTIFIER.match(value) or value.startswith("&")) and not any(c.isdigit() for c in value):
+                    spans = []
+                elif _IDENTIFIER.match(value) and not any(c.isdigit() for c in value) and value.rstrip(".") not in known:
+                    # A plain word: a name not assigned here, or a literal of a configuration.
+                    known |= dict.fromkeys(names, spans)
+                    spans = [x for x in spans if is_word(names[0], value.rstrip("."), text[m.end() : m.end() + 1])]
+                    out += [(name, a, b) for name in names for a, b in spans]
+                    break
+            if spans:
+                known |= dict.fromkeys(names, spans)
+                out += [(name, a, b) for name in names for a, b in spans if b > a]
+            if inner:
+                names.append(inner["name"])
+                at = max(at, inner.end())
+            m = inner
     return out
 
 

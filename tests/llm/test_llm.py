@@ -249,6 +249,24 @@ def test_secret_lexer():
     assert secrets.mask("a b c", [(0, 1, 0), (0, 3, 1), (4, 5, 2)]) == "[SECRET] [SECRET]"
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        'api_secret: str = "sk9aZ81qqPlm"', 'const apiKey: string = "sk9aZ81qqPlm"', 'let password: &str = "sk9aZ81qqPlm"', 'private_key: Optional[str] = "sk9aZ81qqPlm"', 'pwd: string | null = "sk9aZ81qqPlm"',
+        'Note: signing_key = "sk9aZ81qqPlm"', 'Note: signing_key="sk9aZ81qqPlm"', 'a = signing_key = "sk9aZ81qqPlm"', 'pwd\t= "sk9aZ81qqPlm"', 'pwd=\t"sk9aZ81qqPlm"', 'signing_key =\n    "sk9aZ81qqPlm"', 'db:\n  "pwd": "sk9aZ81qqPlm"',
+        "DB_PWD=letmeinplease", "passphrase: letmeinplease",
+    ],
+)
+def test_secret_lexer_forms(text):
+    masked = secrets.mask(text, secrets.base_spans(text) + secrets.lexed_spans(text))
+    assert "sk9a" not in masked and "letmein" not in masked and "[SECRET]" in masked
+
+
+def test_secret_lexer_leaves_names_and_types():
+    for text in ("pwd = load_pwd()", 'pwd = environ["X"]', "def f(pwd: string, n: int)", "self.passphrase = passphrase", "passphrase:\n  - first\n", 'pwd: str = getenv("PWD")'):
+        assert secrets.lexed_spans(text) == [], text
+
+
 def test_redaction(docs, spark, empty):
     assert secrets.redact(docs).columns == docs.columns and secrets.redact(docs).exceptAll(docs).count() == 0
     rows = spark.createDataFrame([(1, "token = abcdefgh1 x", 19)], "doc_id long, text string, n_chars long")
