@@ -3,7 +3,8 @@
 Events of the standard library's HTML parser are turned into lines, one for each block of the page, while it streams:
 a line has its text, the number of tags met since the line before, and the elements it stands in. Lines inside menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments, by element,
-role or words of class and id, are not content. The ratio of text characters to tags of each other line is smoothed
+role or words of class and id, are not content; but a form, or an element with such a word, that encloses the main
+text (an article, main, an h1 or most of the text) is a wrapper and stays. The ratio of text characters to tags of each other line is smoothed
 by a Gaussian kernel, and lines above a threshold (a share of the ratios' standard deviation) are clustered as
 content. Ratios alone lose short paragraphs, headings and the ends of an article, so the clusters choose a region and
 the page's structure gives its bounds: the article or main element, or else the smallest element, that holds nearly
@@ -55,36 +56,47 @@ _SPLIT = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
-def removed(tag: str, attributes: dict[str, str | None], inside_article: bool) -> bool:
-    """Whether an element's content is no main text by what it is or what it is called."""
-    if tag in REMOVED or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
+def removed(tag: str, attributes: dict[str, str | None], inside_article: bool) -> int:
+    """Whether an element's content is no main text by what it is (2), or by what it is called or as a form (1)."""
+    if tag in REMOVED and tag != "form" or "hidden" in attributes or attributes.get("aria-hidden") == "true":
+        return 2
     if tag == "header" and not inside_article:
-        return True
+        return 2
     if (attributes.get("role") or "").lower() in ROLES:
-        return True
+        return 2
     if re.search(r"display\s*:\s*none", attributes.get("style") or ""):
-        return True
+        return 2
+    if tag == "form":
+        return 1
     if tag in ("html", "body", "main") or tag in HEADINGS:
-        return False
+        return 0
     names = f"{attributes.get('class') or ''} {attributes.get('id') or ''}"
     if not names.strip():
-        return False
+        return 0
     spaced = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", names).lower()
     found = WORDS.intersection(_SPLIT.split(spaced))
-    return bool(found - {"header", "banner", "form", "tags"} if inside_article else found)
+    return int(bool(found - {"header", "banner", "form", "tags"} if inside_article else found))
 
 
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags, path of open elements). An element is a number; 0 is the page."""
+    """Lines of a page: (text, tags, path of open elements). An element is a number; 0 is the page.
 
-    def __init__(self) -> None:
+    Elements of the numbers in spared are not removed by what they are called, nor as forms.
+    """
+
+    def __init__(self, spared: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # name, number, whether its content is removed
+        self.open: list[tuple[str, int, int]] = []  # name, number, removed()
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
         self.names: dict[int, str] = {0: ""}
         self.parts: list[str] = []
         self.tags, self.count, self.skipping = 0, 0, 0
+        self.spared = spared
+        self.called: dict[int, tuple[int, ...]] = {}  # elements removed by what they are called, and those around them
+        self.text: dict[int, int] = {0: 0}  # characters of elements, less what is removed for what it is
+        self.paths: dict[int, tuple[int, ...]] = {}  # elements around each article and main
+        self.headed: dict[int, list[int]] = {}  # elements around each h1
+        self.hard = 0
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip(" ")
@@ -95,7 +107,8 @@ class Lines(HTMLParser):
 
     def shut(self, k: int) -> None:
         """Ends the k-th open element and all inside it."""
-        self.skipping -= sum(gone for _, _, gone in self.open[k:])
+        self.skipping -= sum(gone > 0 for _, _, gone in self.open[k:])
+        self.hard -= sum(gone == 2 for _, _, gone in self.open[k:])
         del self.open[k:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -120,7 +133,15 @@ class Lines(HTMLParser):
         self.count += 1
         inside = any(name == "article" for name, _, _ in self.open)
         gone = removed(tag, dict(attrs), inside)
-        self.skipping += gone
+        if gone == 1:
+            self.called[self.count] = (0, *(n for _, n, _ in self.open))
+            gone = 0 if self.count in self.spared else 1
+        self.skipping += gone > 0
+        self.hard += gone == 2
+        if tag in ("article", "main") and not self.hard:
+            self.paths[self.count] = tuple(n for _, n, _ in self.open)
+        if tag == "h1" and not self.hard:
+            self.headed[self.count] = [n for _, n, _ in self.open]
         self.names[self.count] = tag
         self.open.append((tag, self.count, gone))
 
@@ -139,10 +160,35 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if not self.hard and (size := len(data.strip())):
+            self.text[0] += size
+            for _, n, _ in self.open:
+                self.text[n] = self.text.get(n, 0) + size
         if not self.skipping and not (self.open and any(name == "header" for name, _, _ in self.open) and not any(name in HEADINGS for name, _, _ in self.open)):
             self.parts.append(data)
 
 
+def wrappers(parser: Lines) -> frozenset[int]:
+    """Elements removed by what they are called, or as forms, that hold the page's main text and not an addition to it.
+
+    They are or enclose an article of at least half of the largest one's text, or main; or hold more than half of the text
+    of the article, main or page that they stand in; or hold an h1 where the page has no article.
+    """
+    size, names = parser.text, parser.names
+    articles = [n for n, name in names.items() if name == "article" and size.get(n, 0)]
+    most = max((size[n] for n in articles), default=0)
+    kept = {n for n in articles if 2 * size[n] >= most} | {n for n, name in names.items() if name == "main" and size.get(n, 0)}
+    around = {x for n in kept for x in parser.paths.get(n, ())} | kept
+    heads = set() if articles else {x for path in parser.headed.values() for x in path}
+    spared = set()
+    for n, path in parser.called.items():
+        inside = next((x for x in reversed(path) if x in kept), 0)
+        apart = not inside and kept  # beside the articles: more than half of the page does not make it one
+        if n in around or n in heads or not apart and 2 * size.get(n, 0) > size.get(inside, 0) > 0:
+            spared.add(n)
+    return frozenset(spared)
+
+
 def smoothed(ratios: np.ndarray, radius: int = RADIUS, sigma: float = SIGMA) -> np.ndarray:
     """Gaussian smoothing, the kernel cut at the page's ends."""
     at = np.arange(-radius, radius + 1)
@@ -178,14 +224,21 @@ def region(lines: list[tuple[str, int, tuple[int, ...]]], names: dict[int, str])
     return max((n for n in mass if mass[n] >= SHARE * total), key=lambda n: depth[n], default=0)
 
 
+def parsed(html: str, spared: frozenset[int] = frozenset()) -> Lines:
+    parser = Lines(spared)
+    parser.feed(html)
+    parser.close()
+    parser.flush()
+    return parser
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
+    parser = parsed(html)
+    if spared := wrappers(parser):
+        parser = parsed(html, spared)
     if not parser.lines:
         return ""
     within = region(parser.lines, parser.names)

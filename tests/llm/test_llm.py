@@ -370,6 +370,16 @@ def test_html(spark):
     assert sorted((r.page_id, r.n_chars) for r in html_text.extract(rows).collect()) == [(1, len(html_text.main_text(HTML)))] * 2 + [(2, 0)]
 
 
+@pytest.mark.parametrize("wrap", ['div class="has-sidebar"', 'div class="with-comments"', 'div class="no-ads"', 'div class="widget"', 'div id="login-page"', "form"])
+@pytest.mark.parametrize("inner", ["<article><h1>Title</h1>{}</article>", "<main><h1>Title</h1>{}</main>", "<div><h1>Title</h1>{}</div>", "<div><h2>Title</h2>{}</div>"])
+def test_html_wrappers(wrap, inner):
+    """A word of class or id, or a form, around the main text does not remove it; beside and inside it does."""
+    paras = [f"{'long text here ' * 9}{i}" for i in range(5)]
+    beside = '<div class="sidebar"><p>Side words</p></div>'
+    page = f"<body>{beside}<{wrap}>{inner.format(''.join(f'<p>{p}</p>' for p in paras) + '<div class=share>Share it</div>')}{beside}</{wrap.split()[0]}>{beside}</body>"
+    assert html_text.main_text(page).split("\n") == ["Title", *paras]
+
+
 def test_html_on_table(spark):
     import html as H
 
