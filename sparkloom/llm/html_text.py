@@ -4,11 +4,11 @@ Events of the standard library's HTML parser are turned into lines, one for each
 a line has its text, the number of tags met since the line before, and the elements it stands in. Lines inside menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments, by element,
 role or words of class and id, are not content; but a form, or an element with such a word, that encloses the main
-text (an article, main, an h1 or most of the text) is a wrapper and stays. The ratio of text characters to tags of each other line is smoothed
-by a Gaussian kernel, and lines above a threshold (a share of the ratios' standard deviation) are clustered as
-content. Ratios alone lose short paragraphs, headings and the ends of an article, so the clusters choose a region and
-the page's structure gives its bounds: the article or main element, or else the smallest element, that holds nearly
-all clustered text; all of its content lines are the text.
+text (an article, main, an h1 or most of the text) is a wrapper and stays. The ratio of text characters to tags of each
+other line is smoothed by a Gaussian kernel, and lines above a threshold (a share of the ratios' standard deviation) are
+clustered as content. Ratios alone lose short paragraphs, headings and the ends of an article, so the clusters choose a
+region and the page's structure gives its bounds: the smallest element around all clustered lines but those of link
+text alone, widened as region() says; all of its content lines are the text.
 
 White space inside a block becomes one space; blocks are joined by one newline. Defined cases: null and empty pages
 have an empty text; pages of nothing but removed parts too; repeated rows get a row each; other columns are ignored.
@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Production parameters: kernel radius and width in lines, threshold in standard deviations, share of text in a region.
-RADIUS, SIGMA, THRESHOLD, SHARE = 2, 1.0, 0.5, 0.9
+#: Production parameters: kernel radius and width in lines, threshold in standard deviations.
+RADIUS, SIGMA, THRESHOLD = 2, 1.0, 0.5
 
 # Element names, and words of class and id attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -89,7 +89,9 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, int, int]] = []  # name, number, removed()
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
         self.names: dict[int, str] = {0: ""}
+        self.linked: list[bool] = []  # whether a line is link text alone
         self.parts: list[str] = []
+        self.plain = 0  # characters outside links of the line so far
         self.tags, self.count, self.skipping = 0, 0, 0
         self.spared = spared
         self.called: dict[int, tuple[int, ...]] = {}  # elements removed by what they are called, and those around them
@@ -102,8 +104,10 @@ class Lines(HTMLParser):
         text = _SPACE.sub(" ", "".join(self.parts)).strip(" ")
         self.parts = []
         if text:
+            self.linked.append(self.plain == 0 and not any(name in HEADINGS for name, _, _ in self.open))
             self.lines.append((text, self.tags, (0, *(n for name, n, _ in self.open if name in SCOPES))))
             self.tags = 0
+        self.plain = 0
 
     def shut(self, k: int) -> None:
         """Ends the k-th open element and all inside it."""
@@ -166,6 +170,8 @@ class Lines(HTMLParser):
                 self.text[n] = self.text.get(n, 0) + size
         if not self.skipping and not (self.open and any(name == "header" for name, _, _ in self.open) and not any(name in HEADINGS for name, _, _ in self.open)):
             self.parts.append(data)
+            if not any(name == "a" for name, _, _ in self.open):
+                self.plain += len(data.strip())
 
 
 def wrappers(parser: Lines) -> frozenset[int]:
@@ -203,25 +209,26 @@ def content_lines(lines: list[tuple[str, int, tuple[int, ...]]]) -> np.ndarray:
     return ratios >= min(THRESHOLD * ratios.std(), ratios.max())
 
 
-def region(lines: list[tuple[str, int, tuple[int, ...]]], names: dict[int, str]) -> int:
-    """The element that bounds the main text."""
-    mass: dict[int, int] = {}
-    total, depth = 0, {0: 0}
-    for (text, _, path), content in zip(lines, content_lines(lines), strict=True):
-        if content:
-            total += len(text)
-            for d, n in enumerate(path):
-                mass[n], depth[n] = mass.get(n, 0) + len(text), d
-    named = [n for n in mass if names[n] in ("article", "main")]
-    if named:
-        best = max(named, key=lambda n: (mass[n], depth[n]))
-        if mass[best] >= total / 3:
-            # Several articles of like size are one page's text together.
-            if names[best] == "article" and sum(mass[n] for n in named if names[n] == "article" and n != best) > mass[best] / 2:
-                pass
-            else:
-                return best
-    return max((n for n in mass if mass[n] >= SHARE * total), key=lambda n: depth[n], default=0)
+def region(lines: list[tuple[str, int, tuple[int, ...]]], names: dict[int, str], linked: list[bool]) -> int:
+    """The element that bounds the main text: the smallest around all clustered lines, less those of link text alone.
+
+    In an article or main it is widened to the outermost article and on to main, elsewhere to the elements around it,
+    as long as that adds no line of link text alone; an article or main is taken whole.
+    """
+    clustered = content_lines(lines)
+    paths = [path for (_, _, path), c, link in zip(lines, clustered, linked, strict=True) if c and not link] or [path for (_, _, path), c in zip(lines, clustered, strict=True) if c]
+    shared = 0
+    while all(len(p) > shared and p[shared] == paths[0][shared] for p in paths):
+        shared += 1
+    inside = paths[0][:shared]
+    bounds = [d for d, n in enumerate(inside) if names[n] in ("article", "main")]
+    articles = [d for d in bounds if names[inside[d]] == "article"]
+    at = articles[0] if articles else bounds[0] if bounds else shared - 1
+    links = [path for (_, _, path), link in zip(lines, linked, strict=True) if link]
+    least = bounds[0] if bounds else 0
+    while at > least and not any(inside[at - 1] in path and inside[at] not in path for path in links):
+        at -= 1
+    return inside[at]
 
 
 def parsed(html: str, spared: frozenset[int] = frozenset()) -> Lines:
@@ -241,7 +248,7 @@ def main_text(html: str | None) -> str:
         parser = parsed(html, spared)
     if not parser.lines:
         return ""
-    within = region(parser.lines, parser.names)
+    within = region(parser.lines, parser.names, parser.linked)
     return "\n".join(text for text, _, path in parser.lines if within in path)
 
 

@@ -380,6 +380,23 @@ def test_html_wrappers(wrap, inner):
     assert html_text.main_text(page).split("\n") == ["Title", *paras]
 
 
+LONG = "long text here " * 40 + "end"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div><h1>Title</h1><p>lead</p><div class=body>{LONG}</div><p>end</p></div>", ["Title", "lead", LONG, "end"]),
+        *[(f"<body><h1>Title</h1><p>lead</p><{e}>{LONG}</{e}><p>end</p></body>", ["Title", "lead", LONG, "end"]) for e in ("blockquote", "section", "ul", "div")],
+        (f"<body><article><p>{LONG}</p></article><article><p>{LONG[400:]}</p></article></body>", [LONG, LONG[400:]]),
+        (f"<body><article><p>{LONG[300:]}</p></article><div><p>{LONG}</p></div></body>", [LONG[300:], LONG]),
+        (f"<body><main><h1>Title</h1><article><p>{LONG}</p><p>k.</p></article></main></body>", ["Title", LONG, "k."]),
+    ],
+)
+def test_html_region_holds_all_content(page, want):
+    assert html_text.main_text(page).split("\n") == [w.strip() for w in want]
+
+
 def test_html_on_table(spark):
     import html as H
 
