@@ -1,22 +1,32 @@
 """Main text of web pages by text-to-tag ratios.
 
-Events of the standard library's HTML parser are turned into lines, one for each block of the page, while it streams:
-a line has its text, the number of tags met since the line before, and the elements it stands in. Lines inside menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments, by element,
-role or words of class and id, are not content; but a form, or an element with such a word, that encloses the main
-text (an article, main, an h1 or most of the text) is a wrapper and stays. The ratio of text characters to tags of each
-other line is smoothed by a Gaussian kernel, and lines above a threshold (a share of the ratios' standard deviation) are
-clustered as content. Ratios alone lose short paragraphs, headings and the ends of an article, so the clusters choose a
-region and the page's structure gives its bounds: the smallest element around all clustered lines but those of link
-text alone, widened as region() says; all of its content lines are the text.
-
-White space inside a block becomes one space; blocks are joined by one newline. Defined cases: null and empty pages
-have an empty text; pages of nothing but removed parts too; repeated rows get a row each; other columns are ignored.
+Events of the standard library's HTML parser are turned into lines, one for each block of the page, while it streams: a
+line has its text, the number of tags met since the line before, and the element it stands in. Text inside menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments is left out by
+element, role, or a class or id that names such a part as a whole (`related-posts`, not `related-work` or `has-sidebar`);
+but a form, or an element so named, that encloses the main text (an article, main, an h1 or most of the text) is a
+wrapper and stays. The ratio of text characters to tags of each other line, less where a class or id only mentions such
+a part (HINTED), is smoothed by a Gaussian kernel, and lines above a threshold (a share of the ratios' standard
+deviation) are clustered as content. Clustered lines that are not link text alone are the core.
+
+The region is the smallest element around the core, widened as region() says. An article or main is taken whole. In
+any other region the clusters decide: the lines from the first of the core to the last are the text, and before and
+after them those whose nearest box (a div, section, table cell or the like inside the region) holds some of the core or
+that are in no box, as titles, leads and ends are; a box of nothing but short lines or links is none of the text.
+
+White space inside a block becomes one space; blocks are joined by one newline. Elements are numbered as they start, so
+an element holds the numbers up to the last one inside it, and no step looks at all open elements of each line: the time
+grows in proportion to the page. A tag or comment that the page's end leaves unfinished is dropped, as browsers do.
+
+Defined cases: null and empty pages have an empty text; pages of nothing but removed parts too; elements may be nested
+to any depth and need not be closed; very long pages are taken whole; repeated rows get a row each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -26,8 +36,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Production parameters: kernel radius and width in lines, threshold in standard deviations.
-RADIUS, SIGMA, THRESHOLD = 2, 1.0, 0.5
+#: Production parameters: kernel radius and width in lines, threshold in standard deviations, factor of hinted lines' ratios.
+RADIUS, SIGMA, THRESHOLD, HINTED = 2, 1.0, 0.5, 0.5
 
 # Element names, and words of class and id attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +50,7 @@ REMOVED = frozenset(
     "aside button canvas dialog embed fieldset footer form head iframe input math menu nav noscript object option script "
     "select style svg template textarea title".split()
 )
+BOXES = frozenset("blockquote center details div dl figure form section table td th ol ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 WORDS = frozenset(
@@ -48,6 +59,11 @@ WORDS = frozenset(
     "notices notification pagination pager popup promo promoted promotion recommended related replies responses share sharing "
     "sidebar signup social sponsor sponsored subscribe subscription tags teaser toolbar widget widgets".split()
 )
+#: Words that leave the meaning of one of WORDS beside them as it is.
+PLAIN = frozenset(
+    "area articles bar block bottom box boxes button buttons container content global icons inner item items left links list "
+    "main outer page pages panel posts primary reader right secondary section site stories thread top us user wrap wrapper".split()
+)
 #: Elements whose start ends an open one of the same kind, and of those named.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements beyond which an implied end does not reach.
@@ -55,99 +71,106 @@ SCOPES = frozenset("article aside blockquote body div dl footer form header li m
 _SPLIT = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
+STAYS, HINT, NAMED, GONE = range(4)
+
 
-def removed(tag: str, attributes: dict[str, str | None], inside_article: bool) -> int:
-    """Whether an element's content is no main text by what it is (2), or by what it is called or as a form (1)."""
+def role_of(tag: str, attributes: dict[str, str | None], inside_article: bool) -> int:
+    """GONE: an element is no main text by what it is; NAMED: by what it is called, or as a form; HINT: its name has such a word."""
     if tag in REMOVED and tag != "form" or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return 2
+        return GONE
     if tag == "header" and not inside_article:
-        return 2
+        return GONE
     if (attributes.get("role") or "").lower() in ROLES:
-        return 2
+        return GONE
     if re.search(r"display\s*:\s*none", attributes.get("style") or ""):
-        return 2
+        return GONE
     if tag == "form":
-        return 1
-    if tag in ("html", "body", "main") or tag in HEADINGS:
-        return 0
-    names = f"{attributes.get('class') or ''} {attributes.get('id') or ''}"
-    if not names.strip():
-        return 0
-    spaced = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", names).lower()
-    found = WORDS.intersection(_SPLIT.split(spaced))
-    return int(bool(found - {"header", "banner", "form", "tags"} if inside_article else found))
+        return NAMED
+    names = f"{attributes.get('class') or ''} {attributes.get('id') or ''}".split()
+    if not names or tag in ("html", "body", "main") or tag in HEADINGS:
+        return STAYS
+    words = WORDS - {"header", "banner", "form", "tags"} if inside_article else WORDS
+    found = STAYS
+    for name in names:
+        parts = {p for p in _SPLIT.split(re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", name).lower()) if p}
+        if parts & words:
+            if parts <= words | PLAIN:
+                return NAMED
+            found = HINT
+    return found
 
 
-class Lines(HTMLParser):
-    """Lines of a page: (text, tags, path of open elements). An element is a number; 0 is the page.
+class Line:
+    """Parts of text with the element that each stands in, the tags before it, and the innermost element open at its end."""
 
-    Elements of the numbers in spared are not removed by what they are called, nor as forms.
-    """
+    __slots__ = ("parts", "tags", "node", "heading")
+
+    def __init__(self, parts: list[tuple[int, bool, str]], tags: int, node: int, heading: bool) -> None:
+        self.parts, self.tags, self.node, self.heading = parts, tags, node, heading
 
-    def __init__(self, spared: frozenset[int] = frozenset()) -> None:
+
+class Page(HTMLParser):
+    """Lines and elements of a page. An element is a number in order of their starts; 0 is the page."""
+
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, int]] = []  # name, number, removed()
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.names: dict[int, str] = {0: ""}
-        self.linked: list[bool] = []  # whether a line is link text alone
-        self.parts: list[str] = []
-        self.plain = 0  # characters outside links of the line so far
-        self.tags, self.count, self.skipping = 0, 0, 0
-        self.spared = spared
-        self.called: dict[int, tuple[int, ...]] = {}  # elements removed by what they are called, and those around them
-        self.text: dict[int, int] = {0: 0}  # characters of elements, less what is removed for what it is
-        self.paths: dict[int, tuple[int, ...]] = {}  # elements around each article and main
-        self.headed: dict[int, list[int]] = {}  # elements around each h1
-        self.hard = 0
+        self.names, self.parent, self.role, self.end, self.size = [""], [0], [STAYS], [0], [0]
+        self.open: list[int] = []
+        self.has: Counter[str] = Counter()  # open elements by name
+        self.headings = self.hard = 0
+        self.marks: list[int] = []  # places in open of elements that implied ends look at
+        self.lines: list[Line] = []
+        self.parts: list[tuple[int, bool, str]] = []  # element, whether in a link, text
+        self.tags = 0
 
     def flush(self) -> None:
-        text = _SPACE.sub(" ", "".join(self.parts)).strip(" ")
-        self.parts = []
-        if text:
-            self.linked.append(self.plain == 0 and not any(name in HEADINGS for name, _, _ in self.open))
-            self.lines.append((text, self.tags, (0, *(n for name, n, _ in self.open if name in SCOPES))))
-            self.tags = 0
-        self.plain = 0
+        if self.parts:
+            self.lines.append(Line(self.parts, self.tags, self.open[-1] if self.open else 0, self.headings > 0))
+            self.parts, self.tags = [], 0
 
     def shut(self, k: int) -> None:
         """Ends the k-th open element and all inside it."""
-        self.skipping -= sum(gone > 0 for _, _, gone in self.open[k:])
-        self.hard -= sum(gone == 2 for _, _, gone in self.open[k:])
+        last = len(self.names) - 1
+        for n in self.open[k:]:
+            name = self.names[n]
+            self.end[n] = last
+            self.has[name] -= 1
+            self.headings -= name in HEADINGS
+            self.hard -= self.role[n] == GONE
         del self.open[k:]
+        while self.marks and self.marks[-1] >= k:
+            self.marks.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
         if tag == "br":
-            self.parts.append(" ")
-        if tag == "body":
-            for k, (name, _, _) in enumerate(self.open):
-                if name == "head":
+            self.text(" ")
+        if tag == "body" and self.has["head"]:
+            self.shut(next(k for k, n in enumerate(self.open) if self.names[n] == "head"))
+        if tag in ENDS:
+            for k in reversed(self.marks):
+                name = self.names[self.open[k]]
+                if name in ENDS[tag]:
                     self.shut(k)
                     break
-        for k in range(len(self.open) - 1, -1, -1) if tag in ENDS else ():
-            if self.open[k][0] in ENDS[tag]:
-                self.shut(k)
-                break
-            if self.open[k][0] in SCOPES:
-                break
+                if name in SCOPES:
+                    break
         if tag in VOID:
             return
-        self.count += 1
-        inside = any(name == "article" for name, _, _ in self.open)
-        gone = removed(tag, dict(attrs), inside)
-        if gone == 1:
-            self.called[self.count] = (0, *(n for _, n, _ in self.open))
-            gone = 0 if self.count in self.spared else 1
-        self.skipping += gone > 0
-        self.hard += gone == 2
-        if tag in ("article", "main") and not self.hard:
-            self.paths[self.count] = tuple(n for _, n, _ in self.open)
-        if tag == "h1" and not self.hard:
-            self.headed[self.count] = [n for _, n, _ in self.open]
-        self.names[self.count] = tag
-        self.open.append((tag, self.count, gone))
+        role, n = role_of(tag, dict(attrs), self.has["article"] > 0), len(self.names)
+        self.names.append(tag)
+        self.parent.append(self.open[-1] if self.open else 0)
+        self.role.append(role)
+        self.end.append(n)
+        self.size.append(0)
+        if tag in ENDS or tag in SCOPES:
+            self.marks.append(len(self.open))
+        self.open.append(n)
+        self.has[tag] += 1
+        self.headings += tag in HEADINGS
+        self.hard += role == GONE
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -158,41 +181,84 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self.shut(k)
-                return
+        if self.has[tag] > 0:
+            k = len(self.open) - 1
+            while self.names[self.open[k]] != tag:
+                k -= 1
+            self.shut(k)
+
+    def text(self, data: str) -> None:
+        if not self.hard and not (self.has["header"] and not self.headings):
+            self.parts.append((self.open[-1] if self.open else 0, self.has["a"] > 0, data))
 
     def handle_data(self, data: str) -> None:
-        if not self.hard and (size := len(data.strip())):
-            self.text[0] += size
-            for _, n, _ in self.open:
-                self.text[n] = self.text.get(n, 0) + size
-        if not self.skipping and not (self.open and any(name == "header" for name, _, _ in self.open) and not any(name in HEADINGS for name, _, _ in self.open)):
-            self.parts.append(data)
-            if not any(name == "a" for name, _, _ in self.open):
-                self.plain += len(data.strip())
+        if not self.hard:
+            self.size[self.open[-1] if self.open else 0] += len(data.strip())
+        self.text(data)
+
+    def finish(self) -> None:
+        """What an unfinished tag or comment leaves over is dropped; the rest is text."""
+        cut = self.rawdata.find("<")
+        self.rawdata = self.rawdata if cut < 0 else self.rawdata[:cut]
+        self.close()
+        self.flush()
+        self.shut(0)
+        self.end[0] = len(self.names) - 1
 
 
-def wrappers(parser: Lines) -> frozenset[int]:
-    """Elements removed by what they are called, or as forms, that hold the page's main text and not an addition to it.
+def parsed(html: str) -> Page:
+    page = Page()
+    page.feed(html)
+    page.finish()
+    return page
 
-    They are or enclose an article of at least half of the largest one's text, or main; or hold more than half of the text
-    of the article, main or page that they stand in; or hold an h1 where the page has no article.
+
+def removed_of(page: Page) -> list[bool]:
+    """For each element whether its text is left out.
+
+    An element of what is called so stays if it holds the page's main text and not an addition to it: it is or encloses
+    an article of at least half of the largest one's text, or main; or holds more than half of the text of the article,
+    main or page that it stands in; or holds an h1 where the page has no article.
     """
-    size, names = parser.text, parser.names
-    articles = [n for n, name in names.items() if name == "article" and size.get(n, 0)]
-    most = max((size[n] for n in articles), default=0)
-    kept = {n for n in articles if 2 * size[n] >= most} | {n for n, name in names.items() if name == "main" and size.get(n, 0)}
-    around = {x for n in kept for x in parser.paths.get(n, ())} | kept
-    heads = set() if articles else {x for path in parser.headed.values() for x in path}
-    spared = set()
-    for n, path in parser.called.items():
-        inside = next((x for x in reversed(path) if x in kept), 0)
-        apart = not inside and kept  # beside the articles: more than half of the page does not make it one
-        if n in around or n in heads or not apart and 2 * size.get(n, 0) > size.get(inside, 0) > 0:
-            spared.add(n)
-    return frozenset(spared)
+    n, names, parent = len(page.names), page.names, page.parent
+    size, gone = list(page.size), [False] * n
+    for k in range(1, n):
+        gone[k] = gone[parent[k]] or page.role[k] == GONE
+    for k in range(n - 1, 0, -1):
+        size[parent[k]] += size[k]
+    articles = [k for k in range(n) if names[k] == "article" and size[k] and not gone[k]]
+    most = max((size[k] for k in articles), default=0)
+    kept = {k for k in articles if 2 * size[k] >= most} | {k for k in range(n) if names[k] == "main" and size[k] and not gone[k]}
+    holds = [k in kept or not articles and names[k] == "h1" and not gone[k] for k in range(n)]
+    for k in range(n - 1, 0, -1):
+        if holds[k] and names[k] != "h1" or holds[k] and not articles:
+            holds[parent[k]] = True
+    inside = [0] * n  # the nearest kept article or main around an element
+    out = [False] * n
+    for k in range(1, n):
+        p = parent[k]
+        inside[k] = p if p in kept else inside[p]
+        named = page.role[k] == NAMED and not holds[k] and not (2 * size[k] > size[inside[k]] > 0 and (inside[k] or not kept))
+        out[k] = out[p] or gone[k] or named
+    return out
+
+
+def content(page: Page) -> list[tuple[str, int, int, bool, bool]]:
+    """(text, tags, element, whether link text alone, whether hinted) of the lines that aren't removed."""
+    out, removed = [], removed_of(page)
+    hinted = [False] * len(page.names)
+    for k in range(1, len(hinted)):
+        hinted[k] = hinted[page.parent[k]] or page.role[k] == HINT
+    tags = 0
+    for line in page.lines:
+        tags += line.tags
+        parts = [p for p in line.parts if not removed[p[0]]]
+        text = _SPACE.sub(" ", "".join(p[2] for p in parts)).strip(" ")
+        if text:
+            link = not line.heading and not any(not a and data.strip() for _, a, data in parts)
+            out.append((text, tags, line.node, link, hinted[line.node]))
+            tags = 0
+    return out
 
 
 def smoothed(ratios: np.ndarray, radius: int = RADIUS, sigma: float = SIGMA) -> np.ndarray:
@@ -203,53 +269,58 @@ def smoothed(ratios: np.ndarray, radius: int = RADIUS, sigma: float = SIGMA) ->
     return total / np.convolve(np.ones(len(ratios)), kernel, "full")[radius : radius + len(ratios)]
 
 
-def content_lines(lines: list[tuple[str, int, tuple[int, ...]]]) -> np.ndarray:
+def content_lines(lines: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
     """Whether each line is in a content cluster by its smoothed text-to-tag ratio."""
-    ratios = smoothed(np.array([len(t) / max(1, n) for t, n, _ in lines], float))
+    ratios = smoothed(np.array([len(t) / max(1, n) * (HINTED if hint else 1) for t, n, _, _, hint in lines], float))
     return ratios >= min(THRESHOLD * ratios.std(), ratios.max())
 
 
-def region(lines: list[tuple[str, int, tuple[int, ...]]], names: dict[int, str], linked: list[bool]) -> int:
-    """The element that bounds the main text: the smallest around all clustered lines, less those of link text alone.
+def region(page: Page, lines: list[tuple[str, int, int, bool, bool]], core: list[int]) -> tuple[int, bool]:
+    """The element that bounds the main text, and whether it is taken whole: the smallest around the core.
 
     In an article or main it is widened to the outermost article and on to main, elsewhere to the elements around it,
-    as long as that adds no line of link text alone; an article or main is taken whole.
+    as long as that adds no line of link text alone.
     """
-    clustered = content_lines(lines)
-    paths = [path for (_, _, path), c, link in zip(lines, clustered, linked, strict=True) if c and not link] or [path for (_, _, path), c in zip(lines, clustered, strict=True) if c]
-    shared = 0
-    while all(len(p) > shared and p[shared] == paths[0][shared] for p in paths):
-        shared += 1
-    inside = paths[0][:shared]
-    bounds = [d for d, n in enumerate(inside) if names[n] in ("article", "main")]
-    articles = [d for d in bounds if names[inside[d]] == "article"]
-    at = articles[0] if articles else bounds[0] if bounds else shared - 1
-    links = [path for (_, _, path), link in zip(lines, linked, strict=True) if link]
-    least = bounds[0] if bounds else 0
-    while at > least and not any(inside[at - 1] in path and inside[at] not in path for path in links):
-        at -= 1
-    return inside[at]
-
-
-def parsed(html: str, spared: frozenset[int] = frozenset()) -> Lines:
-    parser = Lines(spared)
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    return parser
+    parent, end = page.parent, page.end
+    nodes = [lines[k][2] for k in core]
+    low, high = min(nodes), max(nodes)
+    at = low
+    while end[at] < high:
+        at = parent[at]
+    around, k = [], at
+    while k:
+        if page.names[k] in ("article", "main"):
+            around.append(k)
+        k = parent[k]
+    articles = [k for k in around if page.names[k] == "article"]
+    at = articles[-1] if articles else around[-1] if around else at
+    least = around[-1] if around else 0
+    links = sorted(line[2] for line in lines if line[3])
+    held = lambda k: bisect_right(links, end[k]) - bisect_left(links, k)
+    while at != least and held(parent[at]) == held(at):
+        at = parent[at]
+    return at, bool(around)
 
 
 def main_text(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
-    parser = parsed(html)
-    if spared := wrappers(parser):
-        parser = parsed(html, spared)
-    if not parser.lines:
+    page = parsed(html)
+    lines = content(page)
+    if not lines:
         return ""
-    within = region(parser.lines, parser.names, parser.linked)
-    return "\n".join(text for text, _, path in parser.lines if within in path)
+    clustered = np.flatnonzero(content_lines(lines)).tolist()
+    core = [k for k in clustered if not lines[k][3]] or clustered
+    at, whole = region(page, lines, core)
+    inside = [k for k, line in enumerate(lines) if at <= line[2] <= page.end[at]]
+    if not whole:
+        box = [0] * len(page.names)  # the nearest box inside the region
+        for k in range(at + 1, page.end[at] + 1):
+            box[k] = k if page.names[k] in BOXES else box[page.parent[k]]
+        full = {box[lines[k][2]] for k in core} | {0}
+        inside = [k for k in inside if core[0] <= k <= core[-1] or box[lines[k][2]] in full]
+    return "\n".join(lines[k][0] for k in inside)
 
 
 TEXTS = T.StructType(
