@@ -293,3 +293,33 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[object, st
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((doc_id, len(words), len(hit), len(found), digest, bool(hit)))
     return out
+
+
+def _sql() -> str:
+    """The same rows as contamination() in DuckDB's SQL: exact windows by their text, nearby ones by counting terms for each start."""
+    words = lambda c: f"regexp_extract_all(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    return f"""
+with d as (select row_number() over () as r, doc_id, {words('text')} as w from documents),
+b as (select coalesce(cast(item_id as varchar), '') as item, {words('text')} as w from benchmark),
+iw as (select distinct item, w[i:i + {WINDOW - 1}] as g from (select item, w, unnest(range(1, greatest(1, len(w) - {WINDOW - 1}) + 1)) as i from b where len(w) > 0)),
+g as (select row_number() over () as k, g, len(g) as n, list(item) as items from iw group by g),
+p as (select r, unnest(w) as term, unnest(range(len(w))) as i from d),
+x as (select r, w, n, unnest(range(len(w) - n + 1)) as i from d, (select distinct n from g) where n <= len(w)),
+h as (select r, i, k, x.n, items from (select r, i, n, array_to_string(w[i + 1:i + n], ' ') as s from x) x join (select *, array_to_string(g, ' ') as s from g) g on g.n = x.n and g.s = x.s),
+hit as (select r, count(distinct j) as n_hit from (select r, unnest(range(i, i + n)) as j from h) group by r),
+found as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, unnest(items) as item from h) group by r),
+o as (select k, n, unnest(g) as term, unnest(range(n)) as j from g),
+df as (select term, count(*) as f from p group by term),
+rare as (select k, any_value(n) as n, arg_min(o.term, (f, j)) as term, arg_min(j, (f, j)) as j from o join df on df.term = o.term group by k having count(*) = any_value(n)),
+c as (select r, k, i - j + s as start from rare join p using (term), (select unnest(range(-{SLOP}, {SLOP + 1})) as s)),
+near as (select distinct r, k from (select c.r, c.k, c.start from c join o on o.k = c.k join p on p.r = c.r and p.term = o.term and p.i between c.start + o.j - {SLOP} and c.start + o.j + {SLOP}
+         group by c.r, c.k, c.start having count(distinct o.j) = any_value(o.n))),
+n as (select r, count(distinct item) as n_near from (select r, unnest(items) as item from near join g using (k)) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0) as n_near_items
+from d left join hit using (r) left join found using (r) left join n using (r)
+"""
+
+
+#: Of contamination().
+SQL = _sql()

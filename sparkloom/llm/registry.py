@@ -54,6 +54,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.col("n_lexed"))
 
 
+def base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8 finds by the fixed patterns alone, for its SQL."""
+    return secrets.scan(table(spark, sf_dir, "documents")).select(*secrets.BASE)
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -72,10 +77,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontaminate": op6,
         "op7_near_duplicates": op7,
         "op8_secrets": op8,
+        "secret_base_spans": base_spans,
         "op9_packing": op9,
         "op10_preference_format": op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.SQL, "op4_quality_rules": quality_rules.SQL, "op2_token_rollups": token_rollups.SQL, "op10_preference_format": preference_format.SQL}
+    return {
+        "op1_warc": warc.SQL,
+        "op2_token_rollups": token_rollups.SQL,
+        "op4_quality_rules": quality_rules.SQL,
+        "op6_decontaminate": decontaminate.SQL,
+        "op10_preference_format": preference_format.SQL,
+        "secret_base_spans": secrets.BASE_SQL,
+    }

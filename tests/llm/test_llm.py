@@ -4,12 +4,14 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
+import slow_html
 from pyspark.sql import functions as F
 
 from compare import same
@@ -262,6 +264,43 @@ def test_secret_lexer_forms(text):
     assert "sk9a" not in masked and "letmein" not in masked and "[SECRET]" in masked
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('password = "s3cr3t" "Pass99x"', ["s3cr3t", "Pass99x"]), ('pwd = (\n  "s3cr3t"\n  "Pass99x")', ["s3cr3t", "Pass99x"]), ("[db]\n\tpwd = s3cr3tPass99", ["s3cr3tPass99"]),
+        ("password:\n\ts3cr3tPass99", ["s3cr3tPass99"]), ('pwd = "abc\\\ndef99x"', ["abc\\\ndef99x"]), ("pwd=abc123&user=bob", ["abc123"]), ('pwd = b"s3cr3tPass99"', ["s3cr3tPass99"]),
+        ('cfg["pwd"] = "s3cr3tPass99"', ["s3cr3tPass99"]), ("x_pwd=a1=b2=c3d4e5", ["a1=b2=c3d4e5"]), ('if pwd == "hunter2hunter": pass', []), ('$pwd="hunter2hunter";', ["hunter2hunter"]),
+        ('pwd != "hunter2hunter"', []), ('a = b = signing_key = "sk9aZ81qqPlm"', ["sk9aZ81qqPlm"]), ('k = "sk9aZ81qqPlm"\nj = k\nclient_secret = j', ["sk9aZ81qqPlm"]),
+    ],
+)
+def test_secret_lexer_values(text, found):
+    assert [text[a:b] for a, b, _ in secrets.lexed_spans(text)] == found
+
+
+@pytest.mark.parametrize("unit", ["a", "aB3_-", "'", '"', '\\"', "<a>", "<token>", "token|", "x:y[", 'token="', "a=", "token = ", "token:\n "])
+def test_secret_time_grows_with_the_text(unit):
+    """Runs of 1 MB; one that restarted inside a run would take hours."""
+    text = "token " + unit * ((1 << 20) // len(unit))
+    began = time.time()
+    secrets.spans_of(text)
+    assert time.time() - began < (1.5 if "=" not in unit and ":" not in unit else 40)
+
+
+def test_secret_base_by_plain_patterns(spark):
+    for r in secrets.scan(common.table(spark, SF, "documents")).join(common.table(spark, SF, "documents").select("doc_id", "text"), "doc_id").collect():
+        want = []
+        for k, (pattern, ok) in enumerate(((secrets.ASSIGN.pattern, lambda m: len(m[2]) >= 6), ("AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("[0-9a-f]+", lambda m: len(m[0]) >= 24))):
+            want += [(m.start(), k, m.end()) for m in re.finditer(pattern, r.text or "", 0 if k else re.I | re.A) if ok(m)]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(want)).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == k for x in want) for k in range(3))
+
+
+def test_secret_repeated_rows_and_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "token = abcdefgh1", "x")] * 2 + [(2, None, None)], "doc_id long, text string, spans string")
+    assert sorted((r.doc_id, r.n_assign) for r in secrets.scan(rows).collect()) == [(1, 1), (1, 1), (2, 0)]
+    assert sorted((r.doc_id, r.text or "", r.spans or "") for r in secrets.redact(rows).collect()) == [(1, "[SECRET]", "x")] * 2 + [(2, "", "")]
+
+
 def test_secret_lexer_leaves_names_and_types():
     for text in ("pwd = load_pwd()", 'pwd = environ["X"]', "def f(pwd: string, n: int)", "self.passphrase = passphrase", "passphrase:\n  - first\n", 'pwd: str = getenv("PWD")'):
         assert secrets.lexed_spans(text) == [], text
@@ -397,6 +436,71 @@ def test_html_region_holds_all_content(page, want):
     assert html_text.main_text(page).split("\n") == [w.strip() for w in want]
 
 
+def generated_page(r, article):
+    """A page of nested boxes, paragraphs, links and named parts, some of them not closed."""
+    words = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    names = ["", "", "", ' class="has-sidebar"', ' class="related-posts"', ' class="content"', ' id="comments"', ' class="share-price"', ' class="note"']
+
+    def part(depth):
+        kind = r.random()
+        if kind < 0.35:
+            return f"<p>{words(r.choice([2, 5, 40, 80]))}" + r.choice(["</p>", ""])
+        if kind < 0.45:
+            return "".join(f"<a href=x>{words(1)}</a> " for _ in range(r.randint(1, 4)))
+        if kind < 0.5:
+            return f"<h2>{words(3)}</h2>"
+        if kind < 0.55:
+            return f"<ul><li>{words(3)}<li>{words(r.choice([3, 30]))}</ul>"
+        if depth > 3:
+            return words(r.choice([1, 30])) + " <br> &amp; "
+        tag = r.choice(["div", "div", "section", "blockquote", "form", "header", "span", "nav", "b"])
+        return f"<{tag}{r.choice(names)}>" + "".join(part(depth + 1) for _ in range(r.randint(1, 4))) + r.choice([f"</{tag}>"] * 4 + [""])
+
+    body = "".join(part(0) for _ in range(r.randint(1, 7)))
+    return f"<html><head><title>x</title><body>{part(2)}{'<article>' + body + '</article>' if article else body}{part(2)}</body></html>"
+
+
+def test_html_equals_the_slow_form(spark):
+    r = random.Random(11)
+    pages = [generated_page(r, k % 4 == 0) for k in range(400)] + [p.html for p in common.table(spark, SF, "pages").select("html").limit(20).collect()]
+    assert sum(html_text.main_text(p) != "" for p in pages) > 300
+    for p in pages:
+        assert html_text.main_text(p) == slow_html.main_text(p), p
+
+
+def test_html_clusters_decide():
+    """Without an article the text changes when the clusters are switched off or drawn at random."""
+    r = random.Random(12)
+    pages = [generated_page(r, False) for _ in range(200)]
+    found = [html_text.main_text(p) for p in pages]
+    off = [slow_html.main_text(p, lambda n: list(range(n))) for p in pages]
+    drawn = [slow_html.main_text(p, lambda n: [k for k in range(n) if r.random() < 0.5] or [0]) for p in pages]
+    assert sum(a != b for a, b in zip(found, off, strict=True)) > 20 and sum(a != b for a, b in zip(found, drawn, strict=True)) > 20
+    page = f"<body><div>Sign in</div><div>Top stories</div><div>All of today</div><div><p>{LONG}</p><p>{LONG}</p><p>End.</p></div><div>Say hello</div><div>Write to us</div><div>Printed here</div></body>"
+    assert html_text.main_text(page).split("\n") == [LONG, LONG, "End."]
+
+
+PARAGRAPHS = f"<p>{LONG}</p><p>{LONG[3:]}</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><div class="layout has-sidebar">{PARAGRAPHS}</div></body>', f'<body><article class="post comments-open">{PARAGRAPHS}</article></body>', f'<body><div class="page-with-menu"><main>{PARAGRAPHS}</main></div></body>',
+        f'<article><div class="share-price"><p>{LONG}</p></div><p>{LONG[3:]}</p></article>', f'<article><section class="related-work"><p>{LONG}</p></section><p>{LONG[3:]}</p></article>',
+    ],
+)
+def test_html_names_that_only_mention(page):
+    assert html_text.main_text(page).split("\n") == [LONG, LONG[3:].strip()]
+
+
+@pytest.mark.parametrize("unit", ["<div>x", "<b>", "<a ", "<a b=\"", "<!--", "</", "<p><b>", "<li><div><b>", "<ul><li>x", "&amp;", "<div class=ad>x"])
+def test_html_time_grows_with_the_page(unit):
+    began = time.time()
+    html_text.main_text(unit * (200_000 // len(unit)) + f"<p>{LONG}")
+    assert time.time() - began < 20
+
+
 def test_html_on_table(spark):
     import html as H
 
