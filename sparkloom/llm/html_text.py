@@ -7,7 +7,8 @@ element, role, or a class or id that names such a part as a whole (`related-post
 but a form, or an element so named, that encloses the main text (an article, main, an h1 or most of the text) is a
 wrapper and stays. The ratio of text characters to tags of each other line, less where a class or id only mentions such
 a part (HINTED), is smoothed by a Gaussian kernel, and lines above a threshold (a share of the ratios' standard
-deviation) are clustered as content. Clustered lines that are not link text alone are the core.
+deviation) are clustered as content. Clustered lines that have such a ratio of their own, and not only beside others,
+and are not link text alone are the core.
 
 The region is the smallest element around the core, widened as region() says. An article or main is taken whole. In
 any other region the clusters decide: the lines from the first of the core to the last are the text, and before and
@@ -269,10 +270,19 @@ def smoothed(ratios: np.ndarray, radius: int = RADIUS, sigma: float = SIGMA) ->
     return total / np.convolve(np.ones(len(ratios)), kernel, "full")[radius : radius + len(ratios)]
 
 
-def content_lines(lines: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
-    """Whether each line is in a content cluster by its smoothed text-to-tag ratio."""
-    ratios = smoothed(np.array([len(t) / max(1, n) * (HINTED if hint else 1) for t, n, _, _, hint in lines], float))
-    return ratios >= min(THRESHOLD * ratios.std(), ratios.max())
+def content_lines(lines: list[tuple[str, int, int, bool, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each line is in a content cluster by its smoothed text-to-tag ratio, and whether its own ratio is as high."""
+    own = np.array([len(t) / max(1, n) * (HINTED if hint else 1) for t, n, _, _, hint in lines], float)
+    ratios = smoothed(own)
+    limit = min(THRESHOLD * ratios.std(), ratios.max())
+    return ratios >= limit, own >= limit
+
+
+def core_of(lines: list[tuple[str, int, int, bool, bool]]) -> list[int]:
+    """The clustered lines that aren't link text alone and have a high ratio of their own; without any, those that aren't links; else all."""
+    clustered, high = content_lines(lines)
+    texts = clustered & ~np.array([line[3] for line in lines])
+    return np.flatnonzero(next(x for x in (texts & high, texts, clustered) if x.any())).tolist()
 
 
 def region(page: Page, lines: list[tuple[str, int, int, bool, bool]], core: list[int]) -> tuple[int, bool]:
@@ -310,16 +320,16 @@ def main_text(html: str | None) -> str:
     lines = content(page)
     if not lines:
         return ""
-    clustered = np.flatnonzero(content_lines(lines)).tolist()
-    core = [k for k in clustered if not lines[k][3]] or clustered
+    core = core_of(lines)
     at, whole = region(page, lines, core)
     inside = [k for k, line in enumerate(lines) if at <= line[2] <= page.end[at]]
     if not whole:
         box = [0] * len(page.names)  # the nearest box inside the region
         for k in range(at + 1, page.end[at] + 1):
             box[k] = k if page.names[k] in BOXES else box[page.parent[k]]
-        full = {box[lines[k][2]] for k in core} | {0}
-        inside = [k for k in inside if core[0] <= k <= core[-1] or box[lines[k][2]] in full]
+        places = sorted(lines[k][2] for k in core)
+        full = lambda b: not b or bisect_left(places, b) < bisect_right(places, page.end[b])
+        inside = [k for k in inside if core[0] <= k <= core[-1] or full(box[lines[k][2]])]
     return "\n".join(lines[k][0] for k in inside)
 
 

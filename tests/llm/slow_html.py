@@ -111,7 +111,8 @@ def main_text(html, clustered=None):
     mean = sum(smooth) / len(smooth)
     limit = min(H.THRESHOLD * math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)), max(smooth))
     clusters = [k for k, x in enumerate(smooth) if x >= limit] if clustered is None else clustered(len(lines))
-    core = [k for k in clusters if not lines[k][3]] or clusters
+    texts = [k for k in clusters if not lines[k][3]]
+    core = [k for k in texts if ratios[k] >= limit or clustered is not None] or texts or clusters
     paths = [lines[k][2] for k in core]
     depth = 1
     while all(len(p) > depth and p[: depth + 1] == paths[0][: depth + 1] for p in paths):
@@ -126,7 +127,7 @@ def main_text(html, clustered=None):
         at = at[:-1]
     inside = [k for k, line in enumerate(lines) if within(line[2], at)]
     if not bounds:
-        box = lambda p: next((e[2] for e in reversed(p[len(at) :]) if e[0] in H.BOXES), None)
-        full = {box(lines[k][2]) for k in core} | {None}
-        inside = [k for k in inside if core[0] <= k <= core[-1] or box(lines[k][2]) in full]
+        box = lambda p: next((p[: d + 1] for d in range(len(p) - 1, len(at) - 1, -1) if p[d][0] in H.BOXES), None)
+        full = lambda own: own is None or any(within(lines[k][2], own) for k in core)
+        inside = [k for k in inside if core[0] <= k <= core[-1] or full(box(lines[k][2]))]
     return "\n".join(lines[k][0] for k in inside)
