@@ -25,7 +25,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_rollups.maintained(table(spark, sf_dir, "documents"))
+    return token_rollups.maintained(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def rollups_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batches of op2 with a tokenizer version that SQL can count by."""
+    return token_rollups.maintained(table(spark, sf_dir, "documents"), "marks-2")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,18 +82,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontaminate": op6,
         "op7_near_duplicates": op7,
         "op8_secrets": op8,
-        "secret_base_spans": base_spans,
         "op9_packing": op9,
         "op10_preference_format": op10,
+        "secret_base_spans": base_spans,
+        "token_rollups_by_pattern": rollups_by_pattern,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": warc.SQL,
-        "op2_token_rollups": token_rollups.SQL,
         "op4_quality_rules": quality_rules.SQL,
         "op6_decontaminate": decontaminate.SQL,
         "op10_preference_format": preference_format.SQL,
         "secret_base_spans": secrets.BASE_SQL,
+        "token_rollups_by_pattern": token_rollups.SQL,
     }

@@ -543,20 +543,65 @@ def test_flat_trees_equal_a_walk():
 
 
 def test_rollups(spark, tmp_path, docs, empty):
-    con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
-    same(registry.op2(spark, SF), con, token_rollups.SQL)
     rollup = token_rollups.Rollup(spark, str(tmp_path / "r"))
     count = lambda rows: {tuple(r) for r in rows.collect()}
     a = spark.createDataFrame([("s", "en", "t", 5), ("s", "en", "t", None), (None, None, "t", 2)], "source string, lang string, tokenizer string, tokens long")
-    for _ in range(3):
-        rollup.commit("1", token_rollups.signed(after=a))
+    assert rollup.totals().count() == 0
+    assert [rollup.commit("1", token_rollups.signed(after=a)) for _ in range(3)] == [True, False, False]
     assert count(rollup.totals()) == {("s", "en", "t", 2, 5), (None, None, "t", 1, 2)}
     rollup.commit("2", token_rollups.signed(after=a.where("tokens = 2").withColumn("tokens", F.lit(9)), before=a.where("tokens = 2")))
     rollup.commit("3", token_rollups.signed(before=a.where("source = 's'")))
-    assert count(rollup.totals()) == {(None, None, "t", 1, 9)} == count(rollup.compact(str(tmp_path / "c")).totals())
-    assert token_rollups.maintained(empty).count() == 0
-    assert token_rollups.maintained(docs).agg(F.sum("n_docs")).first()[0] == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+    rollup.commit("4", token_rollups.signed(after=a.limit(0)))
+    assert count(rollup.totals()) == {(None, None, "t", 1, 9)}
+    rollup.compact()
+    assert count(rollup.totals()) == {(None, None, "t", 1, 9)}
+    for tokenizer in ("marks-2", registry.tokenizer_path()):
+        assert token_rollups.maintained(empty, tokenizer).count() == 0
+        assert token_rollups.maintained(docs, tokenizer).agg(F.sum("n_docs")).first()[0] == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+
+
+def test_rollup_refuses_a_replay_after_compaction(spark, tmp_path):
+    rollup = token_rollups.Rollup(spark, str(tmp_path / "r"))
+    five, nine = (spark.createDataFrame([("s", "en", "t", n)], "source string, lang string, tokenizer string, tokens long") for n in (5, 9))
+    rollup.commit("1", token_rollups.signed(after=five))
+    rollup.commit("2", token_rollups.signed(after=nine, before=five))
+    rollup.compact()
+    assert not rollup.commit("2", token_rollups.signed(after=nine, before=five)) and not rollup.commit("1", token_rollups.signed(after=five))
+    assert [tuple(r) for r in rollup.totals().collect()] == [("s", "en", "t", 1, 9)]
+
+
+def test_rollup_commit_that_breaks_off_changes_nothing(spark, tmp_path):
+    rollup = token_rollups.Rollup(spark, str(tmp_path / "r"))
+    five = spark.createDataFrame([("s", "en", "t", 5)], "source string, lang string, tokenizer string, tokens long")
+    rollup.commit("1", token_rollups.signed(after=five))
+    broken = five.withColumn("tokens", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        rollup.commit("2", token_rollups.signed(after=broken))
+    assert [tuple(r) for r in rollup.totals().collect()] == [("s", "en", "t", 1, 5)]
+    assert rollup.commit("2", token_rollups.signed(after=five)) and rollup.totals().first().n_tokens == 10
+
+
+def test_rollups_by_tokenizer(spark, tmp_path):
+    """op2 against the tokenizer itself; null ids, keys and texts, repeated rows, clashing columns."""
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(registry.tokenizer_path())
+
+    def want(rows):
+        first = {}
+        for doc_id, text, lang, source in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+            first.setdefault(text or "", (source, lang))
+        sums = defaultdict(lambda: [0, 0])
+        for text, key in first.items():
+            sums[key][0] += 1
+            sums[key][1] += len(slow.encode(text, add_special_tokens=False).ids)
+        return {(s, la, "byte_bpe_50k", *n) for (s, la), n in sums.items()}
+
+    rows = [tuple(r) for r in common.table(spark, SF, "documents").select("doc_id", "text", "lang", "source").collect()]
+    assert {tuple(r) for r in registry.op2(spark, SF).collect()} == want(rows)
+    odd = [(None, "null id", None, None), (1, "a b", "en", "s"), (1, "a b", "en", "s"), (2, None, "en", None), (3, "", "de", "t"), (4, "a b", "de", "s")]
+    found = token_rollups.maintained(spark.createDataFrame([(*r, 7, 8, "x") for r in odd], "doc_id long, text string, lang string, source string, tokens long, same int, tokenizer string"), registry.tokenizer_path())
+    assert {tuple(r) for r in found.collect()} == want(odd)
 
 
 def test_preference(spark):
