@@ -3,9 +3,9 @@
 Documents are encoded, each ends with id 0. One longer than the capacity is cut into full pieces, of which the first
 takes the remainder. Piece lengths are at most the capacity, so the whole corpus is summed up by a histogram of that
 many rows; the plan is made on that histogram and its size does not grow with the input. Bin completion: around the
-largest length left, undominated fillings of the room beside it are enumerated, fullest first; a filling is applied
-as often as the histogram allows; a branch is left when its waste exceeds what a better solution than the incumbent
-may have. The first incumbent is best fit decreasing. Pieces take their places in the plan by their rank among
+largest length left, undominated fillings of the room beside it are enumerated, fullest first, and applied once or as
+often as the histogram allows; a branch is left when its waste or lower bound exceeds what a better solution than the incumbent
+may have. Incumbents are best fit decreasing and the way down that always takes the fullest filling of the longest pieces. Pieces take their places in the plan by their rank among
 pieces of equal length, which comes from counts of each partition and so needs no global sort.
 
 Defined cases: null texts are empty; an empty text is one piece, id 0; repeated rows are packed each; no documents
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from . import common
 
 #: Production parameters.
-CAPACITY, NODES, WIDTH = 2048, 20_000, 3
+CAPACITY, NODES, WIDTH = 2048, 2_000, 32
 
 
 class Encoder:
@@ -110,135 +110,195 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
-def fillings(room: int, left: np.ndarray, width: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room from the lengths left (counts by length), fullest first, at most `width`.
-
-    A filling of one length that takes all the room dominates any other; otherwise fillings of two and three lengths
-    are enumerated from large to small, and kept by what they leave empty, then by fewer pieces.
-    """
-    if room <= 0:
-        return [()]
-    if left[room]:
-        return [(room,)]
-    sizes = np.flatnonzero(left[: room + 1])
-    if not len(sizes):
-        return [()]
-    found: list[tuple[int, int, tuple[int, ...]]] = [(room - int(sizes[-1]), 1, (int(sizes[-1]),))]
-    top = np.full(room + 1, 0)
-    top[sizes] = sizes
-    top = np.maximum.accumulate(top)  # the largest length left that is no longer than this
-    first = sizes[::-1]
-    second = top[room - first]
-    ok = (second > 0) & (second <= first) & ((second != first) | (left[first] > 1))
-    for a, b in zip(first[ok].tolist(), second[ok].tolist(), strict=True):
-        found.append((room - a - b, 2, (a, b)))
-        if a + b == room:
-            break
-    if min(found)[0]:
-        for a in first[: 4 * width].tolist() + first[-4 * width :].tolist():
-            rest = room - a
-            b = sizes[(sizes <= min(a, rest))][::-1]
-            c = top[rest - b]
-            use = (c > 0) & (c <= b)
-            if use.any():
-                need = np.stack([np.full(len(b), a), b, c])
-                enough = (left[a] >= 1 + (b == a) + (c == a)) & (left[b] >= 1 + (c == b))
-                use &= enough
-                if use.any():
-                    best = int(np.argmin(np.where(use, rest - b - c, room + 1)))
-                    found.append((int(rest - b[best] - c[best]), 3, tuple(int(x) for x in need[:, best])))
-    out: list[tuple[int, ...]] = []
-    for _, _, f in sorted(found, key=lambda x: (x[0], x[1], tuple(-y for y in x[2]))):
-        if f not in out:
-            out.append(f)
-        if len(out) == width:
+def _reach(room: int, sizes: list[int], counts: list[int], early: bool) -> list[int]:
+    """For each number of leading sizes, the sums up to the room that they allow, as bits. early: no further than the room itself."""
+    mask, full = (1 << (room + 1)) - 1, 1 << room
+    sums, out = 1, [1]
+    for size, count in zip(sizes, counts, strict=True):
+        count, step = min(count, room // size), 1
+        while count > 0:
+            take = min(step, count)
+            sums |= (sums << (size * take)) & mask
+            count, step = count - take, 2 * step
+        out.append(sums)
+        if early and sums & full:
             break
     return out
 
 
-def completed(size: int, filling: tuple[int, ...], left: np.ndarray, capacity: int) -> tuple[int, ...]:
-    """The filling topped up greedily with what still fits, so that no room is wasted that a length left could take."""
-    pattern, room = [size, *filling], capacity - size - sum(filling)
-    spare = left.copy()
-    for s in filling:
-        spare[s] -= 1
-    while room > 0 and len(fit := np.flatnonzero(spare[: room + 1])):
-        pattern.append(int(fit[-1]))
-        spare[fit[-1]] -= 1
-        room -= int(fit[-1])
-    return tuple(pattern)
+def _sizes(room: int, left: np.ndarray) -> tuple[list[int], list[int]]:
+    sizes = np.flatnonzero(left[: room + 1])[::-1]
+    return sizes.tolist(), left[sizes].tolist()
+
+
+def fullest(room: int, left: np.ndarray) -> tuple[int, ...]:
+    """A filling of the largest sum whose smallest piece is as large as can be: short pieces, which fit anywhere, are kept for last."""
+    sizes, counts = _sizes(room, left)
+    reach = _reach(room, sizes, counts, True)
+    rest, i, out = reach[-1].bit_length() - 1, len(reach) - 1, []
+    while rest:
+        while reach[i - 1] >> rest & 1:
+            i -= 1
+        size = sizes[i - 1]
+        while not reach[i - 1] >> rest & 1:
+            out.append(size)
+            rest -= size
+        i -= 1
+    return tuple(out)
+
+
+def dominated(by: tuple[int, ...], filling: tuple[int, ...]) -> bool:
+    """Whether the pieces of a filling go into those of another, several into one: then the other is never worse (Martello and Toth)."""
+    if sum(filling) > sum(by) or len(filling) > 8:
+        return False
+
+    def place(k: int, rooms: tuple[int, ...]) -> bool:
+        return k == len(filling) or any(r >= filling[k] and place(k + 1, (*rooms[:j], r - filling[k], *rooms[j + 1 :])) for j, r in enumerate(rooms) if r not in rooms[:j])
+
+    return place(0, by)
+
+
+def fillings(room: int, left: np.ndarray, width: int) -> tuple[list[tuple[int, ...]], bool]:
+    """Undominated fillings of the room from the lengths left (counts by length), fullest first, and whether more than `width` were met."""
+    if room <= 0 or not left[: room + 1].any():
+        return [()], False
+    if left[room]:
+        return [(room,)], False  # one piece that takes all the room dominates any other filling
+    sizes, counts = _sizes(room, left)
+    sizes, counts = sizes[::-1], counts[::-1]  # from the shortest, so that each walk takes the longest first
+    reach = _reach(room, sizes, counts, False)
+    out: list[tuple[int, ...]] = []
+    sums = reach[-1]
+    while sums > 1:
+        total = sums.bit_length() - 1
+        sums ^= 1 << total
+        walk: list[tuple[int, int, tuple[int, ...]]] = [(len(sizes), total, ())]
+        while walk:
+            i, rest, made = walk.pop()
+            if not rest:
+                used = dict.fromkeys(made, 0)
+                for x in made:
+                    used[x] += 1
+                shortest = next((x for x, n in zip(sizes, counts, strict=True) if n > used.get(x, 0)), room + 1)
+                if shortest > room - total and not any(dominated(f, made) for f in out):
+                    if len(out) == width:
+                        return out, True
+                    out.append(made)
+                continue
+            while i and not (sizes[i - 1] <= rest and reach[i] >> rest & 1):
+                if not reach[i] >> rest & 1:
+                    i = 0
+                    break
+                i -= 1
+            if i:
+                size = sizes[i - 1]
+                walk += [(i - 1, rest - m * size, (*made, *(size,) * m)) for m in range(min(counts[i - 1], rest // size) + 1) if reach[i - 1] >> (rest - m * size) & 1]
+    return out, False
 
 
 def lower_bound(left: np.ndarray, capacity: int) -> int:
     """Martello and Toth's L2 over all thresholds."""
     size = np.arange(capacity + 1)
-    total, best = np.cumsum(left), -(-int((size * left).sum()) // capacity)
-    mass = np.cumsum(size * left)
-    for k in range(capacity // 2 + 1):
-        big = int(total[capacity] - total[capacity - k])
-        middle = int(total[capacity - k] - total[capacity // 2])
-        middle_mass = int(mass[capacity - k] - mass[capacity // 2])
-        small = int(mass[capacity // 2] - (mass[k - 1] if k else 0))
-        best = max(best, big + middle + max(0, -(-(small - (middle * capacity - middle_mass)) // capacity)))
-    return best
-
-
-def best_fit_decreasing(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Each largest length left, topped up greedily: the first incumbent."""
+    total, mass = np.cumsum(left), np.cumsum(size * left)
+    half, k = capacity // 2, np.arange(capacity // 2 + 1)
+    big, middle = total[capacity] - total[capacity - k], total[capacity - k] - total[half]
+    spare = middle * capacity - (mass[capacity - k] - mass[half])
+    small = mass[half] - np.where(k > 0, mass[k - 1], 0)
+    return int(max(-(-mass[-1] // capacity), (big + middle + np.maximum(0, -(-(small - spare) // capacity))).max()))
+
+
+def _apply(pattern: tuple[int, ...], left: np.ndarray, times: int | None = None) -> int:
+    """Takes the pattern from the counts, as often as they allow unless told how often."""
+    sizes, many = np.unique(pattern, return_counts=True)
+    times = int((left[sizes] // many).min()) if times is None else times
+    left[sizes] -= times * many
+    return times
+
+
+Plan = list[tuple[tuple[int, ...], int]]
+
+
+def best_fit_decreasing(left: np.ndarray, capacity: int) -> Plan:
+    """Each largest length left, topped up greedily with the largest that fits: the first incumbent."""
+    left, plan = left.copy(), []
+    while len(sizes := np.flatnonzero(left)):
+        spare, pattern = left.copy(), [int(sizes[-1])]
+        spare[pattern[0]] -= 1
+        room = capacity - pattern[0]
+        while room > 0 and len(fit := np.flatnonzero(spare[: room + 1])):
+            pattern.append(int(fit[-1]))
+            spare[fit[-1]] -= 1
+            room -= int(fit[-1])
+        plan.append((tuple(pattern), _apply(tuple(pattern), left)))
+    return plan
+
+
+def fullest_decreasing(left: np.ndarray, capacity: int) -> Plan:
+    """Around each largest length left, the fullest filling, as often as the counts allow: the first way down the search, and an incumbent."""
     left, plan = left.copy(), []
     while len(sizes := np.flatnonzero(left)):
         size = int(sizes[-1])
         left[size] -= 1
-        pattern = completed(size, (), left, capacity)
+        pattern = (size, *fullest(capacity - size, left))
         left[size] += 1
         plan.append((pattern, _apply(pattern, left)))
     return plan
 
 
-def _apply(pattern: tuple[int, ...], left: np.ndarray) -> int:
-    """Takes the pattern from the counts as often as they allow."""
-    sizes, many = np.unique(pattern, return_counts=True)
-    times = int((left[sizes] // many).min())
-    left[sizes] -= times * many
-    return times
-
+def make_plan(left: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES, width: int = WIDTH) -> tuple[Plan, bool]:
+    """(lengths of a sequence, how often) covering the histogram, and whether no plan of fewer sequences exists.
 
-def make_plan(left: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES, width: int = WIDTH) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how often) covering the histogram; left: counts by length, index 0 unused."""
-    incumbent = best_fit_decreasing(left, capacity)
-    count, bound = sum(t for _, t in incumbent), lower_bound(left, capacity)
-    total = int((np.arange(capacity + 1) * left).sum())
-    # Depth first: (counts left, plan so far, waste so far, fillings not tried yet). The first way down always follows
-    # the fullest filling; nodes bounds the whole walk.
-    stack: list[tuple[np.ndarray, list, int, list]] = [(left.copy(), [], 0, _choices(left, capacity, width))]
-    while stack and nodes > 0 and count > bound:
-        now, plan, waste, choices = stack[-1]
-        if not choices or waste > (count - 1) * capacity - total:
-            stack.pop()
+    left: counts by length, index 0 unused. Depth first: a node takes a filling around the largest length left, first as
+    often as the counts allow, then once, so that every number of times can be reached; it is left when its waste is more
+    than a plan of fewer sequences than the incumbent's may have, or by the lower bound of what it leaves over. The
+    search ends at the lower bound, or after `nodes` nodes; no branch is dropped otherwise but fillings beyond `width`.
+    """
+    total, bound = int((np.arange(capacity + 1) * left).sum()), lower_bound(left, capacity)
+    used = lambda plan: sum(t for _, t in plan)
+    incumbent = min((best_fit_decreasing(left, capacity), fullest_decreasing(left, capacity)), key=used)
+    count, cut, now, path = used(incumbent), False, left.copy(), []
+
+    def choices() -> list[tuple[tuple[int, ...], int]]:
+        nonlocal cut
+        size = int(np.flatnonzero(now)[-1])
+        now[size] -= 1
+        found, more = fillings(capacity - size, now, width)
+        now[size] += 1
+        cut |= more
+        out = []
+        for pattern in ((size, *f) for f in found):
+            sizes, many = np.unique(pattern, return_counts=True)
+            most = int((now[sizes] // many).min())
+            out += [(pattern, t) for t in ((most, 1) if most > 1 else (1,))]
+        return out[::-1]
+
+    # A level of the walk: the choices not tried yet, and what was taken to come to it with its waste.
+    levels: list[tuple[list, tuple[int, ...], int, int, int]] = [(choices() if left.any() else [], (), 0, 0, 0)]
+    while levels and count > bound:
+        todo, _, _, waste, taken = levels[-1]
+        if not todo:
+            _, pattern, times, _, _ = levels.pop()
+            if times:
+                _apply(pattern, now, -times)
+                path.pop()
             continue
-        pattern, nodes = choices.pop(0), nodes - 1
-        after = now.copy()
-        times = _apply(pattern, after)
-        wasted = waste + times * (capacity - sum(pattern))
-        further = [*plan, (pattern, times)]
-        if not after.any():
-            if (used := sum(t for _, t in further)) < count:
-                incumbent, count = further, used
-        elif wasted <= (count - 1) * capacity - total:
-            if len(stack) > 64:  # old branching points are dropped: the walk stays within bounded memory
-                stack.pop(0)
-            stack.append((after, further, wasted, _choices(after, capacity, width)))
-    return incumbent
-
-
-def _choices(left: np.ndarray, capacity: int, width: int) -> list[tuple[int, ...]]:
-    sizes = np.flatnonzero(left)
-    if not len(sizes):
-        return []
-    size, beside = int(sizes[-1]), left.copy()
-    beside[size] -= 1
-    made = [completed(size, f, beside, capacity) for f in fillings(capacity - size, beside, width)]
-    return list(dict.fromkeys(sorted(made, key=lambda p: capacity - sum(p))))
+        if nodes <= 0:
+            return incumbent, False
+        nodes -= 1
+        pattern, times = todo.pop()
+        wasted, made = waste + times * (capacity - sum(pattern)), taken + times
+        _apply(pattern, now, times)
+        path.append((pattern, times))
+        if not now.any():
+            if made < count:
+                incumbent, count = list(path), made
+            further = []
+        elif wasted > (count - 1) * capacity - total or made + lower_bound(now, capacity) >= count:
+            further = []
+        else:
+            further = choices()
+        levels.append((further, pattern, times, wasted, made))
+    return incumbent, count <= bound or not cut
 
 
 PACKED = T.StructType([*PIECES.fields[:5], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
@@ -254,7 +314,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
         left[length] = n
     # By length and rank: where each stretch of equal slots begins, its first sequence and its offset.
     taken, stretches, sequence = np.zeros(capacity + 1, np.int64), [], 0
-    for pattern, times in make_plan(left, capacity):
+    for pattern, times in make_plan(left, capacity)[0]:
         offset = 0
         for size in pattern:
             stretches.append((size, int(taken[size]), sequence, offset))

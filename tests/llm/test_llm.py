@@ -350,7 +350,7 @@ def test_plans_reach_the_bound():
     r = np.random.default_rng(0)
     for low in (1, 200, 700):
         left = np.bincount(r.integers(low, 2049, 5000), minlength=2049)
-        plan = packing.make_plan(left)
+        plan, _ = packing.make_plan(left, nodes=500)
         held = np.zeros(2049, np.int64)
         for pattern, times in plan:
             assert sum(pattern) <= 2048
@@ -360,6 +360,59 @@ def test_plans_reach_the_bound():
         assert used <= bound * 1.01 + 1 and used <= sum(t for _, t in packing.best_fit_decreasing(left, 2048))
 
 
+def fewest_by_exhaustion(sizes, capacity):
+    """The fewest bins, trying every open bin for every piece."""
+    best = len(sizes)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(sizes):
+            best = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= sizes[k]:
+                rest = list(rooms)
+                rest.remove(room)
+                place(k + 1, [*rest, room - sizes[k]])
+        place(k + 1, [*rooms, capacity - sizes[k]])
+
+    place(0, [])
+    return best
+
+
+def test_plans_are_optimal_on_small_cases():
+    r = random.Random(4)
+    harder = 0
+    for _ in range(400):
+        capacity = r.choice([10, 20, 31])
+        sizes = sorted((r.randint(1, capacity) if r.random() < 0.3 else r.randint(2, capacity // 2) for _ in range(r.randint(0, 9))), reverse=True)
+        left = np.bincount(sizes, minlength=capacity + 1)
+        plan, proven = packing.make_plan(left, capacity, nodes=10**6, width=10**6)
+        want = fewest_by_exhaustion(sizes, capacity)
+        assert proven and sum(t for _, t in plan) == want and sorted(x for p, t in plan for x in p * t) == sorted(sizes)
+        harder += want > packing.lower_bound(left, capacity) or want < sum(t for _, t in packing.best_fit_decreasing(left, capacity))
+    assert harder > 2
+
+
+def test_plans_at_scale(spark):
+    """The table's histogram, and a hundred times it, within 10 sequences of the bound."""
+    held = packing.pieces(common.table(spark, "/root/testdata/sf0.01", "documents"), registry.tokenizer_path())
+    left = np.zeros(packing.CAPACITY + 1, np.int64)
+    for length, n in held.groupBy("length").count().collect():
+        left[length] = n
+    for times in (1, 100):
+        plan, _ = packing.make_plan(left * times)
+        assert sum(t for _, t in plan) <= packing.lower_bound(left * times, packing.CAPACITY) + 10
+
+
+def test_packing_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, None), (2, "x")], "doc_id long, text string")
+    found = packing.pack(rows, registry.tokenizer_path(), 64).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in found) == [(0, 1), (1, 4), (1, 4), (2, 2)] and len({(r.sequence_id, r.offset) for r in found}) == 4
+
+
 PAGES = [
     (3, "u", "<p>a</p>\r\n\r\n"), (1, "u", "same"), (2, None, "same"), (5, "u", None), (4, "u", ""), (6, "x\r\ny", "é\r\n\r\nWARC/1.1\r\n\r\n" * 9), (7, "u", "z" * 5000), (8, "u", "z" * 5000), (9, "u", "\r\n"), (9, "u", "\r\n"),
     (10, "u", "ends with cr\r"), (11, "u", "lf\n\r\n"), (None, "u", "same"),
