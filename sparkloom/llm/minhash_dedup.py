@@ -5,10 +5,12 @@ fewer than five). Two documents are linked when the weighted Jaccard similarity
 classes are the connected components. Documents with equal word sequences are one node throughout, so a group of
 exact copies costs one signature row whatever its size.
 
-Signatures: every shingle owns one Poisson process for each octave (0,1], (1,2], (2,4], (4,8] ... of its weight. A
-point of such a process has a time, one of the m components and a place in its octave found by binary splits; it
-counts for a document when the place lies below the shingle's weight there. The component keeps the earliest
-point. Points come in order of time, so an element stops as soon as its next point is later than the slowest
+Signatures: weights are discretised to integers, and every shingle owns one Poisson process for each octave (0,1],
+(1,2], (2,4], (4,8] ... of its weight. The first point of a process has a time, one of the m components and a place in
+its interval; it counts for a document when the place lies below the shingle's weight there. What comes after that time
+is split: the two halves of the interval are processes of their own, with seeds that follow from that of the whole, and
+one that begins above the weight is dropped with all below it. So every document meets the same points, and only those
+near its weight. The component keeps the earliest point. A process ends once its next point is later than the slowest
 component. Equal components happen with probability equal to the weighted Jaccard similarity.
 
 Defined cases: null, empty and wordless texts are each a class of their own (class_id = doc_id); repeated rows are
@@ -78,18 +80,24 @@ def bag_minhash(bags: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray
         parts.append((doc, common.mix(item + np.uint64(octave * int(_MULTIPLIERS[1]) & (2**64 - 1))), np.full(len(doc), base), np.minimum(weight - base, base)))
         octave, base = octave + 1, base * 2
     doc, seed, length, limit = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    time, k = np.zeros(len(doc)), 0
+    time = np.zeros(len(doc))
     while len(doc):
-        draw = _draw(seed, k, 0)
+        draw = _draw(seed, 0, 0)
         time = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53) / (m * length)
-        draw = _draw(seed, k, 1)
+        draw = _draw(seed, 0, 1)
         cell = (draw >> np.uint64(32)).astype(np.int64) & (length - 1)
         counts = cell < limit
         component = ((draw & np.uint64(0xFFFFFFFF)) % np.uint64(m)).astype(np.int64)
         np.minimum.at(sig.reshape(-1), (doc * m + component)[counts], time[counts])
         go = time < sig.max(axis=1)[doc]
         doc, seed, length, limit, time = doc[go], seed[go], length[go], limit[go], time[go]
-        k += 1
+        # An interval of length 1 goes on as it is; another gives way to its halves, the upper one only where the weight reaches it.
+        half = np.maximum(length // 2, 1)
+        upper = limit > half
+        doc, time = np.concatenate([doc, doc[upper]]), np.concatenate([time, time[upper]])
+        seed = np.concatenate([_draw(seed, 1, 0), _draw(seed[upper], 1, 1)])
+        limit = np.concatenate([np.minimum(limit, half), (limit - half)[upper]])
+        length = np.concatenate([half, half[upper]])
     return sig.view(np.uint64)
 
 
@@ -284,9 +292,13 @@ def classes(signed: DataFrame) -> DataFrame:
     stars = common.stored(compare(stars, blobs, frequent(stars, blobs), least), "stars")
     links = stars.where("linked").select("a", "b")
     labels = components(links)
-    missed = common.stored(compare(unled(shared, stars, labels), blobs), "missed")
-    labels = components(links.unionByName(missed.where("linked").select("a", "b")))
+    # What the leaders did not tell joins components, not nodes: a graph of their labels.
+    missed = compare(unled(shared, stars, labels), blobs).where("linked").select("a", "b")
+    label_of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    missed = missed.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left")
+    merged = components(missed.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b"))
     named = nodes.join(labels, "node", "left").select("node", "id", "copies", F.coalesce("label", "node").alias("label"))
+    named = named.join(merged.select(F.col("node").alias("label"), F.col("label").alias("whole")), "label", "left").withColumn("label", F.coalesce("whole", "label")).drop("whole")
     sums = named.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
     return named.join(sums, "label").select("node", "label", "class_id", "class_size")
 
