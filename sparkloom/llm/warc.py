@@ -30,6 +30,8 @@ from . import common
 
 #: Production parameter: bytes of a segment.
 SEGMENT = 1 << 20
+#: Groups of equal payloads, about 100 bytes each, up to which they are broadcast.
+FEW_GROUPS = 200_000
 END = "\r\n\r\n"
 
 
@@ -69,9 +71,12 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = S
     common.ship(pages.sparkSession)
     keyed = pages.select("id", "url", F.coalesce("payload", F.lit(b"")).alias("payload"))
     keyed = keyed.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size"))
+    # Only digests, sizes and ids are shuffled to find the groups of two or more. They are broadcast where they are few,
+    # by their count; beyond that the join shuffles, skewed where one payload is frequent, which Spark splits.
     groups = keyed.select("id", "digest", "size").groupBy("digest", "size").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    # Only groups of two or more matter; the join is skewed where one payload is frequent, which Spark splits.
-    keyed = keyed.join(groups.where((F.col("n") > 1) & (F.col("size") >= least)).drop("n"), ["digest", "size"], "left")
+    groups = common.stored(groups.where((F.col("n") > 1) & (F.col("size") >= least)).select("digest", "size", "first"), "groups")
+    few = groups.count() <= FEW_GROUPS
+    keyed = keyed.join(F.broadcast(groups) if few else groups, ["digest", "size"], "left")
     revisit = F.col("first").isNotNull() & ~F.coalesce(F.col("id") == F.col("first"), F.lit(False))
     schema = T.StructType([T.StructField("value", T.BinaryType())])
     kinds = common.arrow_schema(schema)
