@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
@@ -48,43 +49,45 @@ SHARD = T.StructType(
 )
 
 
+def postings(shard: int, docs_of: list[tuple], known: dict[bytes, int] | None) -> dict[str, list]:
+    """A row of SHARD for documents (doc_id, key, words); known: numbers of the terms to index, all where None."""
+    vocabulary = dict(known) if known is not None else {}
+    ids, starts, at = [], [], 0
+    for _, _, words in docs_of:
+        if known is None:
+            for w in words:
+                vocabulary.setdefault(w, len(vocabulary))
+        ids.append(np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int64, len(words)))
+        starts.append(at)
+        at += len(words) + GAP
+    flat = np.concatenate(ids)
+    place = np.concatenate([np.arange(s, s + len(i)) for s, i in zip(starts, ids, strict=True)])
+    held = flat >= 0
+    flat, place = flat[held], place[held]
+    order = np.argsort(flat, kind="stable")
+    flat, place = flat[order], place[order]
+    cuts = np.flatnonzero(np.diff(flat)) + 1
+    ends = np.r_[cuts, len(flat)] if len(flat) else np.zeros(0, np.int64)
+    gaps = np.diff(place, prepend=0)
+    gaps[cuts] = place[cuts]
+    names = list(vocabulary)
+    return {
+        "shard": [shard],
+        "doc_ids": [[d for d, _, _ in docs_of]],
+        "keys": [[k for _, k, _ in docs_of]],
+        "starts": [starts],
+        "n_words": [[len(w) for _, _, w in docs_of]],
+        "terms": [[names[i] for i in flat[ends - 1]]] if len(flat) else [[]],
+        "ends": [ends],
+        "positions": [gaps.astype(np.int32).tobytes()],
+    }
+
+
 def build_index(docs: DataFrame, terms: set[bytes] | None = None, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row a shard. terms: index these only (all where None). positions: int32 gaps, per term from 0."""
     kinds = common.arrow_schema(SHARD)
     known = None if terms is None else {t: i for i, t in enumerate(sorted(terms))}
 
-    def packed(shard, docs_of):
-        vocabulary = dict(known) if known is not None else {}
-        ids, starts, at = [], [], 0
-        for _, _, words in docs_of:
-            if known is None:
-                for w in words:
-                    vocabulary.setdefault(w, len(vocabulary))
-            ids.append(np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int64, len(words)))
-            starts.append(at)
-            at += len(words) + GAP
-        flat = np.concatenate(ids)
-        place = np.concatenate([np.arange(s, s + len(i)) for s, i in zip(starts, ids, strict=True)])
-        held = flat >= 0
-        flat, place = flat[held], place[held]
-        order = np.argsort(flat, kind="stable")
-        flat, place = flat[order], place[order]
-        cuts = np.flatnonzero(np.diff(flat)) + 1
-        ends = np.r_[cuts, len(flat)] if len(flat) else np.zeros(0, np.int64)
-        gaps = np.diff(place, prepend=0)
-        gaps[cuts] = place[cuts]
-        names = list(vocabulary)
-        return {
-            "shard": [shard],
-            "doc_ids": [[d for d, _, _ in docs_of]],
-            "keys": [[k for _, k, _ in docs_of]],
-            "starts": [starts],
-            "n_words": [[len(w) for _, _, w in docs_of]],
-            "terms": [[names[i] for i in flat[ends - 1]]] if len(flat) else [[]],
-            "ends": [ends],
-            "positions": [gaps.astype(np.int32).tobytes()],
-        }
-
     def run(batches):
         from pyspark import TaskContext
 
@@ -95,10 +98,10 @@ def build_index(docs: DataFrame, terms: set[bytes] | None = None, shard_words: i
                 docs_of.append((doc_id, key, words))
                 size += len(words) + 8
                 if size >= shard_words:
-                    yield pa.RecordBatch.from_pydict(packed(shard, docs_of), schema=kinds)
+                    yield pa.RecordBatch.from_pydict(postings(shard, docs_of, known), schema=kinds)
                     shard, docs_of, size = shard + 1, [], 0
         if docs_of:
-            yield pa.RecordBatch.from_pydict(packed(shard, docs_of), schema=kinds)
+            yield pa.RecordBatch.from_pydict(postings(shard, docs_of, known), schema=kinds)
 
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("key"), text).mapInArrow(run, SHARD)
@@ -165,72 +168,79 @@ HITS = T.StructType(
 )
 
 
+def searched(row: dict[str, list], windows: Windows, slop: int) -> dict[str, list]:
+    """HITS of the documents of a row of SHARD."""
+    starts, sizes = np.array(row["starts"], np.int64), np.array(row["n_words"], np.int64)
+    gaps, ends = np.frombuffer(row["positions"], np.int32).astype(np.int64), np.array(row["ends"], np.int64)
+    lengths = np.diff(ends, prepend=0)
+    number = np.array([windows.numbers.get(t, -1) for t in row["terms"]], np.int64)
+    total = np.cumsum(gaps)
+    base = np.r_[0, total[ends[:-1] - 1]] if len(ends) else np.zeros(0, np.int64)
+    place = total - np.repeat(base, lengths)
+    keys = np.repeat(number, lengths) * _SPAN + place
+    keys = np.sort(keys[np.repeat(number >= 0, lengths)])
+    count, begin = np.zeros(len(windows.numbers), np.int64), np.zeros(len(windows.numbers), np.int64)
+    if len(keys):
+        terms, first, many = np.unique(keys // _SPAN, return_index=True, return_counts=True)
+        count[terms], begin[terms] = many, first
+    marks = np.zeros((int(starts[-1] + sizes[-1]) if len(starts) else 0) + GAP + 1, np.int64)
+    items, near = [set() for _ in starts], [set() for _ in starts]
+    for width, rows, owners in windows.groups if len(keys) else []:
+        which, at = matches(rows, count, begin, keys, 0)
+        np.add.at(marks, at, 1)
+        np.add.at(marks, at + width, -1)
+        for w, d in set(zip(which.tolist(), (np.searchsorted(starts, at, "right") - 1).tolist(), strict=True)):
+            items[d].update(owners[w])
+        if slop:
+            which, at = matches(rows, count, begin, keys, slop)
+            for w, d in set(zip(which.tolist(), (np.searchsorted(starts, at, "right") - 1).tolist(), strict=True)):
+                near[d].update(owners[w])
+    hit = np.cumsum(marks) > 0
+    edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0))
+    owner = np.searchsorted(starts, edges, "right") - 1
+    spans = [[] for _ in starts]
+    for d, e in zip(owner.tolist(), edges.tolist(), strict=True):
+        spans[d].append(e - int(starts[d]))
+    n = len(starts)
+    return {
+        "shard": [row["shard"]] * n, "ord": list(range(n)), "doc_id": row["doc_ids"], "key": row["keys"], "n_words": row["n_words"],
+        "spans": spans, "items": [sorted(x) for x in items], "near_items": [sorted(x) for x in near],
+    }
+
+
 def search_block(index: DataFrame, windows: Windows, slop: int = SLOP) -> DataFrame:
     """Per document of the index: merged hit spans (flat start, end pairs in words), items found exactly and nearby."""
     kinds = common.arrow_schema(HITS)
 
-    def one(row):
-        starts, sizes = np.array(row["starts"], np.int64), np.array(row["n_words"], np.int64)
-        gaps, ends = np.frombuffer(row["positions"], np.int32).astype(np.int64), np.array(row["ends"], np.int64)
-        lengths = np.diff(ends, prepend=0)
-        number = np.array([windows.numbers.get(t, -1) for t in row["terms"]], np.int64)
-        total = np.cumsum(gaps)
-        base = np.r_[0, total[ends[:-1] - 1]] if len(ends) else np.zeros(0, np.int64)
-        place = total - np.repeat(base, lengths)
-        keys = np.repeat(number, lengths) * _SPAN + place
-        keys = np.sort(keys[np.repeat(number >= 0, lengths)])
-        count, begin = np.zeros(len(windows.numbers), np.int64), np.zeros(len(windows.numbers), np.int64)
-        if len(keys):
-            terms, first, many = np.unique(keys // _SPAN, return_index=True, return_counts=True)
-            count[terms], begin[terms] = many, first
-        marks = np.zeros((int(starts[-1] + sizes[-1]) if len(starts) else 0) + GAP + 1, np.int64)
-        items, near = [set() for _ in starts], [set() for _ in starts]
-        for width, rows, owners in windows.groups if len(keys) else []:
-            which, at = matches(rows, count, begin, keys, 0)
-            np.add.at(marks, at, 1)
-            np.add.at(marks, at + width, -1)
-            for w, d in set(zip(which.tolist(), (np.searchsorted(starts, at, "right") - 1).tolist(), strict=True)):
-                items[d].update(owners[w])
-            if slop:
-                which, at = matches(rows, count, begin, keys, slop)
-                for w, d in set(zip(which.tolist(), (np.searchsorted(starts, at, "right") - 1).tolist(), strict=True)):
-                    near[d].update(owners[w])
-        hit = np.cumsum(marks) > 0
-        edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0))
-        owner = np.searchsorted(starts, edges, "right") - 1
-        spans = [[] for _ in starts]
-        for d, e in zip(owner.tolist(), edges.tolist(), strict=True):
-            spans[d].append(e - int(starts[d]))
-        n = len(starts)
-        return {
-            "shard": [row["shard"]] * n, "ord": list(range(n)), "doc_id": row["doc_ids"], "key": row["keys"], "n_words": row["n_words"],
-            "spans": spans, "items": [sorted(x) for x in items], "near_items": [sorted(x) for x in near],
-        }
-
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                yield pa.RecordBatch.from_pydict(one(batch.slice(k, 1).to_pylist()[0]), schema=kinds)
+                yield pa.RecordBatch.from_pydict(searched(batch.slice(k, 1).to_pylist()[0], windows, slop), schema=kinds)
 
     return index.mapInArrow(run, HITS)
 
 
-def search(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = SLOP, most_words: int = MOST_WORDS) -> DataFrame:
-    """HITS rows for every document row, over the whole benchmark."""
-    spark = docs.sparkSession
-    common.ship(spark)
+def _blocks(benchmark: DataFrame, width: int, most_words: int) -> tuple[int, Callable[[int], Windows]]:
+    """How many blocks the benchmark makes, and a function that reads one of them."""
     text = F.col("text").cast("string")
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), text.alias("text")).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // (2 * most_words)) or 1  # a word and its separator are two characters at least
     part = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-    first = Windows([tuple(r) for r in items.where(part == 0).collect()], width)
+    return blocks, lambda k: Windows([tuple(r) for r in items.where(part == k).collect()], width)
+
+
+def search(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = SLOP, most_words: int = MOST_WORDS) -> DataFrame:
+    """HITS rows for every document row, over the whole benchmark."""
+    common.ship(docs.sparkSession)
+    blocks, block = _blocks(benchmark, width, most_words)
+    first = block(0)
     index = common.stored(build_index(docs, set(first.numbers) if blocks == 1 else None), "index")
     found = search_block(index, first, slop)
     if blocks == 1:
         return found
     for k in range(1, blocks):
-        found = found.unionByName(search_block(index, Windows([tuple(r) for r in items.where(part == k).collect()], width), slop))
+        found = found.unionByName(search_block(index, block(k), slop))
     merged = found.groupBy("shard", "ord", "doc_id", "key", "n_words").agg(
         *(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near_items"))  # a row a block at most
     )
@@ -269,11 +279,47 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sl
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no benchmark window occurs."""
-    bad = search(docs, benchmark, slop=0).where(F.size("spans") > 0).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key")).distinct()
-    same = (F.col("doc_id").cast("long").eqNullSafe(F.col("__doc"))) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key"))
-    return docs.join(bad, same, "left_anti").select(docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_words: int = MOST_WORDS) -> DataFrame:
+    """The documents in which no benchmark window occurs.
+
+    Each task indexes its documents shard by shard, searches the shard and passes on its clean documents: nothing is
+    shuffled or stored, and a benchmark of several blocks is as many such maps in a row. Null and wordless texts stay;
+    repeated rows stay or go together; an empty benchmark drops nothing; other columns are kept.
+    """
+    common.ship(docs.sparkSession)
+    blocks, block = _blocks(benchmark, width, most_words)
+    at = docs.columns.index("text")
+
+    def clean(windows: Windows, shard_words: int = SHARD_WORDS):
+        known = {t: i for i, t in enumerate(sorted(windows.numbers))}
+
+        def passed(held, words):
+            hits = searched({c: v[0] for c, v in postings(0, [(None, None, w) for w in words], known).items()}, windows, 0)["spans"]
+            ok, k = [not x for x in hits], 0
+            for batch in held:
+                yield batch.filter(pa.array(ok[k : k + batch.num_rows], pa.bool_()))
+                k += batch.num_rows
+
+        def run(batches):
+            held, words, size = [], [], 0
+            for whole in batches:
+                start = 0
+                for k, text in enumerate(whole.column(at).to_pylist()):
+                    words.append(common.folded_words(text))
+                    size += len(words[-1]) + 8
+                    if size >= shard_words:
+                        yield from passed([*held, whole.slice(start, k + 1 - start)], words)
+                        held, words, size, start = [], [], 0, k + 1
+                if start < whole.num_rows:
+                    held.append(whole.slice(start))
+            if words:
+                yield from passed(held, words)
+
+        return run
+
+    for k in range(blocks):
+        docs = docs.mapInArrow(clean(block(k)), docs.schema)
+    return docs
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[object, str | None]], width: int = WINDOW) -> list[tuple]:
