@@ -126,27 +126,34 @@ def measure(docs: DataFrame) -> DataFrame:
     tool: list[Measure] = []
 
     def make(batch):
-        if not tool:
-            tool.append(Measure(COMMON_WORDS))
-        rows, hists = [], []
-        for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            counts, classes, hashes = tool[0].counts(text)
-            words = tool[0].words(hashes, lang)
-            hist = np.zeros(_WIDTH, np.int64)
-            hist[:CLASSES] = classes
-            if words is not None:
-                hist[CLASSES : CLASSES + len(words)] = words
-            rows.append(counts)
-            hists.append(hist)
-        out = {c: [r[i] for r in rows] for i, c in enumerate(COUNTS)}
-        lang = [x if x in COMMON_WORDS else None for x in batch.column(2).to_pylist()]
-        return out | {"doc_id": batch.column(0), "lang": lang, "source": batch.column(3), "base_failed": [base_failed(r) for r in rows], "hist": common.lists(np.array(hists))}
+        return _measured(batch, tool, *range(4))
 
     origin = F.col("source") if "source" in docs.columns else F.lit(None)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), origin.cast("string"))
     return common.map_rows(source, make, MEASURED)
 
 
+def _measured(batch: pa.RecordBatch, tool: list[Measure], *at: int) -> dict[str, object]:
+    """The columns of MEASURED for a batch with doc_id, text, lang and source (-1: there is none) at these places."""
+    if not tool:
+        tool.append(Measure(COMMON_WORDS))
+    doc_id, texts, langs, source = (batch.column(i) if i >= 0 else pa.nulls(batch.num_rows) for i in at)
+    langs = langs.cast(pa.string()).to_pylist()
+    rows, hists = [], []
+    for text, lang in zip(texts.to_pylist(), langs, strict=True):
+        counts, classes, hashes = tool[0].counts(text)
+        words = tool[0].words(hashes, lang)
+        hist = np.zeros(_WIDTH, np.int64)
+        hist[:CLASSES] = classes
+        if words is not None:
+            hist[CLASSES : CLASSES + len(words)] = words
+        rows.append(counts)
+        hists.append(hist)
+    out = {c: [r[i] for r in rows] for i, c in enumerate(COUNTS)}
+    lang = [x if x in COMMON_WORDS else None for x in langs]
+    return out | {"doc_id": doc_id.cast(pa.int64()), "lang": lang, "source": source.cast(pa.string()), "base_failed": [base_failed(r) for r in rows], "hist": common.lists(np.array(hists))}
+
+
 def references(measured: DataFrame) -> dict[str | None, np.ndarray]:
     """Histogram sums over all rows that pass the base rules, for each listed language; None: of all rows. At most five rows."""
     sums = [F.sum(F.col("hist")[i]).alias(f"h{i}") for i in range(_WIDTH)]
@@ -262,27 +269,36 @@ def judge(docs: DataFrame, plain: bool = False) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, whole."""
+    """The documents that the rules keep, whole; columns doc_id and text are needed, lang and source where there are any.
+
+    A text is measured once; the documents are stored with what was measured, and the decision is taken on that. Null and
+    empty texts fail the base rules and go; without lang all texts are held against the sum over all languages; repeated rows
+    stay or go together; other columns, also those named like what is measured, are kept.
+    """
     common.ship(docs.sparkSession)
-    held, limits = robust(common.stored(measure(docs), "measured"))
-    text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
-    tool: list[Measure] = []
+    kinds, inner = common.arrow_schema(docs.schema), common.arrow_schema(MEASURED)
+    at = [docs.columns.index(c) if c in docs.columns else -1 for c in ("doc_id", "text", "lang", "source")]
+    both = T.StructType([*docs.schema.fields, T.StructField("__measured", MEASURED)])
+    both_kinds, tool = common.arrow_schema(both), []
 
-    def run(batches):
-        tool.append(Measure(COMMON_WORDS))
+    def weigh(batches):
         for batch in batches:
-            kept = []
-            for text, lang in zip(batch.column(text_at).to_pylist(), batch.column(lang_at).to_pylist(), strict=True):
-                counts, classes, hashes = tool[-1].counts(text)
-                hist = np.zeros(_WIDTH, np.int64)
-                hist[:CLASSES] = classes
-                if (words := tool[-1].words(hashes, lang)) is not None:
-                    hist[CLASSES : CLASSES + len(words)] = words
-                lang = lang if lang in COMMON_WORDS else None
-                kept.append(not base_failed(counts) and not rejects(hist, counts[0], lang, held, limits)[0])
-            yield batch.filter(pa.array(kept))
-
-    return docs.mapInArrow(run, docs.schema)
+            if batch.num_rows:
+                found = _measured(batch, tool, *at)
+                columns = [c if isinstance(c := found[f.name], pa.Array) else pa.array(c, f.type) for f in inner]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(columns, fields=list(inner))], schema=both_kinds)
+
+    held_docs = common.stored(docs.mapInArrow(weigh, both), "weighed")
+    held, limits = robust(held_docs.select("__measured.*"))
+
+    def decide(batches):
+        for batch in batches:
+            found = batch.column(batch.num_columns - 1)
+            hist, n_words, lang, failed = (found.field(n).to_pylist() for n in ("hist", "n_words", "lang", "base_failed"))
+            kept = [not f and not rejects(np.array(h), n, la, held, limits)[0] for h, n, la, f in zip(hist, n_words, lang, failed, strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema=kinds).filter(pa.array(kept, pa.bool_()))
+
+    return held_docs.mapInArrow(decide, docs.schema)
 
 
 def _sql() -> str:
