@@ -111,9 +111,9 @@ def has_invalid_characters(value: Column) -> Column:
 
 
 def invalid_characters(value: Column) -> Column:
-    """(char, position, description) of each character outside the permitted set, positions from 1."""
+    """(char, position, description) of each character outside the permitted set, positions from 0, for values in NFC."""
     names = F.create_map(*[F.lit(x) for kv in CHARACTER_NAMES.items() for x in kv])
-    chars = F.transform(F.split(value, ""), lambda c, i: F.struct(c.alias("char"), (i + 1).alias("position")))
+    chars = F.transform(F.split(value, ""), lambda c, i: F.struct(c.alias("char"), i.alias("position")))
     bad = F.filter(chars, lambda x: (x["char"] != "") & ~x["char"].rlike(rf"^{VALID_CHARACTERS}\z"))
     unknown = lambda c: F.concat(F.lit("Unknown special character (U+"), F.lpad(F.hex(F.ascii(c)), 4, "0"), F.lit(")"))
     named = lambda x: F.struct(x["char"].alias("char"), x["position"].alias("position"), F.coalesce(F.element_at(names, x["char"]), unknown(x["char"])).alias("description"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from ..sources import storage
 
 
 def resolved(edges: DataFrame, defined: DataFrame) -> DataFrame:
@@ -96,14 +97,18 @@ def call_pattern(graph: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("doc_id", "name", "calls", group.alias("group"))
 
 
-def longest_path(edges: DataFrame, depth: int = 32) -> DataFrame:
-    """doc_id, name, depth: the longest chain of calls that ends in the name, from names nothing calls; cycles end at `depth`."""
-    pairs = edges.select("doc_id", "caller", "target").where("caller is not null").distinct()
+def longest_path(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """doc_id, name, depth: the longest chain of calls that ends in the name, from names nothing calls. No chain without a
+    cycle is longer than the document's callers are many, so cycles end there, or at `depth` if it is given."""
+    pairs = storage.cut(edges.select("doc_id", "caller", "target").where("caller is not null").distinct())
     roots = pairs.select("doc_id", F.col("caller").alias("name")).distinct().join(pairs.select("doc_id", F.col("target").alias("name")), ["doc_id", "name"], "left_anti")
+    if depth is None:
+        depth = pairs.groupBy("doc_id").agg(F.countDistinct("caller").alias("n")).agg(F.max("n")).first()[0] or 0
     level = roots.withColumn("depth", F.lit(0))
     found = level
     for k in range(1, depth + 1):
         level = level.select("doc_id", F.col("name").alias("caller")).join(pairs, ["doc_id", "caller"]).select("doc_id", F.col("target").alias("name"), F.lit(k).alias("depth")).distinct()
+        level = storage.cut(level)
         if level.isEmpty():
             break
         found = found.unionByName(level)
@@ -113,8 +118,8 @@ def longest_path(edges: DataFrame, depth: int = 32) -> DataFrame:
 def rule_matches(procs: DataFrame, rules: DataFrame) -> DataFrame:
     """Procedures and the rules that match them: the architecture is one of the rule's (or it has none), and the name or
     the code matches a pattern, or the rule has neither. procs: doc_id, name, code, label. rules: rule, ord, override,
-    labels, name_patterns, code_patterns. A rule that overrides hides those before it. rules is broadcast: a rule file."""
-    p, r = procs, F.broadcast(rules)
+    labels, name_patterns, code_patterns. A rule that overrides hides those before it."""
+    p, r = procs, rules
     both = p.join(r, (F.size(r.labels) == 0) | F.array_contains(r.labels, p.label))
     find = lambda patterns, text: F.exists(patterns, lambda x: F.regexp_like(text, F.concat(F.lit("(?i)"), x)))
     neither = (F.size("name_patterns") == 0) & (F.size("code_patterns") == 0)
@@ -124,10 +129,21 @@ def rule_matches(procs: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def nearest(points: DataFrame, anchors: DataFrame, x: str, into: str, key: str = "diagram") -> DataFrame:
-    """For each point the anchor of the diagram with the least distance in x; ties by ord. anchors: key, name, ax, ord."""
-    both = points.join(anchors, key)
-    best = F.min_by("name", F.struct(F.abs(F.col(x) - F.col("ax")), F.col("ord")))
-    return both.groupBy(*points.columns).agg(best.alias(into))
+    """For each point the anchor of the diagram with the least distance in x; ties by ord. anchors: key, name, ax, ord.
+
+    Points and anchors of a diagram are sorted together by x, so a point looks at the last anchor before it and the
+    first after it, and no pairs are made. A diagram without anchors has no points in the result.
+    """
+    anchor = F.struct("ax", "ord", "name")
+    places = anchors.groupBy(key, "ax").agg(F.min(F.struct("ord", "name")).alias("a")).select(key, "ax", "a.ord", "a.name")
+    both = points.select(key, F.col(x).cast("double").alias("__x"), F.lit(1).alias("__point"), F.struct(*points.columns).alias("__row"), F.lit(None).cast(places.select(anchor.alias("a")).schema["a"].dataType).alias("__a"))
+    both = both.unionByName(places.select(key, F.col("ax").cast("double").alias("__x"), F.lit(0).alias("__point"), F.lit(None).cast(both.schema["__row"].dataType).alias("__row"), anchor.alias("__a")))
+    by = Window.partitionBy(key).orderBy("__x", "__point")
+    before = F.last("__a", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("__a", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    found = both.select("__row", "__x", "__point", before.alias("b"), after.alias("f")).where("__point = 1 and (b is not null or f is not null)")
+    rank = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("__x") - F.col(f"{c}.ax")).alias("d"), F.col(f"{c}.ord").alias("ord"), F.col(f"{c}.name").alias("name")))
+    return found.select("__row.*", F.least(rank("b"), rank("f"))["name"].alias(into))
 
 
 def mermaid_sequence(steps: DataFrame, key: str = "diagram") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions import text as fx
+from ..sources import storage
 from . import chunking
 
 # Statement types by prefix, in order, and endings by content.
@@ -156,20 +157,21 @@ def copies(lines: DataFrame) -> DataFrame:
     return rows.where("copybook is not null")
 
 
-def expand(lines: DataFrame, books: DataFrame, depth: int = 5) -> DataFrame:
-    """COPY lines replaced by their copybooks' lines, nested up to `depth`; a book inside itself and unknown books become
-    comments. books: name, content. Returns doc_id, path (place in the expansion), line."""
+def expand(lines: DataFrame, books: DataFrame) -> DataFrame:
+    """COPY lines replaced by their copybooks' lines to any depth; a book inside itself and unknown books become comments.
+    books: name, content. Returns doc_id, path (place in the expansion), line."""
     place = F.array(F.col("line_no").cast("int"))
     now = lines.select("doc_id", place.alias("path"), "line", F.array().cast("array<string>").alias("seen"))
     book = books.select(F.upper("name").alias("book"), F.split("content", "\n").alias("body"))
     name = F.regexp_replace(F.coalesce(*[F.nullif(F.regexp_extract(F.upper("line"), p, 1), F.lit("")) for p in COPY_FORMS]), r"\.\z", "")
-    for _ in range(depth):
-        marked = now.withColumn("book", F.when(~F.trim("line").startswith("*"), name)).join(book, "book", "left")
+    while True:
+        marked = storage.cut(now).withColumn("book", F.when(~F.trim("line").startswith("*"), name)).join(book, "book", "left")
         fits = F.col("body").isNotNull() & ~F.array_contains("seen", F.coalesce("book", F.lit("")))
         stay = marked.where(~fits).select("doc_id", "path", F.when(F.col("book").isNotNull(), F.concat(F.lit("* "), F.trim("line"))).otherwise(F.col("line")).alias("line"), "seen")
         into = marked.where(fits).select("doc_id", "path", "seen", "book", F.posexplode("body").alias("i", "text"))
+        if into.isEmpty():  # at the latest once every book is inside itself
+            return stay.select("doc_id", "path", "line")
         now = stay.unionByName(into.select("doc_id", F.concat("path", F.array("i")).alias("path"), F.col("text").alias("line"), F.concat("seen", F.array("book")).alias("seen")))
-    return now.select("doc_id", "path", "line")
 
 
 def data_items(lines: DataFrame) -> DataFrame:

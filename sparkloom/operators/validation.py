@@ -90,7 +90,7 @@ def summary(rows: DataFrame) -> DataFrame:
 def character_counts(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, description, n of characters outside the permitted set; columns that the table lacks are left out."""
     there = [c for c in columns if c in rows.columns]
-    cells = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in there])).alias("cell")).select("cell.*")
+    cells = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in there])).alias("cell")).select("cell.column", checks.nfc(F.col("cell.value")).alias("value"))
     marks = cells.where(checks.has_invalid_characters(F.col("value"))).select("column", F.explode(checks.invalid_characters(F.col("value"))).alias("x"))
     return marks.groupBy("column", F.col("x.description").alias("description")).agg(F.count("*").alias("n"))
 
@@ -98,18 +98,28 @@ def character_counts(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 def character_flags(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """key and, for rows with any, the columns that hold characters outside the set and how many."""
     there = [c for c in columns if c in rows.columns]
+    rows = rows.select(key, *(checks.nfc(F.col(c).cast("string")).alias(c) for c in there if c != key))
     n = sum((F.size(checks.invalid_characters(F.col(c))) for c in there), F.lit(0))
     names = F.array_compact(F.array(*[F.when(checks.has_invalid_characters(F.col(c)), F.lit(c)) for c in there]))
     return rows.select(key, F.array_join(names, ",").alias("columns"), n.cast("long").alias("n")).where("n > 0")
 
 
+def character_positions(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """key, column, position (from 0, in NFC), char, description of each character outside the permitted set."""
+    there = [c for c in columns if c in rows.columns]
+    cells = rows.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in there])).alias("cell"))
+    cells = cells.select(key, "cell.column", checks.nfc(F.col("cell.value")).alias("value"))
+    marks = cells.where(checks.has_invalid_characters(F.col("value"))).select(key, "column", F.explode(checks.invalid_characters(F.col("value"))).alias("x"))
+    return marks.select(key, "column", "x.position", "x.char", "x.description")
+
+
 def report(rows: DataFrame, samples: int = 50) -> str:
     """The text report: totals, frequencies (only with invalid rows), the first invalid rows, a recommendation."""
     one: Row = summary(rows).first()
     out = [f"Total rows: {one.total_rows}", f"Valid rows: {one.valid_rows}", f"Invalid rows: {one.invalid_rows}", f"Rate: {one.rate:.2f}%"]
     if one.invalid_rows:
         for title, column in (("Errors", "errors"), ("Warnings", "warnings")):
-            held = frequency(rows, column).orderBy(F.desc("n"), "kind").limit(100).collect()
+            held = frequency(rows, column).orderBy(F.desc("n"), "kind").collect()  # a row a rule
             out += ["", title, *(f"  {r.kind}: {r.n}" for r in held)]
         shown = rows.where("not is_valid").select("row_index", "errors").orderBy("row_index").limit(samples).collect()
         out += ["", "Invalid rows", *(f"  Row {r.row_index}: {'; '.join(r.errors)}" for r in shown)]

@@ -106,7 +106,7 @@ def rules(spark: SparkSession, path: str) -> DataFrame:
 
 def properties(spark: SparkSession, path: str) -> dict[str, str]:
     """key=value settings; comments and blank lines are skipped. A settings file, read to the driver."""
-    rows = spark.read.text(path).where(~F.trim("value").startswith("#") & F.contains("value", F.lit("="))).limit(10_000).collect()
+    rows = spark.read.text(path).where(~F.trim("value").startswith("#") & F.contains("value", F.lit("="))).collect()
     return {k.strip(): v.strip() for k, _, v in (r.value.partition("=") for r in rows)}
 
 

@@ -97,7 +97,7 @@ def test_checks(spark):
     assert said("20240229ABCD123456", "FED_IMAD") is None
     assert said("20240230ABCD123456", "FED_IMAD") == "has an invalid date"
     assert said("abcdefgh12345678", "FED_ISN") is None and said("ABC", "FED_OSN") == "has a wrong format" and said(None, "FED_ISN") == "is empty"
-    assert [(x["char"], x["position"], x["description"]) for x in one(spark, checks.invalid_characters(F.col("v")), v="A&B_1")] == [("&", 2, "Ampersand"), ("_", 4, "Underscore")]
+    assert [(x["char"], x["position"], x["description"]) for x in one(spark, checks.invalid_characters(F.col("v")), v="A&B_1")] == [("&", 1, "Ampersand"), ("_", 3, "Underscore")]
     assert one(spark, checks.invalid_characters(F.col("v")), v="né")[0]["description"] == "Unknown special character (U+00E9)"
     assert one(spark, checks.invalid_characters(F.col("v")), v="ok (1)/2+3") == [] and one(spark, checks.invalid_characters(F.col("v")), v=None) == []
     assert one(spark, checks.decimal_digits(F.col("v")), v="12.34567") and not one(spark, checks.decimal_digits(F.col("v")), v="1.234567") and not one(spark, checks.decimal_digits(F.col("v")), v="-1")

@@ -1,6 +1,7 @@
 
 from sparkloom.operators import catalog
 from sparkloom.sources import readers, writers
+from sparkloom.operators import graphs, structure
 from sparkloom.streaming import incremental
 
 
@@ -56,3 +57,33 @@ def test_stream(spark, tmp_path):
     known = spark.createDataFrame([("a.txt", "h"), ("b.txt", "h")], "name string, hash string")
     left, _ = incremental.refreshed(spark, table, known, known.where("name = 'b.txt'"))
     assert [r.source_file for r in left.select("source_file").distinct().collect()] == ["b.txt"]
+
+
+def test_index_changes(spark, tmp_path):
+    """New, changed, blank and removed files; nothing to do; compaction."""
+    source, table = tmp_path / "in", str(tmp_path / "table")
+    source.mkdir()
+    texts = lambda where: {r.source_file: r.content for r in incremental.current(spark, where).collect()}
+    (source / "a.txt").write_text("alpha one")
+    (source / "b.txt").write_text("beta")
+    (source / "c.txt").write_text("gamma")
+    assert incremental.index_changes(spark, str(source), table) == {"new": 3, "modified": 0, "removed": 0}
+    (source / "a.txt").write_text("alpha two")
+    (source / "b.txt").write_text(" ")
+    (source / "c.txt").unlink()
+    assert incremental.index_changes(spark, str(source), table) == {"new": 0, "modified": 2, "removed": 1}
+    found = texts(table)
+    assert found["a.txt"].strip() == "alpha two" and "c.txt" not in found and not found.get("b.txt", "").strip()
+    assert incremental.index_changes(spark, str(source), table) == {"new": 0, "modified": 0, "removed": 0}
+    incremental.compacted(spark, table, str(tmp_path / "small"))
+    assert texts(str(tmp_path / "small")) == found
+    assert incremental.index_changes(spark, str(source), str(tmp_path / "small")) == {"new": 0, "modified": 0, "removed": 0}
+
+
+def test_longer_chains_and_deeper_copies(spark):
+    edges = spark.createDataFrame([(1, f"p{k}", f"p{k + 1}") for k in range(40)] + [(2, "r", "a"), (2, "a", "b"), (2, "b", "a")], "doc_id long, caller string, target string")
+    depth = {(r.doc_id, r.name): r.depth for r in graphs.longest_path(edges).collect()}
+    assert depth[1, "p40"] == 40 and depth[2, "a"] >= 1
+    lines = spark.createDataFrame([(1, 0, "COPY B0.")], "doc_id long, line_no int, line string")
+    books = spark.createDataFrame([(f"B{k}", f"COPY B{k + 1}.") for k in range(8)] + [("B8", "DEEP")], "name string, content string")
+    assert [r.line for r in structure.expand(lines, books).collect()] == ["DEEP"]
