@@ -72,13 +72,24 @@ def quoted(x):
 
 DESCRIBE = "case ch " + " ".join(f"when {quoted(k)} then {quoted(v)}" for k, v in checks.CHARACTER_NAMES.items()) + " else 'Unknown special character (U+' || lpad(upper(to_hex(ord(ch))), 4, '0') || ')' end"
 CELLS = f"""cells as (select doc_id, 'text' as col, text as v from documents union all select doc_id, 'source', source from documents),
-marks as (select doc_id, col, ch from (select doc_id, col, unnest(string_split(v, '')) as ch from cells) where ch <> '' and not regexp_full_match(ch, '{checks.VALID_CHARACTERS.replace("'", "''")}'))"""
+marks as (select doc_id, col, ch from (select doc_id, col, unnest(string_split(nfc_normalize(v), '')) as ch from cells) where ch <> '' and not regexp_full_match(ch, '{checks.VALID_CHARACTERS.replace("'", "''")}'))"""
 
 
 def charset_row_flags(spark, sf):
     return validation.character_flags(docs(spark, sf), "doc_id", CHARS)
 
 
+def charset_positions(spark, sf):
+    """Over benchmark texts, and three values that NFC changes."""
+    rows = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
+    odd = spark.createDataFrame([(-1, "A&B_1"), (-2, "e\u0301x\u212a&"), (-3, None)], "item_id long, text string")
+    return validation.character_positions(rows.unionByName(odd), "item_id", ["text", "absent"])
+
+
+POSITIONS = """with v as (select item_id, nfc_normalize(text) as v from (select item_id, text from benchmark union all select * from (values (-1, 'A&B_1'), (-2, 'e' || chr(769) || 'x' || chr(8490) || '&'), (-3, null))) t),
+marks as (select item_id, unnest(range(length(v))) as position, v from v), c as (select item_id, cast(position as int) as position, v[position + 1] as ch from marks)"""
+
+
 def name_characters(spark, sf):
     customer = spark.read.parquet(f"{sf}/customer.parquet").select("c_name", "c_mktsegment")
     return validation.character_counts(customer, ["c_name", "c_mktsegment"])
@@ -173,6 +184,7 @@ QUERIES = {
     "multi_corpus_stats": (multi_corpus_stats, MULTI),
     "charset_invalid_counts": (charset_invalid_counts, f'with {CELLS} select col as "column", {DESCRIBE} as description, count(*) as n from marks group by all'),
     "charset_row_flags": (charset_row_flags, f"with {CELLS} select doc_id, string_agg(distinct col, ',' order by col desc) as columns, count(*) as n from marks group by doc_id"),
+    "charset_positions": (charset_positions, f"""{POSITIONS} select item_id, 'text' as "column", position, ch as char, {DESCRIBE} as description from c where not regexp_full_match(ch, '{checks.VALID_CHARACTERS.replace("'", "''")}')"""),
     "name_characters": (name_characters, f"""with marks as (select col, ch from (select 'c_name' as col, unnest(string_split(c_name, '')) as ch from customer union all select 'c_mktsegment', unnest(string_split(c_mktsegment, '')) from customer) where ch <> '' and not regexp_full_match(ch, '{checks.VALID_CHARACTERS.replace("'", "''")}')) select col as "column", {DESCRIBE} as description, count(*) as n from marks group by all"""),
     "row_validation": (row_validation, f"with {ORDERS} select o_orderkey, array_to_string(errors, ';') as errors, array_to_string(warnings, ';') as warnings, len(errors) = 0 as is_valid from r where len(errors) > 0 or len(warnings) > 0"),
     "error_frequency": (error_frequency, f"with {ORDERS} select string_split(m, ':')[1] as kind, count(*) as n, list from (select unnest(errors) as m, 'errors' as list from r union all select unnest(warnings), 'warnings' from r) group by all"),

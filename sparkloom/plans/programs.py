@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graphs, programs, structure
-from .structure import PERFORMS, PROGRAM, STATEMENTS, TAL, lines_of, sql_lines
+from .structure import DATA_ITEMS, PARAGRAPHS, PERFORMS, PROGRAM, STATEMENTS, TAL, lines_of, quoted, sql_lines
 
 
 def program_header(spark, sf):
-    return programs.header(lines_of(spark, PROGRAM)).select("doc_id", "program", F.size("files").alias("files"))
+    return programs.header(lines_of(spark, HEAD)).select("doc_id", "program", "author", F.array_join("files", ",").alias("files"))
+
+
+HEAD = ["IDENTIFICATION DIVISION.", "PROGRAM-ID. PAYRUN.", "AUTHOR.", "    OPS TEAM.", "SELECT PAYFILE ASSIGN TO DISK.", "SELECT OPTIONAL LOGFILE.", "FD  PAYFILE.", "FD  REPORT-FILE.", *PROGRAM[2:]]
+_VALUE = r"case when regexp_matches(up, '^{0}\b') then coalesce(nullif(trim(regexp_replace(regexp_extract(up, '^{0}\s*\.?\s*(.*)$', 1), '\.$', '')), ''), regexp_replace(after, '\.$', '')) end"
+HEADER = rf"""with {sql_lines(HEAD)}, u as (select doc_id, line_no, upper(trim(line)) as up, lead(upper(trim(line))) over (partition by doc_id order by line_no) as after from lines),
+v as (select *, {_VALUE.format('PROGRAM-ID')} as program, {_VALUE.format('AUTHOR')} as author, coalesce(nullif(regexp_extract(up, '^FD\s+([A-Z0-9-]+)', 1), ''),
+nullif(regexp_extract(up, '^SELECT\s+(?:OPTIONAL\s+)?([A-Z0-9-]+)(?:\s+ASSIGN\b.*|\s*\.?)$', 1), '')) as file from u)
+select doc_id, arg_min(program, line_no) filter (program is not null) as program, arg_min(author, line_no) filter (author is not null) as author, string_agg(distinct file, ',' order by file) as files from v group by doc_id"""
 
 
 def cleaned_lines(spark, sf):
@@ -24,14 +32,18 @@ def data_metrics(spark, sf):
     return programs.data_metrics(structure.data_items(lines_of(spark, PROGRAM)))
 
 
-METRICS = "select 1 as doc_id, 8 as items, 3 as records, 2 as groups, 1 as conditions, 5 as pictures, 2 as with_value, 0 as redefined, 1 as arrays, 2 as numeric, 3 as alphanumeric, 'SIMPLE' as band"
+METRICS = f"""with {DATA_ITEMS}, m as (select doc_id, count(*) as items, count(*) filter (level = 1) as records, count(*) filter (kind = 'GROUP') as groups, count(*) filter (level = 88) as conditions, count(picture) as pictures, count(value) as with_value,
+count(redefines) as redefined, count(occurs) as arrays, count(*) filter (type in ('NUMERIC_INTEGER', 'NUMERIC_DECIMAL')) as numeric, count(*) filter (type = 'ALPHANUMERIC') as alphanumeric from items group by doc_id),
+k as (select *, {' + '.join(f"cast({c} > {x} as int)" for c, limits in (("records", (5, 10, 20)), ("groups", (20, 50, 100)), ("conditions", (15, 30)), ("redefined", (0, 5)), ("arrays", (0, 10))) for x in limits)} as score from m)
+select * exclude (score), case when score >= 8 then 'VERY COMPLEX' when score >= 5 then 'COMPLEX' when score >= 3 then 'MODERATE' else 'SIMPLE' end as band from k"""
 
 
 def included_items(spark, sf):
     return programs.included(structure.data_items(lines_of(spark, PROGRAM))).select("name", "level", "section")
 
 
-INCLUDED = "select * from (values ('WS-TOTALS', 1, 'WORKING-STORAGE'), ('WS-COUNT', 5, 'WORKING-STORAGE'), ('WS-AMOUNT', 5, 'WORKING-STORAGE'), ('WS-NAME', 5, 'WORKING-STORAGE'), ('NAME-BLANK', 88, 'WORKING-STORAGE'), ('WS-TABLE', 1, 'WORKING-STORAGE'), ('WS-ROW', 5, 'WORKING-STORAGE'), ('LK-PARM', 1, 'LINKAGE')) as t(name, level, section)"
+INCLUDED = f"""with {DATA_ITEMS}, f as (select *, upper(name) = 'FILLER' as filler, level in (1, 77) as top from items where name is not null)
+select name, level, section from f where not (filler and value is null) and case when section = 'LINKAGE' then top or (level <> 88 and not filler) else top or level in (66, 88) or not filler or value is not null end"""
 
 
 def linkage_parameters(spark, sf):
@@ -70,11 +82,24 @@ n + {COUNTS} + {' + '.join(f"cast(contains(up, '{x}') as int)" for x in NAMES)}
 
 
 def quality_metrics(spark, sf):
-    return programs.quality_metrics(structure.scored(lines_of(spark, PROGRAM))).select("doc_id", "statements")
+    return programs.quality_metrics(structure.scored(lines_of(spark, PROGRAM)))
+
+
+TAL_DATA = ["STRUCT rec(*);", "BEGIN", "INT id;", "STRING name[0:9];", "END;", "INT count := 0;  ! starts at 0", "INT(32) big;", "INT .ptr;", "STRING buf[0:79];", "INT count;", "REAL rate;", *TAL]
 
 
 def tal_items(spark, sf):
-    return programs.tal_items(lines_of(spark, TAL)).select("line_no", "name", "kind", "type")
+    return programs.tal_items(lines_of(spark, TAL_DATA))
+
+
+def _tal_items_sql():
+    case = lambda what: "case " + " ".join(f"when regexp_matches(t, {quoted(p)}) then {what(k, p)}" for k, p in programs.TAL_ITEMS.items()) + " end"
+    kinds = "case " + " ".join(f"when contains(upper(t), {quoted(x)}) then {quoted(x)}" for x in structure.TAL_TYPES) + " else 'UNKNOWN' end"
+    return f"""with {sql_lines(TAL_DATA)}, b as (select doc_id, line_no, trim(regexp_replace(line, '!.*$', '')) as t from lines),
+    k as (select *, {case(lambda k, p: quoted(k))} as kind, {case(lambda k, p: f"regexp_extract(t, {quoted(p)}, 1)")} as name, {kinds} as type from b),
+    o as (select *, last_value(case when kind = 'STRUCT' then name when regexp_matches(upper(t), '^END\\s*;') or regexp_matches(upper(t), '\\bPROC\\b') then '' end ignore nulls) over (partition by doc_id order by line_no rows between unbounded preceding and current row) as struct from k),
+    m as (select *, coalesce(struct, '') <> '' and kind <> 'STRUCT' as member from o where kind is not null qualify row_number() over (partition by doc_id, name order by line_no) = 1)
+    select doc_id, line_no, name, case when member then 'MEMBER' else kind end as kind, type, case when member then struct end as struct from m"""
 
 
 def item_references(spark, sf):
@@ -101,15 +126,15 @@ def _templates_sql():
 
 
 QUERIES = {
-    "program_header": (program_header, "select 1 as doc_id, 'PAYRUN' as program, 0 as files"),
+    "program_header": (program_header, HEADER),
     "cleaned_lines": (cleaned_lines, CLEAN),
     "data_metrics": (data_metrics, METRICS),
     "included_items": (included_items, INCLUDED),
-    "linkage_parameters": (linkage_parameters, "select 1 as doc_id, 'LK-PARM' as name, 'REFERENCE' as mode"),
+    "linkage_parameters": (linkage_parameters, f"with {DATA_ITEMS} select doc_id, name, 'REFERENCE' as mode from items where section = 'LINKAGE' and level in (1, 77)"),
     "perform_statistics": (perform_statistics, PERFORM_STATS),
     "procedure_labels": (procedure_labels, LABELS),
-    "quality_metrics": (quality_metrics, f"with {STATEMENTS} select doc_id, count(*) as statements from st group by doc_id"),
-    "tal_items": (tal_items, "select * from (values (1, 'total', 'VAR', 'INT'), (3, '.msg', 'POINTER', 'INT')) as t(line_no, name, kind, type)"),
+    "quality_metrics": (quality_metrics, f"with {PARAGRAPHS} select doc_id, round(avg(score), 1) as mean_score, count(*) filter (score >= 65) as confident, cast(sum(n) as bigint) as statements from scores group by doc_id"),
+    "tal_items": (tal_items, _tal_items_sql()),
     "item_references": (item_references, ITEM_REFS),
     "templates": (templates, _templates_sql()),
 }

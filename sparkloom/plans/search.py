@@ -96,7 +96,7 @@ def sql_name(name, wanted):
 
 def name_similarity_search(spark, sf):
     part = spark.read.parquet(f"{sf}/part.parquet").select(F.lit("part").alias("source_file"), F.col("p_partkey").alias("chunk_id"), F.col("p_name").alias("name"))
-    return search.by_procedure(part, "steel anodized part", 20).select("chunk_id", F.round("score", 6).alias("score"))
+    return search.by_procedure(part, "small blue ring", 20).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 def function_search(spark, sf):
@@ -151,20 +151,20 @@ select doc_id as chunk_id, score from s where score > 0.1 order by score desc, s
 IMAGE_QUERY = ["license", "the", "token"]
 
 
-def binary_search(measure, least, every=False):
+def binary_search(measure, least, every=False, query=IMAGE_QUERY):
     def run(spark, sf):
         vocab = sorted({w for ws in TOPICS.values() for w in ws})
         rows = features(spark, sf).select(F.col("chunk_id").alias("name"), "ord", F.array_intersect("words", F.array(*map(F.lit, vocab))).alias("keywords"))
-        return search.images(rows, IMAGE_QUERY, 100, measure, least, every, 20).select(F.col("name").alias("chunk_id"), "score", "match_share")
+        return search.images(rows, query, 100, measure, least, every, 20).select(F.col("name").alias("chunk_id"), "score", "match_share")
 
     vocab = listed(sorted({w for ws in TOPICS.values() for w in ws}))
     formula = {
-        "cosine": "case when n > 0 then met / sqrt(n * 3.0) else 0 end",
-        "jaccard": "case when n + 3 - met > 0 then met / (n + 3 - met) else 0 end",
-        "hamming": "(100 - (n + 3 - 2 * met)) / 100.0",
-    }[measure]
-    sql = f"""with {FEATURES}, k as (select doc_id, list_intersect(words, {vocab}) as own from f), m as (select doc_id, len(own) as n, len(list_intersect(own, {listed(IMAGE_QUERY)})) as met from k),
-    s as (select doc_id as chunk_id, round(cast({formula} as double), 4) as score, round(met / 3.0, 4) as match_share from m)
+        "cosine": "case when n > 0 then met / sqrt(n * {q}.0) else 0 end",
+        "jaccard": "case when n + {q} - met > 0 then met / (n + {q} - met) else 0 end",
+        "hamming": "(100 - (n + {q} - 2 * met)) / 100.0",
+    }[measure].format(q=len(query))
+    sql = f"""with {FEATURES}, k as (select doc_id, list_intersect(words, {vocab}) as own from f), m as (select doc_id, len(own) as n, len(list_intersect(own, {listed(query)})) as met from k),
+    s as (select doc_id as chunk_id, round(cast({formula} as double), 4) as score, round(met / {len(query)}.0, 4) as match_share from m)
     select * from s where score >= {least} and match_share > 0 {'and match_share = 1' if every else ''} order by score desc, chunk_id limit 20"""
     return run, sql
 
@@ -237,7 +237,7 @@ QUERIES = {
     "network_search": (network_search, f"with {FEATURES} select source_file, doc_id as chunk_id from f where list_contains(networks, 'fedwire') and primary_flow = 'validation' order by doc_id limit 15"),
     "message_search": (message_search, ranked(sql_message("license"), "len(list_filter(tags, lambda t: contains(lower(t), 'license'))) > 0 or contains(low, 'license')")),
     "procedure_search": (procedure_search, ranked(f"round({sql_name('name', 'the_and')}, 6)", kept="score > 0")),
-    "name_similarity_search": (name_similarity_search, f"select p_partkey as chunk_id, score from (select p_partkey, round(cast({sql_name('lower(p_name)', 'steel anodized part')} as double), 6) as score from part) where score > 0 order by score desc, p_partkey desc limit 20"),
+    "name_similarity_search": (name_similarity_search, f"select p_partkey as chunk_id, score from (select p_partkey, round(cast({sql_name('lower(p_name)', 'small blue ring')} as double), 6) as score from part) where score > 0 order by score desc, p_partkey desc limit 20"),
     "function_search": (function_search, FUNCTION),
     "validation_patterns": (validation_patterns, sql_patterns("validation", ["license", "public", "general", "terms", "token"], ["the"])),
     "error_patterns": (error_patterns, sql_patterns("exception_handling", ["que", "les", "los"], network="swift")),
@@ -246,7 +246,7 @@ QUERIES = {
     "binary_vector_search_cosine": binary_search("cosine", 0.1),
     "binary_vector_search_jaccard": binary_search("jaccard", 0.1),
     "binary_vector_search_hamming": binary_search("hamming", 0.5),
-    "binary_vector_search_all": binary_search("cosine", 0.1, True),
+    "binary_vector_search_all": binary_search("cosine", 0.1, True, ["the", "with"]),
     "embedding_topk": (embedding_topk, EMBEDDING),
     "bm25_topk": (bm25_topk, f"with {BM25} select doc_id, score from bm order by score desc, doc_id limit 20"),
     "hybrid_topk": (hybrid_topk, HYBRID),

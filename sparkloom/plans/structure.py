@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import checks
 from ..functions import text as fx
 from ..operators import chunking, graphs, prompts, structure
 
@@ -125,21 +126,30 @@ lambda w: regexp_replace(w, '[,.]', '', 'g')), lambda w: regexp_full_match(w, '[
 
 
 def cobol_copies(spark, sf):
-    return structure.copies(lines_of(spark, PROGRAM)).select("doc_id", "line_no", "copybook", "library", "kind")
+    return structure.copies(lines_of(spark, PROGRAM))
 
 
-COPIES = "select * from (values (1, 26, 'PAYREC', null, 'DATA_STRUCTURE'), (1, 27, 'STDPROC', 'PAYLIB', 'PROCEDURE_CODE')) as t(doc_id, line_no, copybook, library, kind)"
+COPIES = rf"""with {sql_lines(PROGRAM)}, u as (select doc_id, line_no, upper(line) as up from lines),
+c as (select *, regexp_replace(coalesce({', '.join(f"nullif(regexp_extract(up, {quoted(x)}, 1), '')" for x in structure.COPY_FORMS)}), '\.$', '') as copybook from u)
+select doc_id, line_no, copybook, regexp_replace(nullif(regexp_extract(up, 'COPY\s+\S+\s+(?:OF|IN)\s+([A-Z0-9.-]+)', 1), ''), '\.$', '') as library, nullif(regexp_extract(up, '(REPLACING.*)$', 1), '') as replacing,
+case when contains(copybook, 'REC') or contains(copybook, 'LAYOUT') then 'DATA_STRUCTURE' when contains(copybook, 'PROC') or contains(copybook, 'ROUTINE') or contains(up, 'PROCEDURE') then 'PROCEDURE_CODE'
+when contains(copybook, 'CONST') or contains(copybook, 'CODE') or contains(copybook, 'MSG') then 'CONSTANTS' else 'UNKNOWN' end as kind from c where copybook is not null"""
 
 
 def cobol_data_items(spark, sf):
     return structure.data_items(lines_of(spark, PROGRAM)).select("doc_id", "line_no", "section", "level", "name", "picture", F.coalesce("occurs", F.lit(0)).alias("occurs"), "usage", "type", "kind", F.coalesce(F.col("parent").cast("long"), F.lit(-1)).alias("parent"))
 
 
-ITEMS = """select 1 as doc_id, * from (values (4, 'WORKING-STORAGE', 1, 'WS-TOTALS', null, 0, null, null, 'GROUP', -1), (5, 'WORKING-STORAGE', 5, 'WS-COUNT', '9(5)', 0, 'COMP', 'NUMERIC_INTEGER', 'ELEMENTARY', 4),
-(6, 'WORKING-STORAGE', 5, 'WS-AMOUNT', 'S9(7)V99', 0, null, 'NUMERIC_DECIMAL', 'ELEMENTARY', 4), (7, 'WORKING-STORAGE', 5, 'WS-NAME', 'X(30)', 0, null, 'ALPHANUMERIC', 'ELEMENTARY', 4),
-(8, 'WORKING-STORAGE', 88, 'NAME-BLANK', null, 0, null, null, 'CONDITION', 7), (9, 'WORKING-STORAGE', 1, 'WS-TABLE', null, 0, null, null, 'GROUP', -1),
-(10, 'WORKING-STORAGE', 5, 'WS-ROW', 'X(4)', 10, null, 'ALPHANUMERIC', 'ELEMENTARY', 9), (12, 'LINKAGE', 1, 'LK-PARM', 'X(8)', 0, null, 'ALPHANUMERIC', 'ELEMENTARY', -1))
-as t(line_no, section, level, name, picture, occurs, usage, type, kind, parent)"""
+DATA_ITEMS = rf"""{SECTIONS}, ds as (select doc_id, line_no, trim(line) as t, last_value(case when regexp_matches(up, '^[A-Z-]+\s+SECTION') then regexp_extract(up, '^([A-Z-]+)\s+SECTION', 1) end ignore nulls)
+over (partition by doc_id order by line_no rows between unbounded preceding and current row) as section from sec where division = 'DATA'),
+di as (select doc_id, line_no, section, try_cast(regexp_extract(t, '^(\d{{1,2}})\s', 1) as int) as level, nullif(regexp_extract(t, '^\d{{1,2}}\s+([A-Za-z0-9-]+)', 1), '') as name,
+regexp_replace(nullif(regexp_extract(t, '(?i)\sPIC(?:TURE)?\s+(?:IS\s+)?(\S+)', 1), ''), '\.$', '') as picture, regexp_replace(nullif(regexp_extract(t, '(?i)\sVALUE\s+(?:IS\s+)?(\S+)', 1), ''), '\.$', '') as value,
+try_cast(regexp_extract(t, '(?i)\sOCCURS\s+(\d+)', 1) as int) as occurs, nullif(regexp_extract(t, '(?i)\sREDEFINES\s+([A-Za-z0-9-]+)', 1), '') as redefines,
+upper(nullif(regexp_extract(t, '(?i)\s(?:USAGE\s+(?:IS\s+)?)?(COMP(?:UTATIONAL)?(?:-[1-5])?|BINARY|DISPLAY|PACKED-DECIMAL|INDEX|POINTER)\b', 1), '')) as usage from ds),
+dk as (select *, case when level = 88 then 'CONDITION' when picture is not null then 'ELEMENTARY' else 'GROUP' end as kind from di where level is not null),
+items as (select *, case when kind <> 'ELEMENTARY' then null when contains(upper(picture), 'X') then 'ALPHANUMERIC' when contains(upper(picture), '9') and contains(upper(picture), 'V') then 'NUMERIC_DECIMAL' when contains(upper(picture), '9') then 'NUMERIC_INTEGER'
+when contains(upper(picture), 'A') then 'ALPHABETIC' else 'UNKNOWN' end as type, (select max(p.line_no) from dk p where p.doc_id = dk.doc_id and p.line_no < dk.line_no and p.level < dk.level and (p.level < 50 or p.level = 77)) as parent from dk)"""
+ITEMS = f"with {DATA_ITEMS} select doc_id, line_no, section, level, name, picture, coalesce(occurs, 0) as occurs, usage, type, kind, coalesce(cast(parent as bigint), -1) as parent from items"
 
 
 def external_calls(spark, sf):
@@ -181,10 +191,13 @@ def statement_blocks(spark, sf):
     return chunking.blocks(rows.withColumn("line", F.col("line_no"))).select("proc", "block", "kind", "start_line", "end_line", "n_statements")
 
 
-BLOCKS = """select * from (values ('1/CHECK-EXIT', 0, 'EXIT', 44, 44, 1), ('1/CHECK-LIMIT', 0, 'EVALUATE_BLOCK', 40, 42, 3), ('1/INIT-RUN', 0, 'OPEN', 24, 24, 1), ('1/INIT-RUN', 1, 'MOVE', 25, 25, 1),
-('1/MAINLINE', 0, 'PERFORM', 15, 15, 1), ('1/MAINLINE', 1, 'PERFORM', 16, 16, 1), ('1/MAINLINE', 2, 'PERFORM', 17, 17, 1), ('1/MAINLINE', 3, 'PERFORM', 18, 18, 1), ('1/MAINLINE', 4, 'PERFORM', 19, 19, 1),
-('1/MAINLINE', 5, 'CALL', 20, 20, 1), ('1/MAINLINE', 6, 'CALL', 21, 21, 1), ('1/MAINLINE', 7, 'GOBACK', 22, 22, 1), ('1/PROCESS-RECORD', 0, 'READ', 29, 29, 1), ('1/PROCESS-RECORD', 1, 'IF_BLOCK', 30, 33, 4),
-('1/PROCESS-RECORD', 2, 'SQL_BLOCK', 35, 37, 3), ('1/PROCESS-RECORD', 3, 'PERFORM', 38, 38, 1)) as t(proc, block, kind, start_line, end_line, n_statements)"""
+BLOCKS = f"""with recursive {STATEMENTS}, o as (select '1/' || paragraph as proc, line_no, type, row_number() over (partition by paragraph order by line_no) as k from st),
+w as (select proc, k, line_no, type, cast(null as varchar) as inside, {{closer}} as closer from o where k = 1
+union all select o.proc, o.k, o.line_no, o.type, w.closer, case when w.closer is not null then nullif(w.closer, o.type) else {{closer}} end from w join o on o.proc = w.proc and o.k = w.k + 1),
+b as (select *, sum(cast(inside is null and type not in ({', '.join(map(quoted, chunking.SKIPPED))}) as int)) over (partition by proc order by k) - 1 as block from w where inside is not null or type not in ({', '.join(map(quoted, chunking.SKIPPED))}))
+select proc, cast(block as int) as block, case arg_min(type, k) {' '.join(f"when {quoted(t)} then {quoted(n)}" for t, (n, _) in chunking.BLOCKS.items())} else arg_min(type, k) end as kind,
+cast(min(line_no) as bigint) as start_line, cast(coalesce(max(line_no) filter (inside is not null and type = inside), min(line_no)) as bigint) as end_line, count(*) as n_statements from b group by proc, block"""
+BLOCKS = BLOCKS.replace("{closer}", "case o.type " + " ".join(f"when {quoted(t)} then {quoted(c)}" for t, (_, c) in chunking.BLOCKS.items()) + " end")
 
 
 def tal_statements(spark, sf):
@@ -298,9 +311,6 @@ def rule_matches(spark, sf):
     return graphs.rule_matches(procs, rules)
 
 
-MATCHES = "select 1 as doc_id, * from (values ('CHECK-LIMIT', 'dispatch', 1), ('INIT-RUN', 'any', 2), ('PROCESS-RECORD', 'files', 0), ('PROCESS-RECORD', 'any', 2)) as t(name, rule, ord)"
-
-
 def procedure_texts(spark, sf):
     rows = structure.statements(lines_of(spark, PROGRAM))
     code = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "content"))), lambda x: x["content"]), "\n")
@@ -308,13 +318,95 @@ def procedure_texts(spark, sf):
     return procs.select("name", fx.logic_summary(F.col("code")).alias("logic"), fx.architecture_label(F.col("name"), F.col("code")).alias("label"), fx.camel(F.col("name")).alias("method"), fx.pascal(F.col("name")).alias("class"))
 
 
+LABEL = """case when contains(n, 'valid') or (contains(c, 'if ') and contains(c, 'set ')) then 'VALIDATION' when contains(n, 'read') or contains(n, 'file') or contains(c, 'read ') then 'FILE_PROCESSING' when contains(c, 'exec sql') or contains(c, 'select ') then 'DATABASE_ACCESS'
+when contains(n, 'process') and (contains(c, 'move ') or contains(c, 'initialize')) then 'DATA_TRANSFORMATION' when contains(n, 'init') or contains(n, 'open') then 'INITIALIZATION' when contains(n, 'term') or contains(n, 'close') then 'CLEANUP' else 'BUSINESS_LOGIC' end"""
 LOGIC = f"""with {STATEMENTS}, p as (select paragraph as name, string_agg(content, chr(10) order by line_no) as code from st group by paragraph), u as (select *, upper(code) as up, lower(name) as n, lower(code) as c from p)
 select name, coalesce(nullif(concat_ws(', ', {', '.join("case when " + ' or '.join(f"contains(up, '{v}')" for v in verbs) + f" then '{label}' end" for label, verbs in fx.LOGIC_GROUPS)}), ''), 'General Processing') as logic,
-case when contains(n, 'valid') or (contains(c, 'if ') and contains(c, 'set ')) then 'VALIDATION' when contains(n, 'read') or contains(n, 'file') or contains(c, 'read ') then 'FILE_PROCESSING' when contains(c, 'exec sql') or contains(c, 'select ') then 'DATABASE_ACCESS'
-when contains(n, 'process') and (contains(c, 'move ') or contains(c, 'initialize')) then 'DATA_TRANSFORMATION' when contains(n, 'init') or contains(n, 'open') then 'INITIALIZATION' when contains(n, 'term') or contains(n, 'close') then 'CLEANUP' else 'BUSINESS_LOGIC' end as label,
+{LABEL} as label,
 n_parts[1] || array_to_string(list_transform(n_parts[2:], lambda w: upper(w[1:1]) || w[2:]), '') as method, array_to_string(list_transform(n_parts, lambda w: upper(w[1:1]) || w[2:]), '') as class from (select *, string_split(n, '-') as n_parts from u)"""
 
 
+def sql_rule(rule, ord, override, labels, names, codes):
+    """The procedures that a rule matches."""
+    found = [f"regexp_full_match(name, {quoted(x)}, 'i')" for x in names] + [f"regexp_matches(code, {quoted(x)}, 'i')" for x in codes]
+    where = " or ".join(found) or "true"
+    if labels:
+        where = f"label in ({', '.join(map(quoted, labels))}) and ({where})"
+    return f"select doc_id, name, {quoted(rule)} as rule, {ord} as ord, {override} as override from l where {where}"
+
+
+MATCHES = f"""with {STATEMENTS}, p as (select doc_id, paragraph as name, string_agg(content, chr(10) order by line_no) as code from st group by all), u as (select *, lower(name) as n, lower(code) as c from p),
+l as (select *, {LABEL} as label from u), m as ({' union all '.join(sql_rule(*r) for r in RULES)})
+select doc_id, name, rule, ord from (select *, coalesce(max(case when override then ord end) over (partition by doc_id, name), -1) as cut from m) where ord >= cut"""
+PARAGRAPHS = f"""{STATEMENTS}, {PERFORMS[len(SECTIONS) + 2 :]}, last as (select doc_id, max(line_no) as last from lines group by doc_id),
+pr as (select doc_id, pname as name, line_no as start_line, coalesce(lead(line_no) over (partition by doc_id order by line_no) - 1, last) as end_line from sec join last using (doc_id) where begins),
+sf as (select doc_id, paragraph as name, count(*) as n, list(distinct type) as types, arg_min(content, line_no) as code from st group by all), rf as (select doc_id, target as name, count(*) as refs from pf where form is not null group by all),
+sp as (select pr.*, coalesce(n, 0) as n, coalesce(types, []) as types, coalesce(code, '') as code, coalesce(refs, 0) as refs, upper(name) as up, lower(name) as low from pr left join sf using (doc_id, name) left join rf using (doc_id, name)),
+sc as (select *, cast(greatest(0, 55 + {' + '.join(f"case when {' or '.join(f'contains(low, {quoted(x)})' for x in parts)} then {points} else 0 end" for points, parts in structure.NAME_GROUPS)}
++ case when n > 0 then 10 else 0 end + {' + '.join(f"case when n >= {k} then 5 else 0 end" for k in (1, 3, 5, 10, 20, 50))} - case when n = 1 then 5 else 0 end + case when n between 5 and 30 then 10 else 0 end
++ case when refs = 0 then 0 when refs = 1 then 8 when refs <= 3 then 15 else 20 end + {' + '.join(f"case when list_contains(types, {quoted(t)}) then {v} else 0 end" for t, v in structure.STATEMENT_BONUS.items())} + case when len(types) > 0 then 2 else 0 end
++ case when length(name) between 3 and 30 then 5 else 0 end + case when regexp_matches(name, '^[A-Za-z]') then 5 else 0 end + case when regexp_full_match(name, '[A-Za-z0-9_-]+') then 5 else 0 end
++ case when regexp_matches(name, '[a-z][A-Z]') or contains(name, '-') then 3 else 0 end + case when length(name) > 5 and not (name = up and regexp_matches(name, '[A-Z]')) then 2 else 0 end
+- ({' + '.join(f"case when contains(up, {quoted(h)}) then 30 else 0 end" for h in structure.HEADERS)}) - case when regexp_matches(up, '^(WS|LS|FD|SD)[A-Z]') then 20 else 0 end - case when length(name) <= 2 then 10 else 0 end - case when n = 0 then 15 else 0 end
+- case when n = 1 and starts_with(trim(code), '*') then 10 else 0 end - case when starts_with(up, 'END-') then 25 else 0 end - case when up in ({VERB_NAMES}) then 20 else 0 end) as int) as score from sp),
+scores as (select * from sc where score >= 35 and not regexp_full_match(up, '[0-9]+') and not ({' or '.join(f"contains(up, {quoted(w)})" for w in checks.FALSE_NAMES)}) and not starts_with(up, 'END-') and not regexp_matches(up, '[0-9][0-9]'))""".replace(r"\z", "$")
+
+
+def _budget_sql():
+    from .corpus import CHUNKS
+
+    points = " ".join(f"when {' or '.join(f'contains(upper(name), {quoted(x)})' for x in parts)} then {v}" for v, parts in prompts.IMPORTANCE)
+    return f"""with recursive {CHUNKS}, pk as (select doc_id, printf('%06d %s', chunk_id, coalesce(name, '-')) as name, end_line - start_line + 1 as n from c),
+    po as (select *, row_number() over (partition by doc_id order by case {points} else 20 end + least(n, 50) desc, name, n) as k from pk),
+    pw as (select doc_id, k, case when n <= 15 then 40 - n else 40 end as room, n <= 15 as taken from po where k = 1
+    union all select po.doc_id, po.k, case when po.n <= 15 and po.n <= pw.room then pw.room - po.n else pw.room end, po.n <= 15 and po.n <= pw.room from pw join po on po.doc_id = pw.doc_id and po.k = pw.k + 1)
+    select doc_id, count(*) as procedures, count(*) filter (taken) as taken from pw group by doc_id"""
+
+
+def statement_chain(spark, sf):
+    rows = structure.statements(lines_of(spark, PROGRAM)).withColumn("proc", F.concat_ws("/", "doc_id", "paragraph"))
+    return chunking.block_chain(chunking.blocks(rows.withColumn("line", F.col("line_no"))))
+
+
+def joined_statements(spark, sf):
+    """Statements of several lines: one ends at a period."""
+    return chunking.statement_groups(lines_of(spark, PROGRAM), F.lit(False), F.rtrim("line").endswith("."))
+
+
+JOINED = f"""with {sql_lines(PROGRAM)}, b as (select *, coalesce(lag(ends_with(rtrim(line), '.')) over (partition by doc_id order by line_no), true) as begins from lines),
+g as (select *, sum(cast(begins as int)) over (partition by doc_id order by line_no) as statement from b)
+select doc_id, cast(statement as bigint) as statement, min(line_no) as start_line, max(line_no) as end_line, string_agg(trim(line), ' ' order by line_no) as content from g group by all"""
+
+
+def linked_events(spark, sf):
+    """Edges to node ids by name in any case; of several nodes with one name the last counts."""
+    edges = event_edges(spark, sf)
+    nodes = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("id"), F.upper("event_type").alias("name"))
+    return graphs.linked(edges, nodes).groupBy("doc_id", "target", "callee_id").agg(F.count("*").alias("n"))
+
+
+def variant_counts(spark, sf):
+    edges = event_edges(spark, sf).withColumn("target", F.when(F.col("doc_id") % 2 == 0, F.upper("target")).otherwise(F.col("target")))
+    counts = edges.groupBy("doc_id", F.col("target").alias("name")).agg(F.count("*").alias("refs"))
+    return graphs.best_variant_count(edges.select("doc_id", F.lower("target").alias("name")).distinct(), counts)
+
+
+def merged_procedures(spark, sf):
+    """First and second half of the events as two lists of procedures."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    side = lambda odd, up: events.where(F.col("event_id") % 2 == odd).groupBy(F.col("user_id").alias("doc_id"), up("event_type").alias("name")).agg(F.count("*").alias("statements"), F.floor(F.max("value")).alias("score"))
+    return graphs.merged(side(0, F.lower), side(1, F.upper))
+
+
+SIDE = "select user_id as doc_id, {0}(event_type) as name, count(*) as statements, cast(floor(max(value)) as bigint) as score from events where event_id % 2 = {1} group by all"
+
+
+def added_procedures(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    names = lambda rows: rows.select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("name")).distinct()
+    return graphs.added(names(events.where("event_id % 2 = 0")), names(events))
+
+
 def budget_packing(spark, sf):
     from .corpus import chunked
 
@@ -331,7 +423,7 @@ QUERIES = {
     "external_calls": (external_calls, EXTERNAL.replace(r"\z", "$")),
     "reference_coverage": (reference_coverage, COVERAGE.replace(r"\z", "$")),
     "program_classes": (program_classes, CLASSES),
-    "procedure_scores": (procedure_scores, None),
+    "procedure_scores": (procedure_scores, f"with {PARAGRAPHS} select name as paragraph, start_line, end_line, n as statements, refs, score from scores"),
     "statement_blocks": (statement_blocks, BLOCKS),
     "procedure_texts": (procedure_texts, LOGIC),
     "tal_statements": (tal_statements, f"with {TAL_SQL} select * from tal"),
@@ -345,5 +437,11 @@ QUERIES = {
     "statement_mix_class": (statement_mix_class, EVENT_MIX),
     "nearest_assignment": (nearest_assignment, "select c_custkey, s_name as nearest from customer join supplier on c_nationkey = s_nationkey qualify row_number() over (partition by c_custkey order by abs(c_acctbal - s_acctbal), s_suppkey) = 1"),
     "rule_matches": (rule_matches, MATCHES),
-    "budget_packing": (budget_packing, None),
+    "budget_packing": (budget_packing, _budget_sql()),
+    "statement_chain": (statement_chain, f"with recursive b as ({BLOCKS}) select proc, block, next from (select proc, block, lead(block) over (partition by proc order by block) as next from b) where next is not null"),
+    "joined_statements": (joined_statements, JOINED),
+    "linked_events": (linked_events, f"with {EDGES}, n as (select user_id as doc_id, lower(event_type) as key, max(event_id) as callee_id from events group by all) select e.doc_id, target, callee_id, count(*) as n from edges e join n on n.doc_id = e.doc_id and n.key = lower(target) group by all"),
+    "variant_counts": (variant_counts, f"with {EDGES} select doc_id, lower(target) as name, count(*) as refs from edges group by all"),
+    "merged_procedures": (merged_procedures, f"with a as ({SIDE.format('lower', 0)}), b as ({SIDE.format('upper', 1)}) select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.name, b.name) as name, coalesce(b.statements, a.statements) as statements, greatest(a.score, b.score) as score from a full join b on a.doc_id = b.doc_id and upper(a.name) = upper(b.name)"),
+    "added_procedures": (added_procedures, "select distinct user_id as doc_id, event_type as name from events"),
 }
