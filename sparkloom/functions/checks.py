@@ -148,3 +148,34 @@ def procedure_name(name: Column) -> Column:
 
 def allowed_file(name: Column, extensions: tuple[str, ...] = ("txt", "md", "pdf", "docx")) -> Column:
     return F.lower(F.regexp_extract(name, r"\.([^.]+)\z", 1)).isin(*extensions)
+
+
+# Lines that parsers pass over, names that are never procedures, and constants that are no data items.
+SKIPPED_LINES = [r"^\s*\*.*", r"^\s*$", r"^\s*//.*", r"^\s*\*>.*"]
+EXCLUDED_NAMES = [
+    "FILLER", "SPACES", "ZEROS", "LOW-VALUES", "HIGH-VALUES", "FILE-CONTROL", "WORKING-STORAGE", "LINKAGE-SECTION", "FILE-SECTION", "INPUT-OUTPUT",
+    "ENVIRONMENT", "DATA", "PROCEDURE", "IDENTIFICATION", "AUTHOR", "DATE-WRITTEN", "GOBACK", "EXIT", "STOP", "CONTINUE", "WS", "LS", "FD", "SD",
+]
+FIGURATIVE = ["ZERO", "ZEROS", "ZEROES", "SPACE", "SPACES", "HIGH-VALUE", "HIGH-VALUES", "LOW-VALUE", "LOW-VALUES", "NULL", "NULLS"]
+
+
+def skipped_line(line: Column, patterns: list[str] | None = None) -> Column:
+    """Whether a configured pattern (comments and blank lines unless given) matches the trimmed line; null lines are skipped."""
+    found = F.lit(False)
+    for p in SKIPPED_LINES if patterns is None else patterns:
+        found = found | F.trim(line).rlike(rf"^(?:{p})\z")
+    return line.isNull() | F.coalesce(found, F.lit(True))
+
+
+def excluded_name(name: Column, names: list[str] | None = None) -> Column:
+    """Null and blank names, configured ones in any case, END- names, names like variables, up to 2 characters, over 25 in capitals."""
+    up = F.upper(name)
+    listed_name = up.isin(*(EXCLUDED_NAMES if names is None else names)) if names is None or names else F.lit(False)
+    shape = up.startswith("END-") | up.rlike("^(WS|LS|FD|SD)[A-Z]") | (F.length(name) <= 2) | ((up == name) & (F.length(name) > 25))
+    return F.coalesce((F.trim(name) == "") | listed_name | shape, F.lit(True))
+
+
+def referenced_item(name: Column) -> Column:
+    """A name of a data item: not blank, a number, a quoted literal or a figurative constant, in any case."""
+    up = F.upper(F.trim(name))
+    return F.coalesce((up != "") & ~up.rlike(r"^[0-9]*\.?[0-9]+\z") & ~up.rlike("^[\"']") & ~up.isin(*FIGURATIVE), F.lit(False))

@@ -146,6 +146,12 @@ def nearest(points: DataFrame, anchors: DataFrame, x: str, into: str, key: str =
     return found.select("__row.*", F.least(rank("b"), rank("f"))["name"].alias(into))
 
 
+def with_role(points: DataFrame, legend: dict[str, str], colour: str = "color", into: str = "group", other: str = "Unknown") -> DataFrame:
+    """The legend's role of each colour, `other` where it has none. The legend is a parameter and becomes part of the plan."""
+    roles = F.create_map(*[F.lit(x) for kv in legend.items() for x in kv]) if legend else F.lit(None).cast("map<string,string>")
+    return points.withColumn(into, F.coalesce(F.element_at(roles, F.col(colour)), F.lit(other)))
+
+
 def mermaid_sequence(steps: DataFrame, key: str = "diagram") -> DataFrame:
     """One text a diagram from steps (key, y, source, target, message), from top to bottom."""
     row = F.struct("y", F.format_string("    %s->>%s: %s", "source", "target", "message").alias("t"))

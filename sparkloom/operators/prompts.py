@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
@@ -86,6 +86,19 @@ def parse_s_expression(texts: DataFrame) -> DataFrame:
     return found.select("doc_id", "paragraph", part(1).alias("type"), text.alias("content"), part(3).cast("int").alias("line_no"))
 
 
+def parse_procedures(lines: DataFrame) -> DataFrame:
+    """The procedures of such texts read line by line, whole or one item a line: doc_id, paragraph, score, start_line, end_line.
+    lines: doc_id, line_no, line. An item belongs to the last procedure that began at or before it."""
+    item = r'\((PROCEDURE|SCORE|START-LINE|END-LINE) ("(?:[^"\\]|\\.)*"|-?[0-9.]+)'
+    found = lines.select("doc_id", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(item), F.lit(0))).alias("place", "i"))
+    rows = found.select("doc_id", "line_no", "place", F.regexp_extract("i", item, 1).alias("key"), F.regexp_extract("i", item, 2).alias("value"))
+    by = Window.partitionBy("doc_id").orderBy("line_no", "place")
+    rows = rows.withColumn("nth", F.count_if(F.col("key") == "PROCEDURE").over(by.rowsBetween(Window.unboundedPreceding, 0))).where("nth > 0")
+    value = lambda k: F.min_by("value", F.when(F.col("key") == k, F.struct("line_no", "place")))
+    held = rows.groupBy("doc_id", "nth").agg(*[value(k).alias(c) for k, c in (("PROCEDURE", "p"), ("SCORE", "score"), ("START-LINE", "start_line"), ("END-LINE", "end_line"))])
+    return held.select("doc_id", F.regexp_replace("p", '^"|"$', "").alias("paragraph"), F.col("score").cast("double"), F.col("start_line").cast("int"), F.col("end_line").cast("int"))
+
+
 def java_fields(items: DataFrame) -> DataFrame:
     """doc_id, text: a class body from elementary data items."""
     kind = F.when(F.col("type") == "NUMERIC_DECIMAL", "BigDecimal").when(F.col("type") == "NUMERIC_INTEGER", "Long").otherwise("String")

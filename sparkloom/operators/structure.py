@@ -215,6 +215,22 @@ def mix(rows: DataFrame, key: str = "paragraph") -> DataFrame:
     return counted.withColumn("class", mix_class(F.col("sql"), F.col("data"), F.col("file"), F.col("control"), F.contains(F.lower(key), F.lit("main"))))
 
 
+def type_counts(rows: DataFrame, *keys: str) -> DataFrame:
+    """n of each statement type: over all rows, or for each of the keys."""
+    return rows.groupBy(*keys, "type").agg(F.count("*").alias("n"))
+
+
+def dominant_types(counts: DataFrame, *keys: str) -> DataFrame:
+    """Of each key the type of the most statements, ties by name, its n and all statements. counts: from type_counts."""
+    best = F.min(F.struct((-F.col("n")).alias("k"), "type"))
+    return counts.groupBy(*keys).agg(best.alias("b"), F.sum("n").alias("statements")).select(*keys, F.col("b.type").alias("type"), (-F.col("b.k")).alias("n"), "statements")
+
+
+def class_counts(mixed: DataFrame) -> DataFrame:
+    """class, n: how many procedures of mix() are of each class."""
+    return mixed.groupBy("class").agg(F.count("*").alias("n"))
+
+
 def naming_score(name: Column) -> Column:
     low, out = F.lower(name), F.lit(0)
     for points, parts in NAME_GROUPS:

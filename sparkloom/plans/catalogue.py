@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, corpus, learning, programs, search, structure
+from . import checks, corpus, learning, lines, programs, search, structure
 
-_ALL = corpus.QUERIES | search.QUERIES | checks.QUERIES | structure.QUERIES | programs.QUERIES | learning.QUERIES
+_ALL = corpus.QUERIES | search.QUERIES | checks.QUERIES | structure.QUERIES | programs.QUERIES | learning.QUERIES | lines.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -283,6 +283,39 @@ def corpus_statistics(spark, sf):
 STATISTICS = f"with {FEATURES} select fs.flow, count(*) as n, round(avg(fs.score), 6) as mean from fs join f on f.doc_id = fs.doc_id and (f.primary_flow = fs.flow or list_contains(f.secondary, fs.flow)) group by fs.flow"
 
 
+def top_procedures(spark, sf):
+    """The 10 names with most flows above 0.3; of a name's documents the last counts; ties by name."""
+    rows = features(spark, sf).where("name <> ''").groupBy("name").agg(F.max_by(F.size(F.filter("flows", lambda x: x["score"] > 0.3)), "ord").cast("long").alias("n"))
+    return rows.orderBy(F.desc("n"), "name").limit(10)
+
+
+TOP_PROCEDURES = f"with {FEATURES}, p as (select name, arg_max({' + '.join(f'cast(flow_{n} > 0.3 as bigint)' for n in FLOWS)}, doc_id) as n from f where name <> '' group by name) select name, n from p order by n desc, name limit 10"
+
+
+def top_functions(spark, sf):
+    """The 15 functions that most pages call; ties by name."""
+    calls = tables.read(spark, sf, "pages").select(F.explode(fx.called_functions(F.col("html"))).alias("call"))
+    return calls.groupBy("call").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "call").limit(15)
+
+
+TOP_FUNCTIONS = r"select call, count(*) as n from (select unnest(list_distinct(regexp_extract_all(html, '(?:^|[^A-Za-z0-9_])([a-zA-Z_][a-zA-Z0-9_]*)\s*\(', 1))) as call from pages) group by call order by n desc, call limit 15"
+
+
+def category_groups(spark, sf):
+    """Members of each category, as a digest."""
+    members = F.md5(F.array_join(F.array_sort(F.collect_set("doc_id")), ",")).alias("members")
+    return dominant_topic(spark, sf).groupBy("category").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), members)
+
+
+def call_groups(spark, sf):
+    """Members of each called function."""
+    calls = tables.read(spark, sf, "pages").select("page_id", F.explode(fx.called_functions(F.col("html"))).alias("call"))
+    return calls.groupBy("call").agg(F.count("*").alias("n"), F.min("page_id").alias("first"), F.max("page_id").alias("last"))
+
+
+CALL_GROUPS = r"select call, count(*) as n, min(page_id) as first, max(page_id) as last from (select page_id, unnest(list_distinct(regexp_extract_all(html, '(?:^|[^A-Za-z0-9_])([a-zA-Z_][a-zA-Z0-9_]*)\s*\(', 1))) as call from pages) group by call"
+
+
 def flow_distribution(spark, sf):
     rows = features(spark, sf)
     part = lambda kind, c: rows.select(F.lit(kind).alias("kind"), c.alias("value"))
@@ -350,6 +383,10 @@ QUERIES = {
     "corpus_statistics": (corpus_statistics, STATISTICS),
     "flow_distribution": (flow_distribution, DISTRIBUTION),
     "functionality_groups": (functionality_groups, GROUPS),
+    "top_procedures": (top_procedures, TOP_PROCEDURES),
+    "top_functions": (top_functions, TOP_FUNCTIONS),
+    "category_groups": (category_groups, f"select category, count(*) as n, min(doc_id) as first, md5(string_agg(cast(doc_id as varchar), ',' order by doc_id)) as members from ({DOMINANT}) group by category"),
+    "call_groups": (call_groups, CALL_GROUPS),
     "call_targets": (call_targets, r"select call, count(*) as pages from (select page_id, unnest(list_distinct(regexp_extract_all(html, '\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\(', 1))) as call from pages) group by call having count(*) > 1"),
     "control_flags": (control_flags, CONTROL),
     "budget_truncation": (budget_truncation, TRUNCATION),

@@ -199,3 +199,27 @@ def test_blocks_equal_the_loop(kinds):
         i += 1
     got = [(r.kind, r.start_line, r.end_line, r.n_statements) for r in chunking.blocks(rows).orderBy("block").collect()]
     assert got == want
+
+
+def test_line_and_name_rules(spark):
+    """Skipped lines, excluded names and referenced items, with null, blank and configured values."""
+    rows = spark.createDataFrame([(0, None), (1, "  "), (2, "* x"), (3, "END-IF"), (4, "WSTOTAL"), (5, "calc-pay"), (6, "12.5"), (7, "Zero"), (8, "A" * 26), (9, "'x'")], "i int, v string")
+    flags = lambda c: {r.i for r in rows.where(c).collect()}
+    v = F.col("v")
+    assert flags(checks.skipped_line(v)) == {0, 1, 2}
+    assert flags(checks.skipped_line(v, ["END-.*"])) == {0, 3} and flags(checks.skipped_line(v, [])) == {0}
+    assert flags(checks.excluded_name(v)) == {0, 1, 3, 4, 8}
+    assert flags(checks.excluded_name(v, ["CALC-PAY"])) == {0, 1, 3, 4, 5, 8} and flags(checks.excluded_name(v, [])) == {0, 1, 3, 4, 8}
+    assert flags(checks.referenced_item(v)) == {2, 3, 4, 5, 8}
+
+
+def test_counts_roles_and_procedures(spark):
+    rows = spark.createDataFrame([(1, "IF"), (1, "ADD"), (1, "ADD"), (2, "MOVE"), (2, "IF")], "doc_id int, type string")
+    assert {tuple(r) for r in structure.dominant_types(structure.type_counts(rows, "doc_id"), "doc_id").collect()} == {(1, "ADD", 2, 3), (2, "IF", 1, 2)}
+    assert {tuple(r) for r in structure.type_counts(rows).collect()} == {("IF", 2), ("ADD", 2), ("MOVE", 1)}
+    points = spark.createDataFrame([("red",), ("blue",), (None,)], "color string")
+    assert [r.group for r in graphs.with_role(points, {"red": "Bank"}).collect()] == ["Bank", "Unknown", "Unknown"]
+    assert [r.group for r in graphs.with_role(points, {}).collect()] == ["Unknown"] * 3
+    text = ['(ANALYSIS "x" (SCORE 9)', '(PROCEDURE "A"', "(SCORE 70.5)", "(START-LINE 3) (END-LINE 8)", '(PROCEDURE "B" (SCORE 4) (START-LINE 9)', "))"]
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(text)], "doc_id int, line_no int, line string")
+    assert [tuple(r) for r in prompts.parse_procedures(lines).orderBy("start_line").collect()] == [(1, "A", 70.5, 3, 8), (1, "B", 4.0, 9, None)]
