@@ -183,6 +183,8 @@ def _elements_of(blob: bytes, hashes: common.WordHashes) -> np.ndarray:
     return elements(shingles(hashes.of(zstandard.ZstdDecompressor().decompress(blob).split(b" "))))
 
 
+#: About so many pairs of one leader are compared by one task; larger groups are split, each part with the leader's blob.
+SPLIT = 256
 #: Leaders of LOOK members or more: about SAMPLE of them are looked at for elements that several hold.
 LOOK, SAMPLE, OFTEN = 32, 64, 6
 
@@ -213,7 +215,7 @@ def compare(pairs: DataFrame, blobs: DataFrame, around: DataFrame | None = None,
     the others, those that several hold last, the first that must hold a common one with whatever is similar to b without
     owing it to q. A partner has at least m = max(0.8 |b|, least) elements, least being the smallest size among those led by a. It
     shares 4 (|b| + m) / 9 with b, at most `inter` of them in q; so it shares k = 4 (|b| + m) / 9 - inter outside, and one
-    of the first |rest| - k + 1 (prefix filter).
+    of the first |rest| - k + 1 (prefix filter). pairs is read twice, so it should be a stored table.
     """
     with_rest = around is not None
     hashes = common.WordHashes()
@@ -244,7 +246,11 @@ def compare(pairs: DataFrame, blobs: DataFrame, around: DataFrame | None = None,
     nothing = {c: F.lit(None).cast("array<bigint>") for c in ("often", "late")} | {"least": F.lit(0).cast("long")}
     left = left.join(around, "a", "left").join(least, "a") if with_rest else left.withColumns(nothing)
     right = blobs.select(F.col("node").alias("b"), F.col("blob").alias("blob_b"))
-    both = pairs.select("a", "b").join(right, "b").join(left, "a")
+    many = pairs.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > SPLIT).select("a", F.ceil(F.col("m") / SPLIT).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    pairs = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    left = left.join(many, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    both = pairs.join(right, "b").join(left, ["a", "part"])
     return common.map_rows(both.select("a", "b", "blob_a", "blob_b", "often", "late", "least"), make, COMPARED)
 
 
@@ -293,7 +299,7 @@ def classes(signed: DataFrame) -> DataFrame:
     links = stars.where("linked").select("a", "b")
     labels = components(links)
     # What the leaders did not tell joins components, not nodes: a graph of their labels.
-    missed = compare(unled(shared, stars, labels), blobs).where("linked").select("a", "b")
+    missed = compare(common.stored(unled(shared, stars, labels), "unled"), blobs).where("linked").select("a", "b")
     label_of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     missed = missed.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left")
     merged = components(missed.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b"))

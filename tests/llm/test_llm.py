@@ -102,7 +102,9 @@ def test_signatures_are_unbiased():
     assert abs((sig[0] == sig[1]).mean() - want) < 0.03
 
 
-def test_hot_group_links(spark):
+@pytest.mark.parametrize("split", [minhash_dedup.SPLIT, 8])
+def test_hot_group_links(spark, monkeypatch, split):
+    monkeypatch.setattr(minhash_dedup, "SPLIT", split)
     r = random.Random(3)
     base = prose(r, 150)
     texts = [edited(r, base, r.choice([1, 2, 3, 5, 6, 7, 8])) for _ in range(250)] + [prose(r, 100) + " " + " ".join(base.split()[:60]) for _ in range(60)]
