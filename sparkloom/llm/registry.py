@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, minhash_dedup, packing, preference_format, quality_model, quality_rules, secrets, token_rollups, warc
+from . import decontaminate, html_text, lexical_search, minhash_dedup, packing, preference_format, quality_model, quality_rules, secrets, token_rollups, warc
 from .common import table
 
 #: The tokenizer file's name under the folder of public tokenizers.
@@ -72,6 +72,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_format.digests(preference_format.against_next(table(spark, sf_dir, "conversations")))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1,
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8,
         "op9_packing": op9,
         "op10_preference_format": op10,
+        "op11_lexical_search": op11,
         "secret_base_spans": base_spans,
         "token_rollups_by_pattern": rollups_by_pattern,
     }
@@ -95,6 +100,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": quality_rules.SQL,
         "op6_decontaminate": decontaminate.SQL,
         "op10_preference_format": preference_format.SQL,
+        "op11_lexical_search": lexical_search.SQL,
         "secret_base_spans": secrets.BASE_SQL,
         "token_rollups_by_pattern": token_rollups.SQL,
     }
