@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, lexical_search, minhash_dedup, packing, preference_format, quality_model, quality_rules, secrets, token_rollups, warc
+from . import conversation_repair, decontaminate, html_text, lexical_search, minhash_dedup, packing, preference_format, quality_model, quality_rules, secrets, token_rollups, warc
 from .common import table
 
 #: The tokenizer file's name under the folder of public tokenizers.
@@ -76,6 +76,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1,
@@ -89,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9,
         "op10_preference_format": op10,
         "op11_lexical_search": op11,
+        "op12_conversation_repair": op12,
         "secret_base_spans": base_spans,
         "token_rollups_by_pattern": rollups_by_pattern,
     }
