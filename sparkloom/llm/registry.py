@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, decontaminate, html_text, lexical_search, minhash_dedup, packing, preference_format, quality_model, quality_rules, secrets, token_rollups, warc
+from . import conversation_repair, decontaminate, html_text, lexical_search, minhash_dedup, packing, preference_format, quality_model, quality_rules, secrets, suffix_dedup, token_rollups, warc
 from .common import table
 
 #: The tokenizer file's name under the folder of public tokenizers.
@@ -80,6 +80,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedupe(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1,
@@ -94,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_preference_format": op10,
         "op11_lexical_search": op11,
         "op12_conversation_repair": op12,
+        "op13_suffix_dedup": op13,
         "secret_base_spans": base_spans,
         "token_rollups_by_pattern": rollups_by_pattern,
     }
