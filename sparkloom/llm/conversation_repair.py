@@ -480,3 +480,47 @@ def brute_force(conversations: list[tuple]) -> list[tuple]:
         illegal = sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:], strict=False))
         out.append((conv, gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, hashlib.sha256("\n".join(put).encode()).hexdigest()))
     return out
+
+
+def _sql() -> str:
+    """The same rows in DuckDB's SQL: by state the cost, audit and repaired rows of the cheapest way on, as one text whose order is theirs, from the last row to the first."""
+    rest = lambda k: f"substr({k}, strpos({k}, chr(1)) + 1)"
+
+    def onwards(k: str, cost: str, letter: str, row: str | None = None) -> str:
+        put = rest(k) if row is None else f"{row} || case when {rest(k)} = '' then '' else chr(10) || {rest(k)} end"
+        return f"lpad(cast(cast(substr({k}, 1, 12) as bigint) + {cost} as varchar), 12, '0') || '{letter}' || substr({k}, 13, strpos({k}, chr(1)) - 12) || {put}"
+
+    none = "lpad('500000000000', 12, '0') || chr(1)"
+    insert = lambda k, role: onwards(k, str(INSERT), "I", f"'{role}:'")
+    user, answer = "'user:' || text", "'assistant:' || text"
+
+    def row_arcs(state: str, kept: str, after: str, renamed: str) -> str:
+        return f"least({onwards(state, str(DELETE), 'D')}, case when must then {none} else least({kept}, {onwards(after, f'{RENAME} + extra', 'R', renamed)}) end)"
+
+    keep = lambda initial, k: f"case when s = '{initial}' then {onwards(k, 'extra', 'K', 'role || chr(58) || text')} else {none} end"
+    closed = f"""select conv_id, i, least(n, {insert('u2', 'user')}) as n, least(y, {insert('u2', 'user')}) as y, u2 as u, least(a, {insert('u', 'user')}) as a
+        from (select *, least(u, {insert('a', 'assistant')}) as u2 from"""
+    bits = "list_reduce(list_prepend(xor(c, b), list_value(1, 2, 3, 4, 5, 6, 7, 8)::bigint[]), lambda x, k: xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end))"
+    key = "coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')"
+    crc = f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({key}, ''), lambda x: ascii(x)::bigint)), lambda c, b: {bits}), 4294967295::bigint)"
+    return f"""
+with recursive c as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc} % 20 as kind from conversations),
+d as (select conv_id, turn, case kind when 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+        unnest(range(case kind when 0 then 0 when 3 then 2 else 1 end)) as copy from c),
+o as (select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from d),
+f as (select *, substr(role, 1, 1) as s, not regexp_matches(text, '[^\\x20\\x09-\\x0D]') as blank, row_number() over (partition by conv_id, role, text order by i) > 1 as again,
+        not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') as cut, lag(substr(role, 1, 1)) over (partition by conv_id order by i) || substr(role, 1, 1) as pair from o),
+r as (select *, blank or again as must, case when cut then {STAYS} else 0 end as extra from f),
+dp as ({closed} (select conv_id, max(i) as i, repeat('0', 12) || chr(1) as n, {none} as y, {none} as u, repeat('0', 12) || chr(1) as a from r group by conv_id))
+    union all
+    {closed} (select r.conv_id, r.i - 1 as i, {row_arcs('n', f"least({keep('s', 'y')}, {keep('u', 'u')})", 'u', user)} as n, {row_arcs('y', keep('u', 'u'), 'u', user)} as y,
+        {row_arcs('u', keep('a', 'a'), 'a', answer)} as u, {row_arcs('a', keep('u', 'u'), 'u', user)} as a from dp join r on r.i = dp.i and r.conv_id is not distinct from dp.conv_id))),
+t as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (again and not blank) as duplicate,
+        count(*) filter (cut and not again and not blank) as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal from r group by conv_id)
+select p.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+    coalesce(cast(substr(n, 1, 12) as bigint), 0) as cost, coalesce(substr(n, 13, strpos(n, chr(1)) - 13), '') as audit, sha256(coalesce({rest('n')}, '')) as repaired_sha256
+from (select distinct conv_id from conversations) p left join t on t.conv_id is not distinct from p.conv_id left join (select * from dp where i = 0) e on e.conv_id is not distinct from p.conv_id
+"""
+
+
+SQL = _sql()

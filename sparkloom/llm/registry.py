@@ -111,6 +111,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontaminate": decontaminate.SQL,
         "op10_preference_format": preference_format.SQL,
         "op11_lexical_search": lexical_search.SQL,
+        "op12_conversation_repair": conversation_repair.SQL,
         "secret_base_spans": secrets.BASE_SQL,
         "token_rollups_by_pattern": token_rollups.SQL,
     }

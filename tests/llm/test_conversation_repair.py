@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from compare import same
 from conftest import SF
 from sparkloom.llm import common, conversation_repair as repair, registry
 
@@ -79,3 +80,7 @@ def test_ranks_are_the_order_of_audits(seed):
 def test_query_equals_brute_force(spark):
     data = [tuple(r) for r in common.table(spark, SF, "conversations").select("conv_id", "turn", "role", "text").collect()]
     assert rows(registry.op12(spark, SF)) == sorted(repair.brute_force(data), key=repr)
+
+
+def test_query_against_sql(spark, duck):
+    assert same(registry.op12(spark, SF), duck, repair.SQL) > 10
