@@ -362,7 +362,9 @@ def dedupe(docs: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
     """One row a document: bytes, bytes removed, maximal removed runs, digest of the rest."""
     spark = docs.sparkSession
     common.ship(spark)
-    shards = bucketed(packed(docs, shard_bytes), max(docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))
+    # no fewer buckets than the other side of a join has partitions, or Spark would shuffle the shards instead
+    buckets = max(docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = bucketed(packed(docs, shard_bytes), buckets)
     total = shards.select(F.sum(F.element_at("ends", -1))).first()[0] or 0
     bins = max(1, total // BIN_BYTES)
 
