@@ -55,40 +55,37 @@ def header(lines: DataFrame) -> DataFrame:
 
 def procedure_code(lines: DataFrame, names: DataFrame) -> DataFrame:
     """doc_id, name, code: from the line `name.` to the second blank line in a row or the next line that begins with a
-    letter and ends with a period."""
+    letter and ends with a period. Such lines cut a document into runs; a start's code is the rest of its run, so starts
+    meet lines by the name before the first period and by their run, never line by line."""
     word = F.trim("line")
     by = Window.partitionBy("doc_id").orderBy("line_no")
     stop = ((word == "") & (F.lag(word == "", 1, False).over(by))) | (word.rlike(r"^[A-Za-z].*\.\z"))
-    marked = lines.withColumn("stops", stop)
-    starts = marked.join(names.select("doc_id", "name"), "doc_id").where(F.lower(word).startswith(F.concat(F.lower("name"), F.lit(".")))).select("doc_id", "name", F.col("line_no").alias("first"))
-    both = starts.join(marked, "doc_id").where("line_no >= first")
-    end = both.where("line_no > first and stops").groupBy("doc_id", "name", "first").agg(F.min("line_no").alias("end"))
-    held = both.join(end, ["doc_id", "name", "first"], "left").where("end is null or line_no < end")
-    code = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    return held.groupBy("doc_id", "name").agg(code.alias("code"))
+    runs = lines.withColumn("stops", stop).withColumn("run", F.count_if("stops").over(by))
+    head = F.when(F.contains(word, F.lit(".")), F.lower(F.substring_index(word, ".", 1)))
+    starts = runs.select("doc_id", "run", F.col("line_no").alias("first"), head.alias("head")).where("head is not null")
+    starts = starts.join(names.select("doc_id", "name", F.lower("name").alias("head")), ["doc_id", "head"])
+    text = runs.groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("body"))
+    rest = F.array_join(F.transform(F.filter("body", lambda x: x["line_no"] >= F.col("first")), lambda x: x["line"]), "\n")
+    found = starts.join(text, ["doc_id", "run"]).select("doc_id", "name", "first", rest.alias("code"))
+    code = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "code"))), lambda x: x["code"]), "\n")
+    return found.groupBy("doc_id", "name").agg(code.alias("code"))
 
 
 def recovered(lines: DataFrame, found: DataFrame, expected: DataFrame, reach: int = 10) -> DataFrame:
     """Expected procedures that were not found: at a line that begins with the name and has a period, or within `reach`
-    lines after a comment with the name. found, expected: doc_id, name. Returns doc_id, name, line_no (the first)."""
-    missing = expected.withColumn("key", F.lower("name")).join(found.select("doc_id", F.lower("name").alias("key")), ["doc_id", "key"], "left_anti")
-    word, comment = F.lower(F.trim("line")), F.trim("line").startswith("*")
-    rows = lines.withColumns({"word": word, "comment": comment}).join(missing, "doc_id")
-    here = rows.where(~F.col("comment") & F.startswith("word", "key") & F.contains("word", F.lit("."))).select("doc_id", "name", "line_no")
-    said = rows.where(F.col("comment") & F.contains("word", F.col("key"))).select("doc_id", "name", F.col("line_no").alias("at"), F.explode(F.sequence(F.col("line_no") + 1, F.col("line_no") + reach - 1)).alias("line_no"))
-    code = rows.where(~F.col("comment") & (F.col("word") != "") & F.contains("word", F.col("key"))).select("doc_id", "name", "line_no")
-    both = here.unionByName(said.join(code, ["doc_id", "name", "line_no"]).select("doc_id", "name", "line_no"))
-    return both.groupBy("doc_id", "name").agg(F.min("line_no").alias("line_no"))
-
+    lines after a comment with the name. found, expected: doc_id, name. Returns doc_id, name, line_no (the first).
 
-def replace_scopes(lines: DataFrame) -> DataFrame:
-    """Applies REPLACE ==a== BY ==b== from its line to the next REPLACE or REPLACE OFF; both lines go. One pair a line, the last REPLACE counts."""
-    up = F.upper("line")
-    rule = F.when(up.rlike(r"^\s*REPLACE\s+=="), F.struct(F.regexp_extract("line", r"(?i)REPLACE\s+==(.*?)==\s+BY", 1).alias("old"), F.regexp_extract("line", r"(?i)BY\s+==(.*?)==", 1).alias("new"), F.lit(True).alias("on")))
-    off = F.when(up.rlike(r"^\s*REPLACE\s+OFF"), F.struct(F.lit("").alias("old"), F.lit("").alias("new"), F.lit(False).alias("on")))
-    held = chunking.fill_forward(lines, F.coalesce(rule, off), "rule").where(~up.rlike(r"^\s*REPLACE\s+(==|OFF)"))
-    changed = fx.replaced(F.col("line"), F.array(F.struct(F.col("rule.old").alias("old"), F.col("rule.new").alias("new"))))
-    return held.select("doc_id", "line_no", F.when(F.coalesce(F.col("rule.on"), F.lit(False)), changed).otherwise(F.col("line")).alias("line"))
+    A document's missing names travel as one array, so that a line is one row until a name is in it; the last comment with a name
+    is carried forward by a window over the lines with the name."""
+    missing = expected.withColumn("key", F.lower("name")).join(found.select("doc_id", F.lower("name").alias("key")), ["doc_id", "key"], "left_anti")
+    wanted = missing.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("name", "key"))).alias("wanted"))
+    rows = lines.select("doc_id", "line_no", F.lower(F.trim("line")).alias("word"), F.trim("line").startswith("*").alias("comment")).join(wanted, "doc_id")
+    hits = F.filter("wanted", lambda w: F.contains(F.col("word"), w["key"]))
+    told = rows.where("word <> ''").select("doc_id", "line_no", "word", "comment", F.explode(hits).alias("w")).select("doc_id", "line_no", "word", "comment", "w.*")
+    by = Window.partitionBy("doc_id", "name").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    said = F.max(F.when(F.col("comment"), F.col("line_no"))).over(by)
+    near = told.withColumn("said", said).where(~F.col("comment") & ((F.startswith("word", "key") & F.contains("word", F.lit("."))) | (F.col("line_no") - F.col("said") < reach)))
+    return near.groupBy("doc_id", "name").agg(F.min("line_no").alias("line_no"))
 
 
 def tal_items(lines: DataFrame) -> DataFrame:

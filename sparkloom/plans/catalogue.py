@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, corpus, learning, lines, programs, search, structure
+from . import checks, corpus, learning, lines, preprocess, procedures, programs, search, structure
 
-_ALL = corpus.QUERIES | search.QUERIES | checks.QUERIES | structure.QUERIES | programs.QUERIES | learning.QUERIES | lines.QUERIES
+_MODULES = [corpus, search, checks, structure, programs, learning, lines, preprocess, procedures]
+_ALL = {name: made for module in _MODULES for name, made in module.QUERIES.items()}
+if len(_ALL) < sum(len(m.QUERIES) for m in _MODULES):
+    raise ValueError("two queries have one name")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -441,7 +441,7 @@ QUERIES = {
     "statement_chain": (statement_chain, f"with recursive b as ({BLOCKS}) select proc, block, next from (select proc, block, lead(block) over (partition by proc order by block) as next from b) where next is not null"),
     "joined_statements": (joined_statements, JOINED),
     "linked_events": (linked_events, f"with {EDGES}, n as (select user_id as doc_id, lower(event_type) as key, max(event_id) as callee_id from events group by all) select e.doc_id, target, callee_id, count(*) as n from edges e join n on n.doc_id = e.doc_id and n.key = lower(target) group by all"),
-    "variant_counts": (variant_counts, f"with {EDGES} select doc_id, lower(target) as name, count(*) as refs from edges group by all"),
-    "merged_procedures": (merged_procedures, f"with a as ({SIDE.format('lower', 0)}), b as ({SIDE.format('upper', 1)}) select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.name, b.name) as name, coalesce(b.statements, a.statements) as statements, greatest(a.score, b.score) as score from a full join b on a.doc_id = b.doc_id and upper(a.name) = upper(b.name)"),
-    "added_procedures": (added_procedures, "select distinct user_id as doc_id, event_type as name from events"),
+    "edge_variant_counts": (variant_counts, f"with {EDGES} select doc_id, lower(target) as name, count(*) as refs from edges group by all"),
+    "event_merged_procedures": (merged_procedures, f"with a as ({SIDE.format('lower', 0)}), b as ({SIDE.format('upper', 1)}) select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.name, b.name) as name, coalesce(b.statements, a.statements) as statements, greatest(a.score, b.score) as score from a full join b on a.doc_id = b.doc_id and upper(a.name) = upper(b.name)"),
+    "event_added_procedures": (added_procedures, "select distinct user_id as doc_id, event_type as name from events"),
 }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import checks
 from sparkloom.functions import text as fx
-from sparkloom.operators import chunking, graphs, learning, lexicons, programs as facts, prompts, search, structure, validation
+from sparkloom.operators import chunking, graphs, learning, lexicons, preprocess, programs as facts, prompts, search, structure, validation
 from sparkloom.plans import structure as programs
 
 
@@ -158,7 +158,7 @@ def test_confusion(spark):
 
 def test_program_facts(spark):
     rows = lambda text: programs.lines_of(spark, text.split("\n"))
-    out = facts.replace_scopes(rows("MOVE A TO B.\nREPLACE ==A== BY ==C==.\nMOVE A TO AB.\nREPLACE OFF.\nMOVE A TO B.")).orderBy("line_no").collect()
+    out = preprocess.replace_scopes(rows("MOVE A TO B.\nREPLACE ==A== BY ==C==.\nMOVE A TO AB.\nREPLACE OFF.\nMOVE A TO B.")).orderBy("line_no").collect()
     assert [r.line for r in out] == ["MOVE A TO B.", "MOVE C TO AB.", "MOVE A TO B."]
     code = facts.procedure_code(rows("First.\n  MOVE 1 TO X\n\n  ADD 1 TO X\n\n\n  GONE\nSecond.\n  STOP RUN"), spark.createDataFrame([(1, "first"), (1, "second")], "doc_id long, name string"))
     assert {r["name"]: r.code for r in code.collect()} == {"first": "First.\n  MOVE 1 TO X\n\n  ADD 1 TO X\n", "second": "Second.\n  STOP RUN"}
