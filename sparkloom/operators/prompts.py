@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from . import trees
 
 # Points of a procedure for a prompt, by parts of its name.
 IMPORTANCE = [(100, ["MAIN", "INIT"]), (50, ["PROCESS", "VALIDATE", "CALC"]), (30, ["READ", "WRITE"])]
@@ -71,19 +72,14 @@ def s_expression(procs: DataFrame, statements: DataFrame) -> DataFrame:
     one = F.format_string('(%s "%s" %d)', "type", fx.escaped(fx.shortened(F.col("content"), 150)), "line_no")
     body = statements.groupBy("doc_id", "paragraph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", one.alias("t")))), lambda x: x["t"]), " ").alias("body"))
     rows = procs.join(body, ["doc_id", "paragraph"], "left")
-    proc = F.format_string('(PROCEDURE "%s" (SCORE %d) (START-LINE %d) (END-LINE %d) (STATEMENTS %s))', "paragraph", "score", "start_line", "end_line", F.coalesce("body", F.lit("")))
+    proc = F.format_string('(PROCEDURE "%s" (SCORE %d) (START-LINE %d) (END-LINE %d) (STATEMENTS %s))', fx.escaped(F.col("paragraph")), "score", "start_line", "end_line", F.coalesce("body", F.lit("")))
     ordered = F.array_sort(F.collect_list(F.struct("start_line", proc.alias("t"))))
     return rows.groupBy("doc_id").agg(F.concat(F.lit("(ANALYSIS "), F.array_join(F.transform(ordered, lambda x: x["t"]), " "), F.lit(")")).alias("text"))
 
 
 def parse_s_expression(texts: DataFrame) -> DataFrame:
     """The statements of such texts: doc_id, paragraph, type, content, line_no."""
-    procs = texts.select("doc_id", F.explode(F.split("text", r"\(PROCEDURE ")).alias("p")).select("doc_id", F.regexp_extract("p", r'^"([^"]*)"', 1).alias("paragraph"), "p").where("paragraph <> ''")
-    statement = r'\(([A-Z_-]+) "((?:[^"\\]|\\.)*)" (\d+)\)'
-    found = procs.select("doc_id", "paragraph", F.explode(F.regexp_extract_all("p", F.lit(statement), F.lit(0))).alias("s"))
-    part = lambda i: F.regexp_extract("s", statement, i)
-    text = F.replace(F.replace(F.replace(part(2), F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\\\\"), F.lit("\\"))
-    return found.select("doc_id", "paragraph", part(1).alias("type"), text.alias("content"), part(3).cast("int").alias("line_no"))
+    return trees.statements(trees.lists(trees.read(texts)))
 
 
 def parse_procedures(lines: DataFrame) -> DataFrame:
@@ -96,7 +92,7 @@ def parse_procedures(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("nth", F.count_if(F.col("key") == "PROCEDURE").over(by.rowsBetween(Window.unboundedPreceding, 0))).where("nth > 0")
     value = lambda k: F.min_by("value", F.when(F.col("key") == k, F.struct("line_no", "place")))
     held = rows.groupBy("doc_id", "nth").agg(*[value(k).alias(c) for k, c in (("PROCEDURE", "p"), ("SCORE", "score"), ("START-LINE", "start_line"), ("END-LINE", "end_line"))])
-    return held.select("doc_id", F.regexp_replace("p", '^"|"$', "").alias("paragraph"), F.col("score").cast("double"), F.col("start_line").cast("int"), F.col("end_line").cast("int"))
+    return held.select("doc_id", trees.unquoted(F.col("p")).alias("paragraph"), F.col("score").cast("double"), F.col("start_line").cast("int"), F.col("end_line").cast("int"))
 
 
 def java_fields(items: DataFrame) -> DataFrame:
