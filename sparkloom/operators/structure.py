@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import checks
 from ..functions import text as fx
 from ..sources import storage
-from . import chunking
+from . import chunking, preprocess
 
 # Statement types by prefix, in order, and endings by content.
 VERBS = [
@@ -303,6 +303,40 @@ def tal_type(text: Column) -> Column:
 
 
 def item_references(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """Statements and the names of the same document that they contain; items is joined by document, names within it."""
-    names = items.select("doc_id", F.upper("name").alias("item")).where("item is not null").distinct()
-    return rows.join(names, (rows.doc_id == names.doc_id) & (F.instr(F.upper(rows.content), names.item) > 0)).select(rows.doc_id, "line_no", "item")
+    """Statements and the names of the same document that they contain anywhere. A document's names travel as one array, so a
+    statement is one row until names are found in it."""
+    names = items.select("doc_id", F.upper("name").alias("item")).where("item is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("names"))
+    held = F.filter("names", lambda n: F.instr(F.upper(F.col("content")), n) > 0)
+    return rows.join(names, "doc_id").select("doc_id", "line_no", F.explode(held).alias("item"))
+
+
+def data_references(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, line_no, type, item, qualifiers, subscripted, item_line: the data items that statements refer to, by whole words outside literals.
+
+    Each statement gives the names in it with their chains (`A OF B IN C`) and whether a subscript follows; names meet items
+    by equality, never by search. A chain fits an item if all its qualifiers are among the item's groups; without a qualifier all items
+    of the name fit. A qualifier is no reference of its own. rows: doc_id, line_no, type, content; items: doc_id, line_no, name, groups (names of the groups around, upper case)."""
+    open_, close = preprocess.OPEN, preprocess.CLOSE
+    marked = F.regexp_replace(F.upper(F.regexp_replace("content", r"[\x00-\x1f]", " ")), rf"({preprocess.TOKEN})\s*", f"{open_}$1{close}")
+    word = f"{open_}[A-Z0-9_][A-Z0-9_-]*{close}"
+    chain = rf"{word}(?:{open_}(?:OF|IN){close}{word})*(?:{open_}\({close})?"
+    found = rows.select("doc_id", "line_no", "type", F.posexplode(F.regexp_extract_all(marked, F.lit(chain), F.lit(0))).alias("place", "chain"))
+    words = preprocess.decoded(F.col("chain"))
+    told = found.select("doc_id", "line_no", "type", "place", F.filter(words, lambda w, i: (i % 2 == 0) & (w != "(")).alias("names"), F.col("chain").endswith(f"({close}").alias("subscripted"))
+    told = told.select("doc_id", "line_no", "type", "place", F.get("names", F.lit(0)).alias("item"), F.expr("slice(names, 2, size(names))").alias("qualifiers"), "subscripted").where(checks.referenced_item(F.col("item")))
+    names = items.select("doc_id", F.upper("name").alias("item"), F.col("line_no").alias("item_line"), "groups")
+    fits = told.join(names, ["doc_id", "item"]).where(F.size(F.array_except("qualifiers", "groups")) == 0)
+    return fits.groupBy("doc_id", "line_no", "type", "item", F.array_join("qualifiers", ",").alias("qualifiers"), "subscripted", "item_line").agg(F.count("*").alias("n"))
+
+
+def groups_around(items: DataFrame) -> DataFrame:
+    """Items with groups: the names of all groups around each, by their levels in line order. items: doc_id, line_no, level, name."""
+    by = Window.partitionBy("doc_id").orderBy("line_no")
+    levels = [*range(1, 50)]
+    depth = F.when(F.col("level").isin(77, 66), 1).when(F.col("level") == 88, 50).otherwise(F.col("level"))
+    rows = items.withColumn("__depth", depth)
+    # the last group of each level at or above a level that no lower one has closed since
+    open_at = [F.last(F.when(F.col("__depth") == k, F.struct("line_no", F.upper("name").alias("name"))), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)) for k in levels]
+    closed = [F.max(F.when(F.col("__depth") <= k, F.col("line_no"))).over(by.rowsBetween(Window.unboundedPreceding, -1)) for k in levels]
+    around = F.array(*[F.when((F.lit(k) < F.col("__depth")) & (o["line_no"] == c), o["name"]) for k, o, c in zip(levels, open_at, closed, strict=True)])
+    return rows.withColumn("groups", F.array_compact(around)).drop("__depth")
