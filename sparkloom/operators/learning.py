@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, StringIndexer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from ..sources import storage
+from . import chunking
 
 # Keyword families and pattern counts.
 FAMILIES = {
@@ -47,30 +52,69 @@ def features(text: Column, name: Column | None = None, families: dict[str, list[
     return {k: v.cast("double") for k, v in out.items()}
 
 
-def split(rows: DataFrame, label: str, key: str, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Stratified by label in an order of hashes, the same each time."""
-    place = F.percent_rank().over(Window.partitionBy(label).orderBy(F.xxhash64(key), key))
+def with_terms(rows: DataFrame, words: Column, stop: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Rows with terms: words of two characters or more that are no stop words, and the pairs of neighbours among them."""
+    plain = F.filter(words, lambda w: F.length(w) > 1)
+    held = chunking.pinned(rows.withColumn("kept", F.filter(plain, lambda w: ~w.isin(*stop)) if stop else plain))
+    last = F.greatest(F.size("kept") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("kept", 1, last), F.slice("kept", 2, last), lambda a, b: F.concat(a, F.lit(" "), b))
+    return held.withColumn("terms", F.concat("kept", pairs)).drop("kept")
+
+
+def vocabulary(rows: DataFrame, column: str, size: int = 500, min_docs: int = 2, max_share: float = 0.8) -> DataFrame:
+    """term, n, docs, idf: of the terms in at least min_docs rows and at most that share of them, the `size` most frequent, then
+    by name; idf is ln((1 + rows) / (1 + docs)) + 1. Counts are taken per row before they are summed, so a frequent term is one row a task."""
+    total = rows.agg(F.count("*").alias("rows"))
+    each = rows.withColumn("__row", F.monotonically_increasing_id()).select("__row", F.explode(column).alias("term")).groupBy("__row", "term").agg(F.count("*").alias("n"))
+    counted = each.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).crossJoin(F.broadcast(total))
+    held = counted.where((F.col("docs") >= min_docs) & (F.col("docs") <= max_share * F.col("rows")))
+    return held.withColumn("idf", F.log((1.0 + F.col("rows")) / (1.0 + F.col("docs"))) + 1.0).drop("rows").orderBy(F.desc("n"), "term").limit(size)
+
+
+class TermWeights(Estimator, HasInputCol, HasOutputCol):
+    """One vocabulary over words and pairs, weighted by count times idf, each row of length 1. The fitted model is a pipeline of
+    Spark's own stages, which can be saved and read again. What is collected is the vocabulary, `size` terms."""
+
+    def __init__(self, inputCol: str, outputCol: str, size: int = 500, min_docs: int = 2, max_share: float = 0.8) -> None:
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol)
+        self.size, self.min_docs, self.max_share = size, min_docs, max_share
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        source, target = self.getInputCol(), self.getOutputCol()
+        found = sorted((r.term, r.idf) for r in vocabulary(dataset, source, self.size, self.min_docs, self.max_share).collect())
+        terms, idf = [t for t, _ in found] or [""], [w for _, w in found] or [0.0]
+        counts = CountVectorizerModel.from_vocabulary(terms, inputCol=source, outputCol=f"{target}_n")
+        weighted = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol=f"{target}_n", outputCol=f"{target}_w")
+        return PipelineModel([counts, weighted, Normalizer(p=2.0, inputCol=f"{target}_w", outputCol=target)])
+
+
+def split(rows: DataFrame, label: str, key: str, share: float = 0.8, order: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Stratified by label in an order of hashes (or a given one), the same each time."""
+    place = F.percent_rank().over(Window.partitionBy(label).orderBy(F.xxhash64(key) if order is None else order, key))
     held = rows.withColumn("place", place)
     return held.where(F.col("place") < share).drop("place"), held.where(F.col("place") >= share).drop("place")
 
 
 def pipeline(kind: str, label: str, numeric: list[str], terms: int = 500) -> Pipeline:
-    """Words and pairs of words by TF-IDF, with the hand features, into one of forest, logistic or bayes. Input: words, features, label."""
-    stages = [StringIndexer(inputCol=label, outputCol="y", handleInvalid="keep"), NGram(n=2, inputCol="words", outputCol="pairs")]
-    for c in ("words", "pairs"):
-        stages += [CountVectorizer(inputCol=c, outputCol=f"{c}_n", vocabSize=terms // 2, minDF=2, maxDF=0.8), IDF(inputCol=f"{c}_n", outputCol=f"{c}_w")]
-    stages.append(VectorAssembler(inputCols=["words_w", "pairs_w", *numeric], outputCol="x", handleInvalid="keep"))
+    """Words and pairs in one weighted vocabulary, with the hand features, into one of forest, logistic or bayes. Input: terms (of with_terms), features, label."""
+    stages = [
+        StringIndexer(inputCol=label, outputCol="y", handleInvalid="keep"), TermWeights("terms", "weights", terms),
+        VectorAssembler(inputCols=["weights", *numeric], outputCol="x", handleInvalid="keep"),
+    ]
     model = {
         "forest": RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=100, seed=42),
-        "logistic": LogisticRegression(featuresCol="x", labelCol="y", maxIter=50),
+        "logistic": LogisticRegression(featuresCol="x", labelCol="y", maxIter=1000),
         "bayes": NaiveBayes(featuresCol="x", labelCol="y", smoothing=0.1),
     }[kind]
     return Pipeline(stages=[*stages, model])
 
 
-def best_of(rows: DataFrame, label: str, key: str, numeric: list[str], kinds: tuple[str, ...] = ("forest", "logistic", "bayes")) -> tuple[PipelineModel, str, float]:
-    """The model of highest held-out accuracy."""
-    train, test = split(rows, label, key)
+def best_of(
+    rows: DataFrame, label: str, key: str, numeric: list[str], kinds: tuple[str, ...] = ("forest", "logistic", "bayes"), order: Column | None = None
+) -> tuple[PipelineModel, str, float]:
+    """The model of highest held-out accuracy, of equal ones the first, with its kind and accuracy. Save it with model.save(path)."""
+    train, test = (storage.cut(x) for x in split(rows, label, key, order=order))  # read by every kind
     judge, best = MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy"), None
     for kind in kinds:
         model = pipeline(kind, label, numeric).fit(train)
@@ -80,6 +124,14 @@ def best_of(rows: DataFrame, label: str, key: str, numeric: list[str], kinds: tu
     return best
 
 
+def predicted(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Rows with predicted (a label) and confidence (the highest probability)."""
+    labels = next(s for s in model.stages if isinstance(s, StringIndexerModel)).labels
+    name = F.get(F.array(*map(F.lit, labels)), F.col("prediction").cast("int"))
+    said = model.transform(rows).withColumns({"predicted": name, "confidence": F.array_max(vector_to_array("probability"))})
+    return said.select(*rows.columns, "predicted", "confidence")
+
+
 def confusion(rows: DataFrame, label: str = "y", predicted: str = "prediction") -> DataFrame:
     """label, precision, recall, f1, support."""
     hit = F.col(label) == F.col(predicted)
