@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import chunking
+
 # Topic seeds in tie-break order, and terms of high value.
 TOPICS = {
     "wire_transfer_core": "wire transfer payment funds fedwire chips swift rtgs originator beneficiary debtor creditor debit credit settlement".split(),
@@ -183,6 +185,47 @@ def action(question: Column) -> Column:
     return out
 
 
+# Message types by kind, in the order in which a later one counts.
+MESSAGE_TYPES = {
+    "swift_message_type": ["MT103", "MT202", "MT202COV", "MT199", "MT299"],
+    "iso_message_type": ["PACS.008", "PACS.009", "PAIN.001", "CAMT.056", "CAMT.029"],
+}
+
+
+def message_entities(question: Column) -> Column:
+    """(swift_message_type, iso_message_type, fedwire_type) named in a question, in any case, dots of ISO types or none; of several the last listed; null without any."""
+    up = F.upper(question)
+    swift = iso = F.lit(None).cast("string")
+    for name in MESSAGE_TYPES["swift_message_type"]:
+        swift = F.when(F.contains(up, F.lit(name)), name).otherwise(swift)
+    for name in MESSAGE_TYPES["iso_message_type"]:
+        iso = F.when(F.contains(F.replace(up, F.lit("."), F.lit("")), F.lit(name.replace(".", ""))), name).otherwise(iso)
+    code = F.when(F.contains(up, F.lit("TYPE CODE")) | F.contains(up, F.lit("TYPECODE")), "TYPE_CODE")
+    return F.struct(swift.alias("swift_message_type"), iso.alias("iso_message_type"), code.alias("fedwire_type"))
+
+
+def entities(rows: DataFrame, dictionary: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """key, place (of its first word, from 0), phrase, kind: the phrases of a dictionary in texts, by whole words in any case, leftmost, then longest, none
+    inside another. dictionary: phrase, kind.
+
+    Words meet phrases by their first word, an equality join; the rest of a phrase is compared in place, so that all phrases are sought in one pass."""
+    split = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    known = dictionary.select("phrase", "kind", split(F.col("phrase")).alias("parts")).where(F.size("parts") > 0).withColumn("word", F.get("parts", F.lit(0)))
+    held = chunking.pinned(rows.select(*key, split(F.col(text)).alias("words")))
+    words = held.select(*key, "words", F.posexplode("words").alias("place", "word"))
+    found = words.join(known, "word").where(F.slice("words", F.col("place") + 1, F.size("parts")) == F.col("parts"))
+    hit = F.struct("place", (-F.size("parts")).alias("length"), "phrase", "kind")
+    ordered = found.groupBy(*key).agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    start = F.struct(F.lit(0).alias("end"), F.filter("hits", lambda x: F.lit(False)).alias("kept"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits = x["place"] >= s["end"]
+        return F.struct(F.when(fits, x["place"] - x["length"]).otherwise(s["end"]).alias("end"), F.when(fits, F.concat(s["kept"], F.array(x))).otherwise(s["kept"]).alias("kept"))
+
+    kept = ordered.select(*key, F.explode(F.aggregate("hits", start, step, lambda s: s["kept"])).alias("x"))
+    return kept.select(*key, "x.place", "x.phrase", "x.kind")
+
+
 def matrix(rows: DataFrame, a: str, b: str, a_names: list[str], b_names: list[str]) -> DataFrame:
     """Counts for every pair of names of two dimensions, zeros included; a is a value and b an array of names."""
     spark = rows.sparkSession

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stems
 from ..functions import text as fx
 
 
@@ -14,6 +15,12 @@ def terms(docs: DataFrame, key: str = "doc_id", text: str = "text", stop: tuple[
     return words.groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
+def stemmed(counts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, term, n of stems; each distinct term is stemmed once."""
+    rows = stems.with_stems(counts).groupBy(key, "stem").agg(F.sum("n").alias("n"))
+    return rows.withColumnRenamed("stem", "term")
+
+
 def document_frequency(counts: DataFrame) -> DataFrame:
     """term, df; counts has a row for each document and term."""
     return counts.groupBy("term").agg(F.count("*").alias("df"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Sequence
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,12 +28,54 @@ def source_files(spark: SparkSession, path: str, extensions: Sequence[str] = SOU
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_name, text (stripped), hash, size, modified of text files; other formats need a converter and are not read."""
+    """doc_name, text (stripped), hash, size, modified of text files; word_documents() reads .docx, other formats need a converter and are not read."""
     rows = source_files(spark, path, DOCUMENT_EXTENSIONS)
     strip = F.regexp_replace("content", r"^\s+|\s+$", "")
     return rows.select(F.regexp_extract("source_file", r"([^/]+)\z", 1).alias("doc_name"), strip.alias("text"), "hash", "size", "modified")
 
 
+def word_documents(spark: SparkSession, path: str, most_bytes: int = 256 << 20) -> DataFrame:
+    """doc_name, text, hash, size, modified, problem of the .docx files below a folder: paragraphs of the body with text, a line each; not those of tables.
+
+    The member with the text is read as a stream of XML events, and every paragraph is dropped once read, so memory follows the file's
+    own size, not the tree's. Files that are no such documents, or whose text has more than most_bytes, have an empty text and say why."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[dD][oO][cC][xX]").load(path)
+    rows = found.select(F.regexp_extract("path", r"([^/]+)\z", 1).alias("doc_name"), "content", F.md5("content").alias("hash"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    read = F.udf(lambda data: _word_text(data, most_bytes), "text string, problem string")
+    return rows.withColumn("read", read("content")).select("doc_name", "read.text", "hash", "size", "modified", "read.problem")
+
+
+def _word_text(data: bytes, most_bytes: int) -> tuple[str, str | None]:
+    space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    marks = {f"{space}tab": "\t", f"{space}br": "\n", f"{space}cr": "\n", f"{space}noBreakHyphen": "-"}
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as archive:
+            member = archive.getinfo("word/document.xml")
+            if member.file_size > most_bytes:
+                return "", f"{member.file_size} bytes of text"
+            paragraphs, now, path = [], [], []
+            with archive.open(member) as stream:
+                for event, element in ElementTree.iterparse(stream, ("start", "end")):
+                    if event == "start":
+                        path.append(element.tag)
+                        continue
+                    path.pop()
+                    in_body = path[:3] == [f"{space}document", f"{space}body", f"{space}p"]
+                    if in_body and element.tag == f"{space}t":
+                        now.append(element.text or "")
+                    elif in_body and element.tag in marks:
+                        now.append(marks[element.tag])
+                    elif element.tag == f"{space}p" and path == [f"{space}document", f"{space}body"]:
+                        if (text := "".join(now)).strip():
+                            paragraphs.append(text)
+                        now = []
+                    if not in_body:
+                        element.clear()
+            return "\n".join(paragraphs), None
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, NotImplementedError, RuntimeError, OSError) as e:
+        return "", f"{type(e).__name__}: {e}"
+
+
 def copybooks(spark: SparkSession, path: str) -> DataFrame:
     """name (without extension), content."""
     return source_files(spark, path, COPYBOOK_EXTENSIONS).select(F.regexp_extract("source_file", r"([^/]+)\.[^./]+\z", 1).alias("name"), "content")
