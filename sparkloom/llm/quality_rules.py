@@ -4,10 +4,9 @@ Divergence: a text's histogram of character classes and its histogram of common
 its language by Jensen-Shannon distance (base 2, so 0 to 1). The reference of a language is the sum of both
 histograms over all documents of that language which pass the base rules, where no source counts for more words than
 the language's median source, less the documents that diverge from such a sum (PASSES times); '*' is the sum over all
-languages and serves texts whose language is null, unlisted or seen in too few words. The plain sum, with neither
-guard, is what the SQL of op4_quality_rules states; judge(plain=True) gives it. Guards: a text of fewer than MIN_WORDS
+languages and serves texts whose language is null, unlisted or seen in too few words. Guards: a text of fewer than MIN_WORDS
 words is not judged by a histogram, nor one of a language without a reference of MIN_REFERENCE words by common words;
-and a distance counts only beyond what a text of that length shows by chance.
+and a distance counts only beyond what a text of that length shows by chance. The query and the pipeline's stage judge by this one rule, and its SQL states it.
 
 Words are runs of characters other than space and \\x09-\\x0D. Defined cases: null and empty texts have no words and
 fail the base rules; repeated rows get a row each; other columns are ignored.
@@ -33,9 +32,11 @@ COMMON_WORDS = {
 #: Production parameters.
 MIN_WORDS, MIN_REFERENCE, CLASS_EXCESS, WORD_EXCESS = 50, 2_000, 0.20, 0.10
 BASE_WORDS, SYMBOLS = 50, b"#*$%&|<>"
-#: Passes that leave divergent documents out of the references; quantile, draws and text lengths of the common words' limits.
-PASSES, QUANTILE, DRAWS = 2, 0.99, 2_000
-LENGTHS = np.unique(np.geomspace(MIN_WORDS, 20_000, 25).astype(int))
+#: Passes that leave divergent documents out of the references.
+PASSES = 2
+#: Of a common word that n draws give L times on average: its mean part of n times the squared distance is min(PART, L / 2), its variance
+#: min(SPREAD, L / 4); PART and SPREAD are those of chi-squared over 8 ln 2. Fewer than 1 text of 100 exceeds the mean by DEVIATIONS standard deviations; for short ones the sum has a long tail.
+PART, SPREAD, DEVIATIONS = 0.1803, 0.0650, 4.0
 #: Character classes: blank, a-z, A-Z, 0-9, sentence marks, other marks, first bytes of other characters; 7: later bytes.
 CLASSES = 7
 _CLASS = np.array(
@@ -154,14 +155,9 @@ def _measured(batch: pa.RecordBatch, tool: list[Measure], *at: int) -> dict[str,
     return out | {"doc_id": doc_id.cast(pa.int64()), "lang": lang, "source": source.cast(pa.string()), "base_failed": [base_failed(r) for r in rows], "hist": common.lists(np.array(hists))}
 
 
-def references(measured: DataFrame) -> dict[str | None, np.ndarray]:
-    """Histogram sums over all rows that pass the base rules, for each listed language; None: of all rows. At most five rows."""
-    sums = [F.sum(F.col("hist")[i]).alias(f"h{i}") for i in range(_WIDTH)]
-    return _held(measured.where("not base_failed").groupBy("lang").agg(*sums).collect())
-
-
 def capped_references(measured: DataFrame) -> dict[str | None, np.ndarray]:
-    """As references(), but no source counts for more words than the median source of its language, or MIN_REFERENCE if that is more."""
+    """Histogram sums over all rows that pass the base rules, for each listed language; None: of all rows. No source counts for
+    more words than the median source of its language, or MIN_REFERENCE if that is more. At most five rows are collected."""
     sums = [F.sum(F.col("hist")[i]).alias(f"h{i}") for i in range(_WIDTH)]
     by_source = common.stored(measured.where("not base_failed").groupBy("lang", "source").agg(F.sum("n_words").alias("n"), *sums), "sources")
     most = {r[0]: max(r[1], MIN_REFERENCE) for r in by_source.groupBy("lang").agg(F.percentile("n", F.lit(0.5))).collect()}
@@ -187,59 +183,48 @@ def distances(hist: np.ndarray, n_words: int, lang: str | None, held: dict[str |
     return classes, 0.0 if own is None else js_distance(hist[CLASSES:], own[CLASSES:])
 
 
-def diverges(classes: float, words: float, n_words: int) -> bool:
-    """A distance exceeds what n words drawn from the reference itself would show, sqrt((k - 1) / (8 n ln 2)), by the excess."""
-    noise = lambda k: np.sqrt((k - 1) / (8 * np.log(2) * n_words)) if n_words else np.inf
-    return bool(classes > CLASS_EXCESS + noise(CLASSES) or words > WORD_EXCESS + noise(_WIDTH - CLASSES))
+def class_limit(n_words: int) -> float:
+    """The distance of classes that counts: the excess beyond what n words drawn from the reference itself would show."""
+    return CLASS_EXCESS + float(np.sqrt((CLASSES - 1) / (8 * np.log(2) * n_words)))
 
 
-def word_limits(held: dict[str | None, np.ndarray]) -> dict[str, np.ndarray]:
-    """For each language and text length of LENGTHS, the distance of common words that counts.
-
-    Squared, it is that of WORD_EXCESS and the QUANTILE of what texts drawn from the reference itself show; but a text
-    with none of the words always counts.
-    """
-    limits = {}
-    for lang in sorted(k for k in held if k is not None):
-        p = held[lang][CLASSES:] / held[lang][CLASSES:].sum()
-        r = np.random.default_rng(0)
-        chance = [np.quantile(_js_squared(r.multinomial(n, p, DRAWS), p), QUANTILE) for n in LENGTHS]
-        none = np.zeros((1, len(p)))
-        none[0, len(set(COMMON_WORDS[lang]))] = 1
-        limits[lang] = np.minimum(np.sqrt(WORD_EXCESS**2 + np.array(chance)), np.sqrt(_js_squared(none, p)[0]) - 1e-9)
-    return limits
-
-
-def _js_squared(counts: np.ndarray, q: np.ndarray) -> np.ndarray:
-    p = counts / counts.sum(1, keepdims=True)
-    middle = (p + q) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return (np.where(p > 0, p * np.log2(p / middle), 0) + np.where(q > 0, q * np.log2(q / middle), 0)).sum(1) / 2
+def word_limit(reference: np.ndarray, n_words: int) -> float:
+    """The distance of common words that counts. Squared, it is that of WORD_EXCESS and of what all but 1 of 100 texts drawn from
+    the reference show; but a text with none of the words always counts. reference: common words, then a place for all
+    others behind the last one that is used."""
+    p = reference / reference.sum()
+    drawn = n_words * p
+    chance = np.minimum(PART, drawn / 2).sum() + DEVIATIONS * np.sqrt(np.minimum(SPREAD, drawn / 4).sum())
+    rest = p[-1]
+    none = (np.log2(2 / (1 + rest)) + (rest * np.log2(2 * rest / (1 + rest)) if rest > 0 else 0.0) + 1 - rest) / 2
+    return float(min(np.sqrt(WORD_EXCESS**2 + chance / n_words), np.sqrt(none) - 1e-9))
 
 
-def rejects(hist: np.ndarray, n_words: int, lang: str | None, held: dict[str | None, np.ndarray], limits: dict[str, np.ndarray] | None) -> tuple[bool, float, float]:
-    """Whether a text diverges, and its distances. limits None: the allowance of diverges()."""
+def rejects(hist: np.ndarray, n_words: int, lang: str | None, held: dict[str | None, np.ndarray]) -> tuple[bool, float, float]:
+    """Whether a text diverges, and its distances."""
     classes, words = distances(hist, n_words, lang, held)
-    if limits is None or lang not in limits:
-        return diverges(classes, words, n_words), classes, words
-    limit = np.interp(np.log(max(n_words, 1)), np.log(LENGTHS), limits[lang])
-    return diverges(classes, 0.0, n_words) or bool(words > limit), classes, words
+    if n_words < MIN_WORDS:
+        return False, classes, words
+    far = classes > class_limit(n_words)
+    if lang is not None and lang in held:
+        size = len(set(COMMON_WORDS[lang])) + 1
+        far = far or words > word_limit(held[lang][CLASSES : CLASSES + size], n_words)
+    return bool(far), classes, words
 
 
-def robust(measured: DataFrame) -> tuple[dict[str | None, np.ndarray], dict[str, np.ndarray]]:
-    """References that neither one source nor the documents to be found can draw to themselves, and their limits."""
+def robust(measured: DataFrame) -> dict[str | None, np.ndarray]:
+    """References that neither one source nor the documents to be found can draw to themselves."""
     held = capped_references(measured)
     for _ in range(PASSES):
-        limits = word_limits(held)
 
-        def stay(batches, held=held, limits=limits):
+        def stay(batches, held=held):
             for batch in batches:
                 rows = zip(batch.column("hist").to_pylist(), batch.column("n_words").to_pylist(), batch.column("lang").to_pylist(), strict=True)
-                yield batch.filter(pa.array([not rejects(np.array(h), n, lang, held, limits)[0] for h, n, lang in rows], pa.bool_()))
+                yield batch.filter(pa.array([not rejects(np.array(h), n, lang, held)[0] for h, n, lang in rows], pa.bool_()))
 
         # A language of which too little stays keeps the reference it had.
         held = held | {k: v for k, v in capped_references(measured.where("not base_failed").mapInArrow(stay, measured.schema)).items() if v.sum()}
-    return held, word_limits(held)
+    return held
 
 
 JUDGED = T.StructType(
@@ -250,16 +235,16 @@ JUDGED = T.StructType(
 )
 
 
-def judge(docs: DataFrame, plain: bool = False) -> DataFrame:
-    """One row a document: counts, base_failed, kept and both distances. plain: by references() and diverges() alone, as the SQL."""
+def judge(docs: DataFrame) -> DataFrame:
+    """One row a document: counts, base_failed, kept and both distances."""
     common.ship(docs.sparkSession)
     measured = common.stored(measure(docs), "measured")
-    held, limits = (references(measured), None) if plain else robust(measured)
+    held = robust(measured)
 
     def make(batch):
         cols = {n: batch.column(n) for n in ("doc_id", *COUNTS, "base_failed")}
         far = [
-            rejects(np.array(h), n, lang, held, limits)
+            rejects(np.array(h), n, lang, held)
             for h, n, lang in zip(batch.column("hist").to_pylist(), cols["n_words"].to_pylist(), batch.column("lang").to_pylist(), strict=True)
         ]
         kept = [not failed and not d[0] for failed, d in zip(cols["base_failed"].to_pylist(), far, strict=True)]
@@ -289,18 +274,39 @@ def keep_good(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(columns, fields=list(inner))], schema=both_kinds)
 
     held_docs = common.stored(docs.mapInArrow(weigh, both), "weighed")
-    held, limits = robust(held_docs.select("__measured.*"))
+    held = robust(held_docs.select("__measured.*"))
 
     def decide(batches):
         for batch in batches:
             found = batch.column(batch.num_columns - 1)
             hist, n_words, lang, failed = (found.field(n).to_pylist() for n in ("hist", "n_words", "lang", "base_failed"))
-            kept = [not f and not rejects(np.array(h), n, la, held, limits)[0] for h, n, la, f in zip(hist, n_words, lang, failed, strict=True)]
+            kept = [not f and not rejects(np.array(h), n, la, held)[0] for h, n, la, f in zip(hist, n_words, lang, failed, strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema=kinds).filter(pa.array(kept, pa.bool_()))
 
     return held_docs.mapInArrow(decide, docs.schema)
 
 
+def _sql_pass(p: int) -> str:
+    """References over the documents in s<p>, and by them the documents that stay."""
+    kept = f"""
+    union all select o.* from r{p - 1} o where not exists (select 1 from t{p} where t{p}.lang = o.lang) and (o.lang <> '*' or not exists (select 1 from w{p} where n > 0))""" if p else ""
+    js = lambda kind, lang: f"""select x.doc_id, sqrt(greatest(sum(case when x.p > 0 then x.p * log2(2 * x.p / (x.p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (x.p + q)) else 0 end) / 2, 0)) as d
+    from (select h.doc_id, h.n / sum(h.n) over (partition by h.doc_id) as p, r.n / sum(r.n) over (partition by h.doc_id) as q from h join m on m.doc_id = h.doc_id and n_words >= {MIN_WORDS} join r{p} r on r.kind = h.kind and r.k = h.k and r.lang = {lang} where h.kind = '{kind}') x group by x.doc_id"""
+    own = f"case when m.lang in (select lang from r{p}) then m.lang else '*' end"
+    return f"""o{p} as (select lang, source, sum(n_words) as n from m join s{p} using (doc_id) group by all),
+q{p} as (select lang, greatest(quantile_cont(n, 0.5), {MIN_REFERENCE}) as cap from o{p} group by lang),
+w{p} as materialized (select x.lang, x.kind, x.k, sum(round(x.n * least(1, cap / o.n))) as n from (select lang, source, kind, k, sum(h.n) as n from h join s{p} using (doc_id) join m using (doc_id) group by all) x
+    join o{p} o on o.lang is not distinct from x.lang and o.source is not distinct from x.source join q{p} q on q.lang is not distinct from x.lang group by all),
+t{p} as (select lang, sum(n) as n from w{p} where kind = 'w' and lang is not null group by lang having sum(n) >= {MIN_REFERENCE}),
+r{p} as materialized (select w.lang, kind, k, w.n from w{p} w join t{p} t on t.lang = w.lang union all select '*', kind, k, sum(n) from w{p} where kind = 'c' group by kind, k having (select sum(n) from w{p}) > 0{kept}),
+l{p} as (select m.doc_id, least(sqrt({WORD_EXCESS}**2 + (sum(least({PART}, n_words * p / 2)) + {DEVIATIONS} * sqrt(sum(least({SPREAD}, n_words * p / 4)))) / any_value(n_words)),
+    sqrt((max(case when k = '' then log2(2 / (1 + p)) + case when p > 0 then p * log2(2 * p / (1 + p)) else 0 end + 1 - p end)) / 2) - 1e-9) as most
+    from m join (select lang, k, n / sum(n) over (partition by lang) as p from r{p} where kind = 'w') r on r.lang = m.lang where n_words >= {MIN_WORDS} group by m.doc_id),
+d{p} as materialized (select m.doc_id, coalesce(c.d, 0) as cd, coalesce(j.d, 0) as wj, coalesce(c.d > {CLASS_EXCESS} + sqrt({CLASSES - 1} / (8 * ln(2) * n_words)), false) or coalesce(j.d > most, false) as far
+    from m left join ({js('c', own)}) c on c.doc_id = m.doc_id left join ({js('w', 'm.lang')}) j on j.doc_id = m.doc_id left join l{p} l on l.doc_id = m.doc_id),
+s{p + 1} as (select s0.doc_id from s0 join d{p} d on d.doc_id = s0.doc_id where not far)"""
+
+
 def _sql() -> str:
     """The same rows in DuckDB's SQL, written out from the parameters above."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
@@ -310,34 +316,26 @@ def _sql() -> str:
     classes = {0: r"[\x20\x09-\x0D]", 1: "[a-z]", 2: "[A-Z]", 3: "[0-9]", 4: r"[.,;:?''\x22()-]", 6: r"[^\x00-\x7F]"}
     hist = [f"len(regexp_extract_all(t, '{p}'))" for p in classes.values()]
     ascii_rest = "length(t) - " + " - ".join(f"c{k}" for k in classes)
-    js = lambda table: f"""select doc_id, sqrt(greatest(sum(case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) / 2, 0)) as d from {table} group by doc_id"""
-    noise = lambda k: f"sqrt(({k} - 1) / (8 * ln(2) * n_words))"
+    passes = ",\n".join(_sql_pass(p) for p in range(PASSES + 1))
     return rf"""
-with t as (select doc_id, case when lang in ({langs}) then lang end as lang, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+with t as (select doc_id, case when lang in ({langs}) then lang end as lang, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 l as (select doc_id, unnest(string_split(t, chr(10))) as line from t),
 dl as (select doc_id, count(*) - count(distinct line) as n_dup_lines from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
 g as (select doc_id, unnest(range(1, len(w) - 1)) as i, w from t),
 g3 as (select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) as n from g),
 rw as (select doc_id, count(distinct k) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as k from g3 where n > 1) group by doc_id),
-c as (select doc_id, lang, t, w, {', '.join(f'{h} as c{k}' for k, h in zip(classes, hist, strict=True))} from t),
-b as (select c.doc_id, lang, w, c0, c1, c2, c3, c4, {ascii_rest} as c5, c6, len(w) as n_words, length(t) - c0 as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
+c as (select doc_id, lang, source, t, w, {', '.join(f'{h} as c{k}' for k, h in zip(classes, hist, strict=True))} from t),
+b as (select c.doc_id, lang, source, w, c0, c1, c2, c3, c4, {ascii_rest} as c5, c6, len(w) as n_words, length(t) - c0 as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
       coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words from c left join dl on dl.doc_id = c.doc_id left join rw on rw.doc_id = c.doc_id),
-m as (select *, n_words < {BASE_WORDS} or 100 * n_repeat_words > 50 * n_words as base_failed from b),
+m as materialized (select *, n_words < {BASE_WORDS} or 100 * n_repeat_words > 50 * n_words as base_failed from b),
 cw(lang, word) as (values {entries}),
 wd as (select m.doc_id, m.lang, x.word, count(*) as n from (select doc_id, unnest(w) as word from m where lang is not null) x join m on m.doc_id = x.doc_id join cw on cw.lang = m.lang and cw.word = x.word group by all),
-wh as (select m.doc_id, m.lang, cw.word, coalesce(wd.n, 0) as n from m join cw on cw.lang = m.lang left join wd on wd.doc_id = m.doc_id and wd.word = cw.word
-       union all select m.doc_id, m.lang, '', n_words - coalesce((select sum(n) from wd where wd.doc_id = m.doc_id), 0) from m where m.lang is not null),
-rf as (select wh.lang, wh.word, sum(wh.n) as n from wh join m on m.doc_id = wh.doc_id and not base_failed group by all),
-rt as (select lang, sum(n) as total from rf group by lang having sum(n) >= {MIN_REFERENCE}),
-wp as (select wh.doc_id, wh.n / m.n_words as p, rf.n / rt.total as q from wh join m on m.doc_id = wh.doc_id and n_words >= {MIN_WORDS} join rf on rf.lang = wh.lang and rf.word = wh.word join rt on rt.lang = wh.lang),
-ch as (select doc_id, lang, n_words, base_failed, u.k as k, u.n as n from (select *, unnest([{', '.join(f'struct_pack(k := {k}, n := c{k})' for k in range(CLASSES))}]) as u from m)),
-cr as (select lang, k, sum(n) as n from ch where not base_failed and lang in (select lang from rt) group by all union all select '*', k, sum(n) from ch where not base_failed group by k),
-cp as (select ch.doc_id, ch.n / sum(ch.n) over (partition by ch.doc_id) as p, cr.n / sum(cr.n) over (partition by ch.doc_id) as q from ch join cr on cr.k = ch.k and cr.lang = (case when ch.lang in (select lang from rt) then ch.lang else '*' end) where n_words >= {MIN_WORDS}),
-cd as ({js('cp')}), wj as ({js('wp')}),
-d as (select m.*, coalesce(cd.d, 0) as class_distance, coalesce(wj.d, 0) as word_distance from m left join cd on cd.doc_id = m.doc_id left join wj on wj.doc_id = m.doc_id)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and not (class_distance > {CLASS_EXCESS} + {noise(CLASSES)} or word_distance > {WORD_EXCESS} + {noise(_WIDTH - CLASSES)}) as kept, round(class_distance, 6) as class_distance, round(word_distance, 6) as word_distance
-from d
+h as materialized (select doc_id, 'c' as kind, cast(u.k as varchar) as k, u.n as n from (select doc_id, unnest([{', '.join(f'struct_pack(k := {k}, n := c{k})' for k in range(CLASSES))}]) as u from m)
+    union all select m.doc_id, 'w', cw.word, coalesce(wd.n, 0) from m join cw on cw.lang = m.lang left join wd on wd.doc_id = m.doc_id and wd.word = cw.word
+    union all select m.doc_id, 'w', '', n_words - coalesce((select sum(n) from wd where wd.doc_id = m.doc_id), 0) from m where m.lang is not null),
+s0 as (select doc_id from m where not base_failed),
+{passes}
+select m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not far as kept, round(cd, 6) as class_distance, round(wj, 6) as word_distance from m join d{PASSES} d on d.doc_id = m.doc_id
 """
 
 
