@@ -37,7 +37,7 @@ ENUMS = {
     "DocumentType6Code": ["MSIN", "CNFA", "DNFA", "CINV", "CREN", "DEBN", "HIRI", "SBIN", "CMCN", "SOAC", "DISP", "BOLD", "VCHR", "AROI", "TSUT", "PUOR"],
     "MandateClassification1Code": ["FIXE", "USGB", "VARI"],
     "Frequency6Code": ["YEAR", "MNTH", "QURT", "MIAN", "WEEK", "DAIL", "ADHO", "INDA", "FRTN"],
-    "TaxRecordPeriod1Code": [f"MM{m:02}" for m in range(1, 13)] + ["QTR1", "QTR2", "QTR3", "QTR4", "HLF1", "HLF2"],
+    "TaxRecordPeriod1Code": ["MM01", "MM02", "MM03", "MM04", "MM05", "MM06", "MM07", "MM08", "MM09", "MM10", "MM11", "MM12", "QTR1", "QTR2", "QTR3", "QTR4", "HLF1", "HLF2"],
 }
 CODE_LENGTHS = {
     "ExternalAccountIdentification1Code": (1, 4),
@@ -121,10 +121,10 @@ def invalid_characters(value: Column) -> Column:
 
 
 def nfc(value: Column) -> Column:
-    """Normal form C; a pandas UDF, as there is no built-in."""
+    """Normal form C; a pandas UDF, as there is no built-in. Plain ASCII is in it already, and Python does nothing with it."""
     @F.pandas_udf("string")
     def normal(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
     return normal(value)
 

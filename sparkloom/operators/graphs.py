@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as fx
 from ..sources import storage
@@ -97,22 +99,63 @@ def call_pattern(graph: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("doc_id", "name", "calls", group.alias("group"))
 
 
-def longest_path(edges: DataFrame, depth: int | None = None) -> DataFrame:
-    """doc_id, name, depth: the longest chain of calls that ends in the name, from names nothing calls. No chain without a
-    cycle is longer than the document's callers are many, so cycles end there, or at `depth` if it is given."""
-    pairs = storage.cut(edges.select("doc_id", "caller", "target").where("caller is not null").distinct())
-    roots = pairs.select("doc_id", F.col("caller").alias("name")).distinct().join(pairs.select("doc_id", F.col("target").alias("name")), ["doc_id", "name"], "left_anti")
-    if depth is None:
-        depth = pairs.groupBy("doc_id").agg(F.countDistinct("caller").alias("n")).agg(F.max("n")).first()[0] or 0
-    level = roots.withColumn("depth", F.lit(0))
-    found = level
-    for k in range(1, depth + 1):
-        level = level.select("doc_id", F.col("name").alias("caller")).join(pairs, ["doc_id", "caller"]).select("doc_id", F.col("target").alias("name"), F.lit(k).alias("depth")).distinct()
-        level = storage.cut(level)
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    return found.groupBy("doc_id", "name").agg(F.max("depth").alias("depth"))
+def longest_path(edges: DataFrame) -> DataFrame:
+    """doc_id, name, depth: the longest chain of calls that ends in the name, from names nothing calls. Names that reach each
+    other are one link of a chain and have one depth; a cycle that nothing else calls begins chains. One job: a document's
+    distinct calls meet in one task, which takes time in proportion to them."""
+    pairs = edges.select("doc_id", "caller", "target").where("caller is not null and target is not null").distinct()
+
+    def depths(held: pd.DataFrame) -> pd.DataFrame:
+        found = chain_depths(list(zip(held["caller"], held["target"], strict=True)))
+        return pd.DataFrame({"doc_id": [held["doc_id"].iloc[0]] * len(found), "name": list(found), "depth": list(found.values())})
+
+    return pairs.groupBy("doc_id").applyInPandas(depths, T.StructType([edges.schema["doc_id"], T.StructField("name", T.StringType()), T.StructField("depth", T.IntegerType())]))
+
+
+def chain_depths(pairs: list[tuple[str, str]]) -> dict[str, int]:
+    """Depth of each name; components are found in one walk, callees first, so that walking them backwards meets callers first."""
+    ahead: dict[str, list[str]] = {}
+    for caller, target in pairs:
+        ahead.setdefault(caller, []).append(target)
+        ahead.setdefault(target, [])
+    seen: dict[str, int] = {}
+    low: dict[str, int] = {}
+    part: dict[str, int] = {}
+    open_: list[str] = []
+    parts = 0
+    for root in ahead:
+        if root in seen:
+            continue
+        seen[root] = low[root] = len(seen)
+        open_.append(root)
+        walk = [(root, iter(ahead[root]))]
+        while walk:
+            name, rest = walk[-1]
+            for target in rest:
+                if target not in seen:
+                    seen[target] = low[target] = len(seen)
+                    open_.append(target)
+                    walk.append((target, iter(ahead[target])))
+                    break
+                if target not in part:
+                    low[name] = min(low[name], seen[target])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[name])
+                if low[name] == seen[name]:
+                    while True:
+                        member = open_.pop()
+                        part[member] = parts
+                        if member == name:
+                            break
+                    parts += 1
+    depth = [0] * parts
+    for name in sorted(ahead, key=lambda n: -part[n]):
+        for target in ahead[name]:
+            if part[target] != part[name]:
+                depth[part[target]] = max(depth[part[target]], depth[part[name]] + 1)
+    return {name: depth[part[name]] for name in ahead}
 
 
 def rule_matches(procs: DataFrame, rules: DataFrame) -> DataFrame:

@@ -18,12 +18,12 @@ from . import chunking
 
 # Keyword families and pattern counts.
 FAMILIES = {
-    "iso20022": "iso20022 pacs pain camt pacs008 pacs009 xml".split(),
-    "swift": "swift mt103 mt202 gpi uetr bic fin".split(),
-    "fedwire": "fedwire imad omad federal reserve typecode".split(),
-    "chips": "chips uid netting clearing house".split(),
-    "compliance": "ofac sanctions aml kyc screening compliance".split(),
-    "exception": "exception error repair investigation return".split(),
+    "iso20022": ["iso20022", "pacs", "pain", "camt", "pacs008", "pacs009", "xml"],
+    "swift": ["swift", "mt103", "mt202", "gpi", "uetr", "bic", "fin"],
+    "fedwire": ["fedwire", "imad", "omad", "federal", "reserve", "typecode"],
+    "chips": ["chips", "uid", "netting", "clearing", "house"],
+    "compliance": ["ofac", "sanctions", "aml", "kyc", "screening", "compliance"],
+    "exception": ["exception", "error", "repair", "investigation", "return"],
 }
 PATTERNS = {
     "validation": r"(?i)\b(validat|verify|check)\w*",

@@ -9,18 +9,18 @@ from . import chunking
 
 # Topic seeds in tie-break order, and terms of high value.
 TOPICS = {
-    "wire_transfer_core": "wire transfer payment funds fedwire chips swift rtgs originator beneficiary debtor creditor debit credit settlement".split(),
-    "iso20022_messages": "iso20022 pacs pain camt remt pacs008 pacs009 pacs002 pacs004 pacs007 pain001 camt056 camt029 camt110 camt111".split(),
-    "swift_processing": "swift mt103 mt202 mt202cov gpi uetr bic tracker fin cbpr mystandards alliance score cover".split(),
-    "fedwire_operations": "fedwire imad omad fedline advantage fedpayments manager fedtransaction analyzer drawdown participant cutoff typecode bfc".split(),
-    "chips_processing": "chips uid sequence prefunded balance netting finality clearing house interbank realtime gross".split(),
-    "investigation_exceptions": "investigation exception repair return reversal refund nondelivery recall cancellation inquiry resolution reject".split(),
-    "compliance_screening": "ofac sanctions aml kyc compliance screening fraud monitoring suspicious detection regulatory reporting".split(),
-    "correspondent_banking": "correspondent intermediary nostro vostro cover instructing agent ultimate routing chain relationship".split(),
-    "message_validation": "validation authenticate verify mandatory optional format structured address lei remittance purpose charge bearer".split(),
-    "crossborder_currency": "crossborder currency exchange rate multicurrency sepa euro international domestic foreign".split(),
-    "system_infrastructure": "queue batch realtime stp straightthrough processing automated manual intervention priority high normal".split(),
-    "data_operations": "database table record insert update select query file read write open close copy delete archive".split(),
+    "wire_transfer_core": ["wire", "transfer", "payment", "funds", "fedwire", "chips", "swift", "rtgs", "originator", "beneficiary", "debtor", "creditor", "debit", "credit", "settlement"],
+    "iso20022_messages": ["iso20022", "pacs", "pain", "camt", "remt", "pacs008", "pacs009", "pacs002", "pacs004", "pacs007", "pain001", "camt056", "camt029", "camt110", "camt111"],
+    "swift_processing": ["swift", "mt103", "mt202", "mt202cov", "gpi", "uetr", "bic", "tracker", "fin", "cbpr", "mystandards", "alliance", "score", "cover"],
+    "fedwire_operations": ["fedwire", "imad", "omad", "fedline", "advantage", "fedpayments", "manager", "fedtransaction", "analyzer", "drawdown", "participant", "cutoff", "typecode", "bfc"],
+    "chips_processing": ["chips", "uid", "sequence", "prefunded", "balance", "netting", "finality", "clearing", "house", "interbank", "realtime", "gross"],
+    "investigation_exceptions": ["investigation", "exception", "repair", "return", "reversal", "refund", "nondelivery", "recall", "cancellation", "inquiry", "resolution", "reject"],
+    "compliance_screening": ["ofac", "sanctions", "aml", "kyc", "compliance", "screening", "fraud", "monitoring", "suspicious", "detection", "regulatory", "reporting"],
+    "correspondent_banking": ["correspondent", "intermediary", "nostro", "vostro", "cover", "instructing", "agent", "ultimate", "routing", "chain", "relationship"],
+    "message_validation": ["validation", "authenticate", "verify", "mandatory", "optional", "format", "structured", "address", "lei", "remittance", "purpose", "charge", "bearer"],
+    "crossborder_currency": ["crossborder", "currency", "exchange", "rate", "multicurrency", "sepa", "euro", "international", "domestic", "foreign"],
+    "system_infrastructure": ["queue", "batch", "realtime", "stp", "straightthrough", "processing", "automated", "manual", "intervention", "priority", "high", "normal"],
+    "data_operations": ["database", "table", "record", "insert", "update", "select", "query", "file", "read", "write", "open", "close", "copy", "delete", "archive"],
 }
 HIGH_VALUE = (
     "iso20022 pacs008 pacs009 mt103 mt202 swift fedwire chips uetr gpi ofac sanctions aml kyc stp correspondent nostro vostro "
@@ -28,16 +28,16 @@ HIGH_VALUE = (
 ).split()
 # Networks and flows with keywords, patterns and transaction tags, in order.
 NETWORKS = {
-    "fedwire": {"words": "fedwire imad omad federal_reserve type_code".split(), "patterns": [r"fedwire.*process", r"type.*code.*\d{4}", r"imad.*generate"]},
-    "swift": {"words": "swift mt103 mt202 bic gpi uetr".split(), "patterns": [r"swift.*process", r"mt\d{3}", r"gpi.*track"]},
-    "chips": {"words": "chips uid netting clearing_house".split(), "patterns": [r"chips.*process", r"uid.*generat", r"clearing.*house"]},
+    "fedwire": {"words": ["fedwire", "imad", "omad", "federal_reserve", "type_code"], "patterns": [r"fedwire.*process", r"type.*code.*\d{4}", r"imad.*generate"]},
+    "swift": {"words": ["swift", "mt103", "mt202", "bic", "gpi", "uetr"], "patterns": [r"swift.*process", r"mt\d{3}", r"gpi.*track"]},
+    "chips": {"words": ["chips", "uid", "netting", "clearing_house"], "patterns": [r"chips.*process", r"uid.*generat", r"clearing.*house"]},
 }
 FLOWS = {
-    "customer_transfer": {"words": "customer transfer originator beneficiary individual".split(), "patterns": [r"customer.*transfer", r"originator.*beneficiary", r"type.?code.?1000"], "tag": "customer_transfer"},
-    "validation": {"words": "validat verify check format mandatory".split(), "patterns": [r"validat.*process", r"check.*format", r"verify.*field"], "tag": "validation"},
-    "exception_handling": {"words": "exception error reject repair fail".split(), "patterns": [r"exception.*handl", r"error.*process", r"reject.*payment"], "tag": "error_handling"},
-    "screening": {"words": "ofac sanctions aml compliance screening".split(), "patterns": [r"ofac.*screen", r"sanctions.*check", r"aml.*monitor"], "tag": "screening"},
-    "settlement": {"words": "settlement clearing netting rtgs".split(), "patterns": [r"settlement.*process", r"clearing.*house", r"net.*position"], "tag": None},
+    "customer_transfer": {"words": ["customer", "transfer", "originator", "beneficiary", "individual"], "patterns": [r"customer.*transfer", r"originator.*beneficiary", r"type.?code.?1000"], "tag": "customer_transfer"},
+    "validation": {"words": ["validat", "verify", "check", "format", "mandatory"], "patterns": [r"validat.*process", r"check.*format", r"verify.*field"], "tag": "validation"},
+    "exception_handling": {"words": ["exception", "error", "reject", "repair", "fail"], "patterns": [r"exception.*handl", r"error.*process", r"reject.*payment"], "tag": "error_handling"},
+    "screening": {"words": ["ofac", "sanctions", "aml", "compliance", "screening"], "patterns": [r"ofac.*screen", r"sanctions.*check", r"aml.*monitor"], "tag": "screening"},
+    "settlement": {"words": ["settlement", "clearing", "netting", "rtgs"], "patterns": [r"settlement.*process", r"clearing.*house", r"net.*position"], "tag": None},
 }
 
 

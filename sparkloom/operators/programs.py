@@ -9,7 +9,7 @@ from ..functions import text as fx
 from . import chunking, structure
 
 # Fixed values.
-MAIN_PARTS = "main mainline start begin initialization init setup control driver master".split()
+MAIN_PARTS = ["main", "mainline", "start", "begin", "initialization", "init", "setup", "control", "driver", "master"]
 TAL_ITEMS = {
     "STRUCT": r"(?i)^\s*STRUCT\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(\*\)\s*;",
     "ARRAY": r"(?i)^\s*(?:INT|STRING|CHAR|BYTE|BOOL|REAL|FIXED)(?:\s*\(\d+\))?\s+([A-Za-z_][A-Za-z0-9_]*)\[\d+:\d+\]",
@@ -111,9 +111,27 @@ def included(items: DataFrame) -> DataFrame:
     return items.where(F.col("name").isNotNull() & ~(filler & F.col("value").isNull()) & keep)
 
 
-def linkage(items: DataFrame) -> DataFrame:
-    """doc_id, name, mode of top-level linkage items: all are passed by reference."""
-    return items.where("section = 'LINKAGE' and level in (1, 77)").select("doc_id", "name", F.lit("REFERENCE").alias("mode"))
+def using_modes(lines: DataFrame) -> DataFrame:
+    """doc_id, line_no, ord, name, mode of the names behind USING in headers of procedure divisions, entries and calls: VALUE,
+    CONTENT or REFERENCE by the last BY before the name, REFERENCE without one."""
+    up = F.upper(F.regexp_replace("line", r"'[^']*'|\"[^\"]*\"", " "))
+    words = F.regexp_extract_all(F.regexp_extract(up, r"\b(?:PROCEDURE\s+DIVISION|ENTRY|CALL)\b.*?\bUSING\b(.*?)(?:\bRETURNING\b|\bGIVING\b|\bON\b|\.|\z)", 1), F.lit(r"[A-Z0-9][A-Z0-9-]*"), F.lit(0))
+    rows = lines.select("doc_id", "line_no", F.posexplode(words).alias("ord", "name"))
+    modes = F.col("name").isin("VALUE", "CONTENT", "REFERENCE")
+    by = Window.partitionBy("doc_id", "line_no").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("mode", F.coalesce(F.last(F.when(modes, F.col("name")), ignorenulls=True).over(by), F.lit("REFERENCE")))
+    kept = rows.where(~modes & ~F.col("name").isin("BY", "OPTIONAL"))
+    return kept.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id", "line_no").orderBy("ord")))
+
+
+def linkage(items: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """doc_id, name, mode of top-level linkage items: how the header of the procedure division takes them, by reference where it doesn't say."""
+    held = items.where("section = 'LINKAGE' and level in (1, 77)").select("doc_id", "name")
+    if lines is None:
+        return held.withColumn("mode", F.lit("REFERENCE"))
+    header = using_modes(lines.where(F.upper("line").rlike(r"\bPROCEDURE\s+DIVISION\b")))
+    said = header.groupBy("doc_id", F.col("name").alias("key")).agg(F.min_by("mode", F.struct("line_no", "ord")).alias("mode"))
+    return held.withColumn("key", F.upper("name")).join(said, ["doc_id", "key"], "left").select("doc_id", "name", F.coalesce("mode", F.lit("REFERENCE")).alias("mode"))
 
 
 def complexity_band(records: Column, groups: Column, conditions: Column, redefines: Column, arrays: Column) -> Column:

@@ -34,11 +34,11 @@ COPYBOOK_NAMES = [r"-RTN\z", r"-ROUTINE\z", r"-PROC\z", r"-PROCESS\z", r"^COMMON
 PROGRAM_NAMES = [r"^CALL-", r"^EXEC-", r"^RUN-", r"^START-", r"-PGM\z", r"-PROGRAM\z", r"-MODULE\z"]
 # Score groups of procedure names (points, parts) and of statements.
 NAME_GROUPS = [
-    (20, "process validate calculate transform convert initialize termination cleanup setup mainline".split()),
-    (15, "read write open close file input output load save fetch get put".split()),
-    (15, "sql select insert update delete database table record data entity".split()),
-    (10, "customer order product account transaction header detail trailer summary report".split()),
-    (15, "main start begin end finish complete check verify control manage".split()),
+    (20, ["process", "validate", "calculate", "transform", "convert", "initialize", "termination", "cleanup", "setup", "mainline"]),
+    (15, ["read", "write", "open", "close", "file", "input", "output", "load", "save", "fetch", "get", "put"]),
+    (15, ["sql", "select", "insert", "update", "delete", "database", "table", "record", "data", "entity"]),
+    (10, ["customer", "order", "product", "account", "transaction", "header", "detail", "trailer", "summary", "report"]),
+    (15, ["main", "start", "begin", "end", "finish", "complete", "check", "verify", "control", "manage"]),
 ]
 STATEMENT_BONUS = (
     {"EXEC_SQL": 15, "EVALUATE": 8, "DISPLAY": 2}

@@ -47,7 +47,7 @@ select name, level, section from f where not (filler and value is null) and case
 
 
 def linkage_parameters(spark, sf):
-    return programs.linkage(structure.data_items(lines_of(spark, PROGRAM)))
+    return programs.linkage(structure.data_items(lines_of(spark, PROGRAM)), lines_of(spark, PROGRAM))
 
 
 def perform_statistics(spark, sf):

@@ -8,6 +8,7 @@ breaks off is not seen.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +25,17 @@ def _chunks(rows: DataFrame) -> DataFrame:
     return chunking.chunks(rows, None, 100, "source_file", "content")
 
 
-def _name(path):
-    return F.regexp_extract(path, r"([^/]+)\z", 1)
+def _name(path, root: str):
+    """A file's path below the folder that is indexed."""
+    bare = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/", root).rstrip("/")
+    return F.regexp_replace(path, rf"^.*?\Q{bare}\E/+", "")
 
 
 def file_stream(spark: SparkSession, path: str, pattern: str = "*.txt", files_each: int = 1000) -> DataFrame:
-    """source_file (its name), content of files as they arrive. Spark's file stream gives a path once, so files of a
+    """source_file (its path below the folder), content of files as they arrive. Spark's file stream gives a path once, so files of a
     versioned name are read again after a change, and others only by index_changes()."""
-    rows = spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_each).schema("value string").load(path)
-    return rows.select(_name(F.input_file_name()).alias("source_file"), F.col("value").alias("content"))
+    rows = spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_each).option("recursiveFileLookup", "true").schema("value string").load(path)
+    return rows.select(_name(F.input_file_name(), path).alias("source_file"), F.col("value").alias("content"))
 
 
 def put(batch: DataFrame, removed: DataFrame | None, table: str, number: int, chunker: Callable[[DataFrame], DataFrame] | None = None) -> None:
@@ -69,8 +72,8 @@ def index_changes(spark: SparkSession, path: str, table: str, pattern: str = "*.
     Returns how many are new, modified and removed; without any, no batch is written. The files' contents are read once
     for the fingerprints and once more for those that changed.
     """
-    rows = spark.read.format("text").option("wholetext", "true").option("pathGlobFilter", pattern).schema("value string").load(path)
-    files = rows.select(_name(F.input_file_name()).alias("source_file"), F.col("value").alias("content"))
+    rows = spark.read.format("text").option("wholetext", "true").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").schema("value string").load(path)
+    files = rows.select(_name(F.input_file_name(), path).alias("source_file"), F.col("value").alias("content"))
     known = documents(spark, table).select(F.col("source_file").alias("name"), "hash")
     changes = catalog.diff(known, catalog.fingerprint(files, "source_file", "content"))
     found = {r.status: r["count"] for r in changes.where("status <> 'same'").groupBy("status").count().collect()}
