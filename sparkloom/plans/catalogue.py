@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, corpus, learning, lines, preprocess, procedures, programs, references, search, stored, structure, trees
+from . import checks, corpus, forms, learning, lines, preprocess, procedures, programs, references, search, stored, structure, trees
 
-_MODULES = [corpus, search, checks, structure, programs, learning, lines, preprocess, procedures, references, stored, trees]
+_MODULES = [corpus, search, checks, structure, programs, learning, lines, preprocess, procedures, references, stored, trees, forms]
 _ALL = {name: made for module in _MODULES for name, made in module.QUERIES.items()}
 if len(_ALL) < sum(len(m.QUERIES) for m in _MODULES):
     raise ValueError("two queries have one name")
