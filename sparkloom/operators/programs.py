@@ -140,6 +140,11 @@ def complexity_band(records: Column, groups: Column, conditions: Column, redefin
     return F.when(score >= 8, "VERY COMPLEX").when(score >= 5, "COMPLEX").when(score >= 3, "MODERATE").otherwise("SIMPLE")
 
 
+def item_counts(items: DataFrame) -> DataFrame:
+    """doc_id, section, level, n: data items by section and level, with a row of all levels (level null) for each section and one of all sections (both null)."""
+    return items.groupingSets([["doc_id", "section", "level"], ["doc_id", "section"], ["doc_id"]], "doc_id", "section", "level").agg(F.count("*").alias("n"))
+
+
 def data_metrics(items: DataFrame) -> DataFrame:
     """One row a document: counts by kind of item and the complexity band."""
     n = F.count_if

@@ -95,6 +95,12 @@ def parse_procedures(lines: DataFrame) -> DataFrame:
     return held.select("doc_id", trees.unquoted(F.col("p")).alias("paragraph"), F.col("score").cast("double"), F.col("start_line").cast("int"), F.col("end_line").cast("int"))
 
 
+def items_json(items: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, text: a document's data items as one JSON list in order of lines, each with its level, name and the given columns; empty ones are left out."""
+    row = F.struct("line_no", F.struct("level", "name", *columns).alias("item"))
+    return items.groupBy("doc_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["item"])).alias("text"))
+
+
 def java_fields(items: DataFrame) -> DataFrame:
     """doc_id, text: a class body from elementary data items."""
     kind = F.when(F.col("type") == "NUMERIC_DECIMAL", "BigDecimal").when(F.col("type") == "NUMERIC_INTEGER", "Long").otherwise("String")

@@ -64,6 +64,13 @@ def binary_vector(words: Column, vocab: list[str]) -> Column:
     return F.transform(F.array(*map(F.lit, vocab)), lambda v: F.array_contains(words, v).cast("int"))
 
 
+def query_keywords(query: Column, vocab: list[str]) -> Column:
+    """(matched, unmatched): the query's lower-cased words in the vocabulary, in its order, and those that are not, in theirs, with repeats."""
+    words = F.filter(F.split(F.lower(F.trim(query)), r"\s+"), lambda w: w != "")
+    known = F.array(*map(F.lit, vocab)) if vocab else F.array().cast("array<string>")
+    return F.struct(F.filter(known, lambda v: F.array_contains(words, v)).alias("matched"), F.filter(words, lambda w: ~F.array_contains(known, w)).alias("unmatched"))
+
+
 def set_similarities(words: Column, query: list[str], size: int) -> dict[str, Column]:
     """cosine, jaccard and hamming of 0/1 vectors of `size` terms, from set sizes."""
     q = F.array(*map(F.lit, query))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import structure
+from ..operators import programs, prompts, structure, weights
 from ..sources import tables
 from .preprocess import quoted
 
@@ -61,4 +61,36 @@ r as (select *, names[1] as item, names[2:] as qualifiers from q)
 select r.doc_id, r.line_no, r.type, r.item, array_to_string(qualifiers, ',') as qualifiers, subscripted, g.line_no as item_line, count(*) as n from r join g on g.doc_id = r.doc_id and upper(g.name) = r.item
 where len(list_filter(qualifiers, lambda x: not list_contains(coalesce(g.groups, []), x))) = 0 group by all"""
 
-QUERIES = {"item_groups": (item_groups, GROUPS), "data_references": (data_references, REFERENCES)}
+def sectioned(spark, sf):
+    return items(spark, sf).withColumn("section", F.when(F.col("line_no") % 3 == 0, "LINKAGE").otherwise("WORKING-STORAGE"))
+
+
+def item_counts(spark, sf):
+    return programs.item_counts(sectioned(spark, sf)).select("doc_id", "section", F.col("level").cast("long").alias("level"), "n")
+
+
+def item_lists(spark, sf):
+    """Items as JSON, by their digest."""
+    return prompts.items_json(sectioned(spark, sf), "section").select("doc_id", F.md5("text").alias("digest"))
+
+
+VOCABULARY = ["error", "click", "view", "purchase", "login"]
+
+
+def query_keywords(spark, sf):
+    """Which words of a query (an event's type and properties) a vocabulary has."""
+    said = F.concat_ws(" ", F.upper("event_type"), F.regexp_replace("props", "[^a-z0-9]+", " "), F.lit("view"))
+    rows = tables.read(spark, sf, "events").select("event_id", weights.query_keywords(said, VOCABULARY).alias("k"))
+    return rows.select("event_id", F.array_join("k.matched", ",").alias("matched"), F.array_join("k.unmatched", ",").alias("unmatched"))
+
+
+_SECTION = "j as (select *, case when line_no % 3 = 0 then 'LINKAGE' else 'WORKING-STORAGE' end as section from i)"
+_WORDS = f"""q as (select event_id, list_filter(regexp_split_to_array(lower(trim(concat_ws(' ', upper(event_type), regexp_replace(props, '[^a-z0-9]+', ' ', 'g'), 'view'))), '\\s+'), lambda w: w <> '') as w, [{', '.join(map(quoted, VOCABULARY))}] as v from events)"""
+
+QUERIES = {
+    "item_counts": (item_counts, f"with {_WITH}, {_SECTION} select doc_id, section, cast(level as bigint) as level, count(*) as n from j group by grouping sets ((doc_id, section, level), (doc_id, section), (doc_id))"),
+    "item_lists": (item_lists, f"""with {_WITH}, {_SECTION} select doc_id, md5('[' || string_agg('{{"level":' || level || ',"name":"' || name || '","section":"' || section || '"}}', ',' order by line_no) || ']') as digest from j group by doc_id"""),
+    "query_keywords": (query_keywords, f"with {_WORDS} select event_id, array_to_string(list_filter(v, lambda x: list_contains(w, x)), ',') as matched, array_to_string(list_filter(w, lambda x: not list_contains(v, x)), ',') as unmatched from q"),
+    "item_groups": (item_groups, GROUPS),
+    "data_references": (data_references, REFERENCES),
+}
