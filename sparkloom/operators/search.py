@@ -34,12 +34,18 @@ def in_flow(flow: str) -> Column:
     return F.coalesce(F.col("primary_flow") == flow, F.lit(False)) | F.array_contains("secondary_flows", flow)
 
 
-def enhanced(rows: DataFrame, query: Sequence[str], category_words: Column, name_parts: Column, k: int = 15) -> DataFrame:
-    """Share of query words found, plus 0.1 for each query word in the category and in the name."""
+def enhanced(rows: DataFrame, query: Sequence[str], category_words: Column, name_parts: Column, k: int = 15, category: Column | None = None) -> DataFrame:
+    """Share of query words found, plus 0.1 for each query word in the category and in the name; with what matched, and the
+    reasons of the score. category: what the category is called in them."""
     q = F.array(*map(F.lit, dict.fromkeys(query)))
-    overlap = F.size(F.array_intersect("words", q))
-    score = overlap / F.lit(float(len(set(query)))) + 0.1 * F.size(F.array_intersect(category_words, q)) + 0.1 * F.size(F.array_intersect(name_parts, q))
-    return top(rows.where(overlap > 0).withColumn("score", F.round(score, 6)), k, "corpus")
+    overlap, in_category, in_name = (F.size(F.array_intersect(x, q)) for x in ("words", category_words, name_parts))
+    score = overlap / F.lit(float(len(set(query)))) + 0.1 * in_category + 0.1 * in_name
+    reasons = [
+        F.format_string("Keyword overlap: %d terms", overlap), F.when(in_category > 0, F.concat(F.lit("Semantic category: "), F.lit(None).cast("string") if category is None else category)),
+        F.when(in_name > 0, F.concat(F.lit("Procedure: "), "name")),
+    ]
+    found = rows.where(overlap > 0).withColumns({"score": F.round(score, 6), "keyword_matches": F.array_sort(F.array_intersect("words", q)), "reasons": F.array_compact(F.array(*reasons))})
+    return top(found, k, "corpus")
 
 
 def ticket(rows: DataFrame, title: str, description: str, criteria: str, stop: Sequence[str], category_words: Column, name_parts: Column, k: int = 20) -> DataFrame:

@@ -39,6 +39,17 @@ def enhanced_search(spark, sf):
 ENHANCED = f"{sql_overlap(QUERY)} / {len(QUERY)} + 0.1 * len(list_intersect({SQL_CATEGORY}, {listed(QUERY)})) + 0.1 * len(list_intersect(list_distinct(string_split(name, '_')), {listed(QUERY)}))"
 
 
+def search_reasons(spark, sf):
+    """What the enhanced search found, with reasons."""
+    found = search.enhanced(features(spark, sf), QUERY, category_words(), F.split("name", "_"), category=F.col("lang"))
+    return found.select("chunk_id", F.array_join("keyword_matches", ",").alias("matches"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+REASONS = f"""with {FEATURES}, x as (select *, round({ENHANCED}, 6) as score from f where {sql_overlap(QUERY)} > 0 order by score desc, doc_id limit 15)
+select doc_id as chunk_id, array_to_string(list_sort(list_intersect(words, {listed(QUERY)})), ',') as matches, 'Keyword overlap: ' || {sql_overlap(QUERY)} || ' terms' || case when len(list_intersect({SQL_CATEGORY}, {listed(QUERY)})) > 0 then coalesce('; Semantic category: ' || lang, '') else '' end
+|| case when len(list_intersect(list_distinct(string_split(name, '_')), {listed(QUERY)})) > 0 then '; Procedure: ' || name else '' end as reasons from x"""
+
+
 def ticket_search(spark, sf):
     return shown(search.ticket(features(spark, sf), "License token", "the public terms", "with general license", ["the"], category_words(), F.split("name", "_")))
 
@@ -229,6 +240,7 @@ round(case when greatest(a, b, c) = 0 then 0.5 else greatest(a, b, c) / 3 end, 6
 case when regexp_matches(t, 'create|generate|build|make') then 'create' when regexp_matches(t, 'validate|check|verify') then 'validate' when regexp_matches(t, 'process|handle|execute') then 'process' when regexp_matches(t, 'screen|filter') then 'screen' else 'general' end as action from s"""
 
 QUERIES = {
+    "search_reasons": (search_reasons, REASONS),
     "enhanced_search": (enhanced_search, ranked(f"round({ENHANCED}, 6)", f"{sql_overlap(QUERY)} > 0", order=CORPUS, k=15)),
     "ticket_search": (ticket_search, ranked(f"round({TICKET_SCORE}, 6)", f"{sql_overlap(TICKET)} > 0", order=CORPUS, k=20)),
     "category_search": (category_search, f"with {TOPIC_ROWS} select doc_id as chunk_id, round(share, 6) as score from th where topic = 'linking' and round(share, 6) > 0.2 order by 2 desc, 1 limit 15"),

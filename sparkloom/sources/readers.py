@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import warnings
 import zipfile
 from collections.abc import Sequence
 from xml.etree import ElementTree
@@ -119,9 +120,14 @@ def record_file(spark: SparkSession, path: str, row_index: str = "row_index") ->
     return held.join(offsets, "__part").withColumn(row_index, place.cast("long")).drop("__id", "__part", "before")
 
 
-def corpus(spark: SparkSession, path: str, defaults: dict[str, object] | None = None) -> DataFrame:
-    """A stored corpus; columns of older versions that are missing get defaults."""
-    return catalog.with_defaults(spark.read.parquet(path), defaults or {})
+def corpus(spark: SparkSession, path: str, defaults: dict[str, object] | None = None, version: str | None = None) -> DataFrame:
+    """A stored corpus; columns of older versions that are missing get defaults. version: warns of others that are stored, by a scan of that one column."""
+    rows = spark.read.parquet(path)
+    if version is not None:
+        held = rows.select(VERSION_KEY).distinct() if VERSION_KEY in rows.columns else rows.limit(1).select(F.lit("none").alias(VERSION_KEY))
+        for (other,) in held.where(~F.col(VERSION_KEY).eqNullSafe(version)).limit(10).collect():
+            warnings.warn(f"{path} has rows of version {other}, not {version}", stacklevel=2)
+    return catalog.with_defaults(rows, defaults or {})
 
 
 def corpora(spark: SparkSession, paths: dict[str, str]) -> DataFrame:

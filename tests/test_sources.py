@@ -1,3 +1,4 @@
+import pytest
 
 from sparkloom.operators import catalog
 from sparkloom.sources import readers, writers
@@ -34,6 +35,8 @@ def test_corpus_roundtrip(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", ["x"] * 7)], "id int, name string, function_calls array<string>")
     writers.save_corpus(rows, str(tmp_path / "c"))
     assert readers.corpus(spark, str(tmp_path / "c/chunks"), {"lang": "en"}).first()["lang"] == "en"
+    with pytest.warns(UserWarning, match="not 9.9"):
+        readers.corpus(spark, str(tmp_path / "c/chunks"), version="9.9")
     both = readers.corpora(spark, {"c": str(tmp_path / "c/chunks"), "gone": str(tmp_path / "no")})
     assert both.select("corpus_source").first()[0] == "c"
     writers.save_results(rows, str(tmp_path / "r"))
