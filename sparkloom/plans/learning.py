@@ -30,7 +30,11 @@ select doc_id, cast(words as double) as word_count, cast(length(text) as double)
 
 
 STOP = ["the", "and", "of", "to", "que", "der"]
-ORDER = (F.col("doc_id") * 7919) % 1000003
+
+
+def order():
+    return (F.col("doc_id") * 7919) % 1000003
+
 
 
 def labelled(spark, sf):
@@ -50,7 +54,7 @@ def ml_predict(spark, sf):
 def bayes_predict(spark, sf):
     """Quality of held-out labelled documents by bayes on words and pairs alone, which SQL can follow to the last step."""
     rows = labelled(spark, sf).select("doc_id", "label", "terms")
-    train, test = learning.split(rows, "label", "doc_id", order=ORDER)
+    train, test = learning.split(rows, "label", "doc_id", order=order())
     model = learning.pipeline("bayes", "label", []).fit(train)
     return learning.predicted(model, test).select("doc_id", "label", "predicted", F.round("confidence", 4).alias("confidence"))
 
