@@ -66,10 +66,14 @@ def embed(rows: DataFrame, provider=None, size: int = 64, text: str = "content")
     """Adds `embedding`. provider: a function from a list of texts to a list of vectors, called by batches of 32; the
     default hashes words into `size` buckets, in the JVM."""
     if provider is None:
-        words = fx.words_of(F.col(text))
-        spot = lambda w, i: F.pmod(F.xxhash64(w), F.lit(size)) == i
-        vector = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(words, lambda w: spot(w, i))).cast("float"))
+        buckets = F.transform(fx.words_of(F.col(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
+        # sorted with one mark for each bucket and one behind them, so that a bucket's words are what lies between two marks
+        marked = F.sort_array(F.concat(buckets, F.sequence(F.lit(0).cast("long"), F.lit(size).cast("long"))))
+        count = lambda held, i: F.array_position(held, i + 1) - F.array_position(held, i) - 1
+        spots = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))
+        vector = F.get(F.transform(F.array(marked), lambda held: F.transform(spots, lambda i: count(held, i).cast("float"))), F.lit(0))
         return rows.withColumn("embedding", vector)
+
     @F.pandas_udf("array<float>")
     def made(texts: pd.Series) -> pd.Series:
         held = []

@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..sources.snapshots import Replace, Store, Upsert
-from . import catalog
+from . import catalog, chunking
 
 TERMS = ("term",)
 
 
 def postings(chunks: DataFrame) -> DataFrame:
     """source_file, chunk_id, term, n, length (all terms of the chunk). chunks: source_file, chunk_id, content."""
-    words = chunks.select("source_file", "chunk_id", fx.kept_words(fx.words_of(F.col("content"))).alias("words"))
+    words = chunking.pinned(chunks.select("source_file", "chunk_id", fx.kept_words(fx.words_of(F.col("content"))).alias("words")))  # tokenized once for both uses
     each = words.select("source_file", "chunk_id", F.size("words").cast("long").alias("length"), F.explode("words").alias("term"))
     return each.groupBy("source_file", "chunk_id", "term", "length").agg(F.count("*").alias("n")).select("source_file", "chunk_id", "term", "n", "length")
 
@@ -28,7 +28,7 @@ def postings(chunks: DataFrame) -> DataFrame:
 def lengths(chunks: DataFrame) -> DataFrame:
     """source_file, n_chunks, n_terms: what the corpus' sums are made of, a row a file."""
     size = F.size(fx.kept_words(fx.words_of(F.col("content")))).cast("long")
-    return chunks.select("source_file", size.alias("n")).where("n > 0").groupBy("source_file").agg(F.count("*").alias("n_chunks"), F.sum("n").alias("n_terms"))
+    return chunking.pinned(chunks.select("source_file", size.alias("n"))).where("n > 0").groupBy("source_file").agg(F.count("*").alias("n_chunks"), F.sum("n").alias("n_terms"))
 
 
 def _catalog(documents: DataFrame, chunks: DataFrame) -> DataFrame:
