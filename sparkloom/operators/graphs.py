@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,14 +104,25 @@ def call_pattern(graph: DataFrame, edges: DataFrame) -> DataFrame:
 def longest_path(edges: DataFrame) -> DataFrame:
     """doc_id, name, depth: the longest chain of calls that ends in the name, from names nothing calls. Names that reach each
     other are one link of a chain and have one depth; a cycle that nothing else calls begins chains. One job: a document's
-    distinct calls meet in one task, which takes time in proportion to them."""
-    pairs = edges.select("doc_id", "caller", "target").where("caller is not null and target is not null").distinct()
-
-    def depths(held: pd.DataFrame) -> pd.DataFrame:
-        found = chain_depths(list(zip(held["caller"], held["target"], strict=True)))
-        return pd.DataFrame({"doc_id": [held["doc_id"].iloc[0]] * len(found), "name": list(found), "depth": list(found.values())})
-
-    return pairs.groupBy("doc_id").applyInPandas(depths, T.StructType([edges.schema["doc_id"], T.StructField("name", T.StringType()), T.StructField("depth", T.IntegerType())]))
+    distinct calls are one row, which takes time in proportion to them; the rows of many documents pass through Python at once."""
+    pair = F.struct("caller", "target")
+    held = edges.where("caller is not null and target is not null").groupBy("doc_id").agg(F.collect_set(pair).alias("pairs"))
+    made = T.StructType([edges.schema["doc_id"], T.StructField("name", T.StringType()), T.StructField("depth", T.IntegerType())])
+
+    def depths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, pairs = batch.column("pairs").offsets.to_pylist(), batch.column("pairs").values
+            callers, targets = pairs.field("caller").to_pylist(), pairs.field("target").to_pylist()
+            at, names, found = [], [], []
+            for k in range(batch.num_rows):
+                of_doc = chain_depths(list(zip(callers[ends[k] : ends[k + 1]], targets[ends[k] : ends[k + 1]], strict=True)))
+                at += [k] * len(of_doc)
+                names += of_doc
+                found += of_doc.values()
+            docs = batch.column("doc_id").take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([docs, pa.array(names, pa.string()), pa.array(found, pa.int32())], ["doc_id", "name", "depth"])
+
+    return held.mapInArrow(depths, made)
 
 
 def chain_depths(pairs: list[tuple[str, str]]) -> dict[str, int]:
@@ -175,15 +188,15 @@ def nearest(points: DataFrame, anchors: DataFrame, x: str, into: str, key: str =
     """For each point the anchor of the diagram with the least distance in x; ties by ord. anchors: key, name, ax, ord.
 
     Points and anchors of a diagram are sorted together by x, so a point looks at the last anchor before it and the
-    first after it, and no pairs are made. A diagram without anchors has no points in the result.
+    first after it, and no pairs are made. Both are running values, the latter from the far end, because a frame that
+    runs to the end is gone through anew for each row. A diagram without anchors has no points in the result.
     """
     anchor = F.struct("ax", "ord", "name")
     places = anchors.groupBy(key, "ax").agg(F.min(F.struct("ord", "name")).alias("a")).select(key, "ax", "a.ord", "a.name")
     both = points.select(key, F.col(x).cast("double").alias("__x"), F.lit(1).alias("__point"), F.struct(*points.columns).alias("__row"), F.lit(None).cast(places.select(anchor.alias("a")).schema["a"].dataType).alias("__a"))
     both = both.unionByName(places.select(key, F.col("ax").cast("double").alias("__x"), F.lit(0).alias("__point"), F.lit(None).cast(both.schema["__row"].dataType).alias("__row"), anchor.alias("__a")))
-    by = Window.partitionBy(key).orderBy("__x", "__point")
-    before = F.last("__a", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__a", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    last = lambda *order: F.last("__a", ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    before, after = last("__x", "__point"), last(F.desc("__x"), F.desc("__point"))
     found = both.select("__row", "__x", "__point", before.alias("b"), after.alias("f")).where("__point = 1 and (b is not null or f is not null)")
     rank = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("__x") - F.col(f"{c}.ax")).alias("d"), F.col(f"{c}.ord").alias("ord"), F.col(f"{c}.name").alias("name")))
     return found.select("__row.*", F.least(rank("b"), rank("f"))["name"].alias(into))

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as fx
-from sparkloom.operators import catalog
+from sparkloom.operators import catalog, graphs
 
 
 def test_hashed_embedding_counts_each_word_once(spark):
@@ -19,3 +19,24 @@ def test_hashed_embedding_counts_each_word_once(spark):
     began = time.monotonic()
     assert sum(catalog.embed(long).first().embedding) == 600_000
     assert time.monotonic() - began < 12
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_has_no_frame_that_is_gone_through_for_each_row(spark):
+    points = spark.createDataFrame([(d, i, x) for d in (1, 2, 3) for i, x in enumerate([5.0, -1.0, 2.0, 2.5, None, 9.0])], "diagram int, id int, x double")
+    anchors = spark.createDataFrame([(1, "a", 2.0, 2), (1, "b", 2.0, 1), (1, "c", 3.0, 0), (2, "d", 7.0, 0)], "diagram int, name string, ax double, ord int")
+    found = graphs.nearest(points, anchors, "x", "near")
+    assert "unboundedfollowing" not in plan(found)
+    near = {(r.diagram, r.id): r.near for r in found.collect() if r.x is not None}
+    assert near == {(1, 0): "c", (1, 1): "b", (1, 2): "b", (1, 3): "c", (1, 5): "c"} | {(2, i): "d" for i in (0, 1, 2, 3, 5)}
+
+
+def test_chain_depths_of_many_documents_pass_through_python_together(spark):
+    """A call of a function for each document took longer than its chains."""
+    edges = spark.createDataFrame([(d, c, t) for d in range(50) for c, t in (("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("a", "b"), (None, "d"), ("e", None))], "doc_id long, caller string, target string")
+    found = graphs.longest_path(edges)
+    assert "InPandas" not in plan(found)
+    assert sorted(tuple(r) for r in found.collect()) == sorted((d, n, k) for d in range(50) for n, k in (("a", 0), ("b", 1), ("c", 1), ("d", 2)))
