@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from ..sources import storage
 from . import weights
 
 
@@ -168,7 +169,9 @@ def iso_processing(rows: DataFrame, message: str, stage: str | None = None, k: i
 
 
 def similar_procedures(rows: DataFrame, reference: str, vector: str, least: float = 0.1, k: int = 5) -> DataFrame:
-    """Cosine of flow vectors with the first chunk whose name contains the reference; itself excluded."""
+    """Cosine of flow vectors with the first chunk whose name contains the reference; itself excluded. Rows are computed once and
+    read twice, so they should have few columns."""
+    rows = storage.cut(rows)
     ref = rows.where(has(F.col("name"), reference)).orderBy("ord").limit(1).select(F.col("ord").alias("ref_ord"), F.col(vector).alias("ref"))
     named = rows.where(F.coalesce("name", F.lit("")) != "").join(F.broadcast(ref), F.col("ord") != F.col("ref_ord"))  # ref is one row
     return top(named.withColumn("score", F.round(weights.cosine(F.col(vector), F.col("ref")), 6)).where(F.col("score") > least).drop("ref", "ref_ord"), k)

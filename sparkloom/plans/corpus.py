@@ -145,17 +145,20 @@ x as (select n.doc_id, n.term, n.n * (ln((1 + {SIZE}) / (1 + f.df)) + 1) as raw
 select doc_id, term, round(raw / sqrt(sum(raw * raw) over (partition by doc_id)), 4) as w from x"""
 
 
-def features(spark, sf) -> DataFrame:
-    """Documents as chunks: words, tags, scores and what follows from them; the name is the first line's first two words."""
+def features(spark, sf, without: tuple[str, ...] = ()) -> DataFrame:
+    """Documents as chunks: words, tags, scores and what follows from them; the name is the first line's first two words.
+
+    without: columns that the caller has no use for (function_calls, detected_networks); pinned rows would have them computed all the same."""
     low = F.lower("text")
     rows = docs(spark, sf).select(
         F.col("source").alias("source_file"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("ord"), F.col("text").alias("content"), "lang",
         F.replace(F.regexp_extract(low, r"^([a-z]+ [a-z]+)", 1), F.lit(" "), F.lit("_")).alias("name"),
         F.array_distinct(fx.kept_words(fx.words_of(F.col("text")))).alias("words"), fx.tags(F.col("text"), TAGS).alias("message_patterns"), fx.called_functions(F.col("text")).alias("function_calls"),
     )
-    rows, low = chunking.pinned(rows), F.lower("content")
-    rows = rows.withColumn("network_scores", lexicons.network_scores(low, F.col("words"), F.col("message_patterns"), NETWORKS))
-    rows = rows.withColumn("detected_networks", lexicons.detected(F.col("network_scores")))
+    rows, low = chunking.pinned(rows.drop(*without)), F.lower("content")
+    if "detected_networks" not in without:
+        rows = rows.withColumn("network_scores", lexicons.network_scores(low, F.col("words"), F.col("message_patterns"), NETWORKS))
+        rows = rows.withColumn("detected_networks", lexicons.detected(F.col("network_scores")))
     rows = rows.withColumn("flows", lexicons.flow_scores(low, F.col("words"), F.col("name"), F.col("message_patterns"), FLOWS))
     rows = chunking.pinned(rows)
     return rows.withColumn("primary_flow", lexicons.primary_flow(F.col("flows"))).withColumn("secondary_flows", lexicons.secondary_flows(F.col("flows")))
@@ -317,9 +320,10 @@ CALL_GROUPS = r"select call, count(*) as n, min(page_id) as first, max(page_id)
 
 
 def flow_distribution(spark, sf):
-    rows = features(spark, sf)
-    part = lambda kind, c: rows.select(F.lit(kind).alias("kind"), c.alias("value"))
-    both = part("flow", F.coalesce("primary_flow", F.lit("none"))).unionByName(part("network", F.explode("detected_networks"))).unionByName(part("message", F.explode("message_patterns")))
+    rows = features(spark, sf, ("function_calls",))
+    part = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    parts = [part("flow", F.array(F.coalesce("primary_flow", F.lit("none")))), part("network", F.col("detected_networks")), part("message", F.col("message_patterns"))]
+    both = rows.select(F.inline(F.concat(*[F.coalesce(p, F.array().cast("array<struct<kind:string,value:string>>")) for p in parts])))
     return both.groupBy("kind", "value").agg(F.count("*").alias("n"))
 
 

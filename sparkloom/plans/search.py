@@ -149,7 +149,8 @@ select source_file, doc_id as chunk_id, round(cast(total as double), 6) as score
 
 
 def similar_by_flow_vector(spark, sf):
-    rows = features(spark, sf).withColumn("vector", F.transform("flows", lambda x: x["score"]))
+    rows = features(spark, sf, ("function_calls", "detected_networks"))
+    rows = rows.select("source_file", "chunk_id", "ord", "name", F.transform("flows", lambda x: x["score"]).alias("vector"))
     return search.similar_procedures(rows, "the_and", "vector", 0.1, 10).select("chunk_id", "score")
 
 

@@ -1,11 +1,19 @@
 """Work that must not grow faster than the input, and results that stay what they were where the way to them changed."""
 
+import random
+import re
 import time
+import unicodedata
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from conftest import SF
+from sparkloom.functions import checks
 from sparkloom.functions import text as fx
-from sparkloom.operators import catalog, graphs
+from sparkloom.operators import catalog, graphs, learning
+from sparkloom.plans import corpus
+from sparkloom.plans import search as search_plans
 
 
 def test_hashed_embedding_counts_each_word_once(spark):
@@ -40,3 +48,33 @@ def test_chain_depths_of_many_documents_pass_through_python_together(spark):
     found = graphs.longest_path(edges)
     assert "InPandas" not in plan(found)
     assert sorted(tuple(r) for r in found.collect()) == sorted((d, n, k) for d in range(50) for n, k in (("a", 0), ("b", 1), ("c", 1), ("d", 2)))
+
+
+def test_features_are_computed_once_for_a_distribution_and_a_similar_search(spark):
+    assert plan(corpus.flow_distribution(spark, SF)).count("FileScan") == 1
+    assert plan(search_plans.similar_by_flow_vector(spark, SF)).count("FileScan") == 0  # stored, then read twice
+
+
+def test_texts_that_nfc_leaves_alone_do_not_go_to_python(spark):
+    for c in map(chr, range(0x20D0)):
+        if re.match(checks.UNCHANGED.replace(r"\z", r"\Z"), c):
+            assert all(unicodedata.normalize("NFC", x + c + y) == unicodedata.normalize("NFC", x) + c + y for x in ("", "e", "́", "ᄀ") for y in ("", "e", "é"))
+    texts = ["plain", "déjà – “x” €", "é", "K", "가", "a\ń", "", None, "x\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(checks.nfc(F.col("t")).alias("n"))
+    assert [r.n for r in rows.collect()] == [t and unicodedata.normalize("NFC", t) for t in texts]
+    assert "RLIKE" in plan(rows)
+
+
+def test_split_ranks_no_label_in_one_task(spark):
+    r = random.Random(5)
+    rows = [(r.choice(["a", "a", "a", "b", None]), r.randrange(400) if i % 50 else None, i) for i in range(3000)] + [("one", 7, 1), ("two", 3, 1), ("two", 3, 1), ("same", 5, 9), ("same", 5, 9), ("same", 6, 1)]
+    df = spark.createDataFrame(rows, "label string, o long, id long").withColumn("w", F.lit("x")).repartition(4)
+    for order in (F.col("o"), (F.col("o") * 7919) % 103, None):
+        place = F.percent_rank().over(Window.partitionBy("label").orderBy(F.xxhash64("id") if order is None else order, "id"))
+        for share in (0.0, 0.5, 0.8, 1.0):
+            train, test = learning.split(df, "label", "id", share, order)
+            assert train.columns == test.columns == df.columns
+            held = df.withColumn("place", place)
+            assert sorted(map(str, train.collect())) == sorted(map(str, held.where(F.col("place") < share).drop("place").collect()))
+            assert sorted(map(str, test.collect())) == sorted(map(str, held.where(F.col("place") >= share).drop("place").collect()))
+    assert "Window" not in plan(train) and "Exchange hash" not in plan(train)
