@@ -120,13 +120,18 @@ def invalid_characters(value: Column) -> Column:
     return F.coalesce(F.transform(bad, named), F.array().cast("array<struct<char:string,position:int,description:string>>"))
 
 
+#: Characters that NFC leaves alone wherever they stand: all below U+0300, and punctuation and currency signs above.
+UNCHANGED = r"^[\x00-\u02FF\u2010-\u2027\u2030-\u205E\u20A0-\u20BF]*\z"
+
+
 def nfc(value: Column) -> Column:
-    """Normal form C; a pandas UDF, as there is no built-in. Plain ASCII is in it already, and Python does nothing with it."""
+    """Normal form C; a pandas UDF, as there is no built-in. Texts that can't change don't go to Python: it gets nulls for them."""
     @F.pandas_udf("string")
     def normal(s: pd.Series) -> pd.Series:
         return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
-    return normal(value)
+    other = ~value.rlike(UNCHANGED)
+    return F.when(other, normal(F.when(other, value))).otherwise(value)
 
 
 # Words that are never names of paragraphs, and endings that never begin one.
