@@ -37,24 +37,32 @@ def order():
 
 
 
+def labels(spark, sf):
+    said = tables.read(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
+    return docs(spark, sf).select("doc_id", "text").join(said, "doc_id")
+
+
+def termed(rows):
+    return learning.with_terms(rows, fx.words_of(F.col("text")), STOP)
+
+
 def labelled(spark, sf):
-    labels = tables.read(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
-    return learning.with_terms(docs(spark, sf).select("doc_id", "text").join(labels, "doc_id"), fx.words_of(F.col("text")), STOP)
+    return termed(labels(spark, sf))
 
 
 def ml_predict(spark, sf):
     """Quality of held-out labelled documents, by the best of forest, logistic regression and bayes on words, pairs and hand features."""
     made = learning.features(F.col("text"), None, FAMILIES, PATTERNS)
-    rows, numeric = labelled(spark, sf).select("doc_id", "label", "terms", *[v.alias(k) for k, v in made.items()]), list(made)
-    model, kind, accuracy = learning.best_of(rows, "label", "doc_id", numeric)
+    featured = lambda rows: termed(rows).select("doc_id", "label", "terms", *[v.alias(k) for k, v in made.items()])
+    rows = labels(spark, sf)
+    model, kind, accuracy = learning.best_of(featured(rows), "label", "doc_id", list(made))
     _, test = learning.split(rows, "label", "doc_id")
-    return learning.predicted(model, test).select("doc_id", "label", "predicted", "confidence", F.lit(kind).alias("kind"), F.lit(accuracy).alias("accuracy"))
+    return learning.predicted(model, featured(test)).select("doc_id", "label", "predicted", "confidence", F.lit(kind).alias("kind"), F.lit(accuracy).alias("accuracy"))
 
 
 def bayes_predict(spark, sf):
     """Quality of held-out labelled documents by bayes on words and pairs alone, which SQL can follow to the last step."""
-    rows = labelled(spark, sf).select("doc_id", "label", "terms")
-    train, test = learning.split(rows, "label", "doc_id", order=order())
+    train, test = (termed(x).select("doc_id", "label", "terms") for x in learning.split(labels(spark, sf), "label", "doc_id", order=order()))
     model = learning.pipeline("bayes", "label", []).fit(train)
     return learning.predicted(model, test).select("doc_id", "label", "predicted", F.round("confidence", 4).alias("confidence"))
 
