@@ -79,7 +79,7 @@ def s_expression(procs: DataFrame, statements: DataFrame) -> DataFrame:
 
 def parse_s_expression(texts: DataFrame) -> DataFrame:
     """The statements of such texts: doc_id, paragraph, type, content, line_no."""
-    return trees.statements(trees.lists(trees.read(texts)))
+    return trees.statements(trees.facts(texts))
 
 
 def parse_procedures(lines: DataFrame) -> DataFrame:

@@ -6,8 +6,13 @@ window over the brackets of one document and depth. So nothing loops over levels
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as fx
 
@@ -18,6 +23,8 @@ MEANINGLESS = ["", ".", "(", ")", ","]
 MOST_CHILDREN, MOST_TERMINALS = 3, 5
 ATOM = r'"[^"\\]*(?:\\[\s\S][^"\\]*)*"?|[()]|[^\s()"]+'
 ESCAPES = {"n": "\n", "r": "\r", "t": "\t"}
+_TOKEN, _ESCAPE = re.compile(ATOM, re.ASCII), re.compile(r'\\([\s\S]?)|"')
+MOST_ROWS = 20_000
 
 
 def quoted(text: Column) -> Column:
@@ -76,6 +83,52 @@ def lists(nodes: DataFrame) -> DataFrame:
     return own.join(up, ["doc_id", "parent"], "left").join(top, ["doc_id", "top"], "left").withColumnRenamed("parent", "up")
 
 
+def facts(texts: DataFrame) -> DataFrame:
+    """lists(read(texts)), text by text: a text is one row already, so its lists leave it whole, with what is around them, and nothing is
+    shuffled. Python holds one text's lists and a batch of texts."""
+    atoms, string = T.ArrayType(T.StringType()), T.StringType()
+    kinds = [("top", T.LongType()), ("up", T.LongType()), ("place", T.IntegerType()), ("atoms", atoms), ("head", string), ("up_head", string), ("up_atoms", atoms), ("top_head", string), ("top_atoms", atoms)]
+    made = T.StructType([texts.schema["doc_id"], *[T.StructField(n, t) for n, t in kinds]])
+    arrow = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string())]
+
+    def batch_of(docs: pa.Array, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([docs.take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, arrow, strict=True)]], [f.name for f in made])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, at, rows = batch.column("doc_id"), [], []
+            for k, text in enumerate(batch.column("text")):
+                for row in lists_of(text.as_py() or ""):
+                    at.append(k)
+                    rows.append(row)
+                    if len(rows) == MOST_ROWS:
+                        yield batch_of(docs, at, rows)
+                        at, rows = [], []
+            yield batch_of(docs, at, rows)
+
+    return texts.select("doc_id", "text").mapInArrow(found, made)
+
+
+def lists_of(text: str) -> Iterator[tuple]:
+    """(top, up, place, atoms, head, up_head, up_atoms, top_head, top_atoms) of each list of one text, in order."""
+    held, open_ = [], []
+    for place, found in enumerate(_TOKEN.finditer(text)):
+        tok = found[0]
+        if tok == "(":
+            held.append((place, open_[-1] if open_ else None, []))
+            open_.append(len(held) - 1)
+        elif tok == ")":
+            if open_:
+                open_.pop()
+        elif open_:
+            held[open_[-1]][2].append(_ESCAPE.sub(lambda m: "" if m[1] is None else ESCAPES.get(m[1], m[1]), tok) if tok[0] == '"' else tok)
+    for place, up, atoms in held:
+        up_place, top, up_atoms = held[up] if up is not None else (None, None, None)
+        top_place, _, top_atoms = held[top] if top is not None else (None, None, None)
+        yield top_place, up_place, place, atoms, *(x[0] if x else None for x in (atoms, up_atoms)), up_atoms, top_atoms[0] if top_atoms else None, top_atoms
+
+
 def program_facts(found: DataFrame) -> DataFrame:
     """doc_id, key, value: the program's name and the metadata. found: of lists()."""
     name = found.where("head = 'ENHANCED-COBOL-ANALYSIS'").select("doc_id", F.lit("name").alias("key"), F.get("atoms", F.lit(1)).alias("value"))

@@ -84,7 +84,7 @@ def analysis_texts(spark, sf):
 
 
 def _facts(spark, sf):
-    return trees.lists(trees.read(analysis_texts(spark, sf)))
+    return trees.facts(analysis_texts(spark, sf))
 
 
 def tree_statements(spark, sf):

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from conftest import SF
 from sparkloom.functions import checks
 from sparkloom.functions import text as fx
-from sparkloom.operators import catalog, graphs, learning
+from sparkloom.operators import catalog, graphs, learning, trees
 from sparkloom.plans import corpus
 from sparkloom.plans import search as search_plans
+from sparkloom.plans import trees as tree_plans
 
 
 def test_hashed_embedding_counts_each_word_once(spark):
@@ -78,3 +79,15 @@ def test_split_ranks_no_label_in_one_task(spark):
             assert sorted(map(str, train.collect())) == sorted(map(str, held.where(F.col("place") < share).drop("place").collect()))
             assert sorted(map(str, test.collect())) == sorted(map(str, held.where(F.col("place") >= share).drop("place").collect()))
     assert "Window" not in plan(train) and "Exchange hash" not in plan(train)
+
+
+def test_lists_of_a_text_come_without_a_shuffle_and_equal_those_of_its_nodes(spark):
+    r = random.Random(3)
+    parts = ["(", "(", "(", ")", ")", " ", "\n", "A", "b.c", '"x y"', '"(q\\" )"', '"a\\nb\\\\"', '""', "\\", "\u00e9\u2003x", '"\\t\\', "'"]
+    texts = [None, "", ")) (A", '(A "open', *("".join(r.choices(parts, k=r.choice([3, 20, 80]))) for _ in range(150))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    slow, quick = trees.lists(trees.read(df)), trees.facts(df)
+    assert sorted(map(str, quick.select(slow.columns).collect())) == sorted(map(str, slow.collect()))
+    assert dict(quick.dtypes) == dict(slow.dtypes)
+    assert "Exchange" not in plan(quick).replace("Exchange Round", "").replace("Exchange Single", "")
+    assert "Window" not in plan(tree_plans.tree_statements(spark, SF))
