@@ -10,8 +10,8 @@ from ..functions import text as fx
 
 
 def terms(docs: DataFrame, key: str = "doc_id", text: str = "text", stop: tuple[str, ...] = (), least: int = 3) -> DataFrame:
-    """key, term, n: kept words of each document with their counts."""
-    words = docs.select(key, F.explode(fx.kept_words(fx.words_of(F.col(text)), stop, least)).alias("term"))
+    """key, term, n: kept words of each document with their counts. Texts are dealt by key, so that neither this nor what follows by key moves the counts."""
+    words = docs.select(key, text).repartition(key).select(key, F.explode(fx.kept_words(fx.words_of(F.col(text)), stop, least)).alias("term"))
     return words.groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
@@ -39,17 +39,17 @@ def inverse_frequency(df: DataFrame, n_docs: int) -> DataFrame:
 
 
 def tfidf(counts: DataFrame, vocab: DataFrame, key: str = "doc_id", high_value: tuple[str, ...] = ()) -> DataFrame:
-    """key, term, w: count / all kept words of the document * idf, times 1.5 for high-value terms. vocab: term, idf."""
+    """key, term, w: count / all kept words of the document * idf, times 1.5 for high-value terms. vocab: term, idf, of bounded size."""
     totals = Window.partitionBy(key)
     share = counts.withColumn("tf", F.col("n") / F.sum("n").over(totals))
     boost = F.when(F.col("term").isin(*high_value), 1.5).otherwise(1.0) if high_value else F.lit(1.0)
-    return share.join(vocab.select("term", "idf"), "term").select(key, "term", (F.col("tf") * F.col("idf") * boost).alias("w"))
+    return share.join(F.broadcast(vocab.select("term", "idf")), "term").select(key, "term", (F.col("tf") * F.col("idf") * boost).alias("w"))
 
 
 def term_share(counts: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, term, w: count / all words of the document, for terms of the vocabulary."""
+    """key, term, w: count / all words of the document, for terms of the vocabulary, which is of bounded size."""
     share = counts.withColumn("w", F.col("n") / F.sum("n").over(Window.partitionBy(key)))
-    return share.join(vocab.select("term"), "term", "left_semi").select(key, "term", "w")
+    return share.join(F.broadcast(vocab.select("term")), "term", "left_semi").select(key, "term", "w")
 
 
 def smooth_l2(counts: DataFrame, vocab: DataFrame, n_docs: int, key: str = "doc_id") -> DataFrame:

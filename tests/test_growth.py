@@ -91,3 +91,9 @@ def test_lists_of_a_text_come_without_a_shuffle_and_equal_those_of_its_nodes(spa
     assert dict(quick.dtypes) == dict(slow.dtypes)
     assert "Exchange" not in plan(quick).replace("Exchange Round", "").replace("Exchange Single", "")
     assert "Window" not in plan(tree_plans.tree_statements(spark, SF))
+
+
+def test_counts_of_terms_stay_where_their_text_is(spark):
+    for name in ("tfidf_top_terms", "term_share", "bm25_topk", "hybrid_topk"):
+        query = {**corpus.QUERIES, **search_plans.QUERIES}[name][0]
+        assert not re.search(r"hashpartitioning\(doc_id#\d+L?, term", plan(query(spark, SF))), name
