@@ -1,15 +1,16 @@
 """Trees as texts: a reader of S-expressions of any depth and writers of syntax trees, both over brackets in order.
 
-A tree is a line of brackets. Depth is a running sum, and what a bracket belongs to is the last open bracket of the depth above: a
-window over the brackets of one document and depth. So nothing loops over levels, and no parent is found by a join.
+A tree is a line of brackets. In the reader, depth is a running sum, and what a bracket belongs to is the last open bracket of the depth
+above: a window over the brackets of one document and depth. The writers get a tree's nodes in order and go through them with the open lists held.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -232,28 +233,87 @@ def _texts(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("text"))
 
 
-def lisp(nodes: DataFrame) -> DataFrame:
+def sorted_by(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows moved once, so that a document's are in one task and in order."""
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", *order)
+
+
+def _cells(column: pa.Array) -> list:
+    """column.to_pylist(), by way of numpy where that is quicker and the same."""
+    return column.to_pylist() if column.null_count and pa.types.is_integer(column.type) else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def written(nodes: DataFrame, text_of: Callable[..., str]) -> DataFrame:
+    """doc_id, text: text_of(levels, types, values, terminals) of each tree. nodes: a tree's in one task, next to each other and in
+    preorder. Python holds one tree and a batch of nodes; a tree may go on over many batches."""
+    made = T.StructType([nodes.schema["doc_id"], T.StructField("text", T.StringType())])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, held, kind = None, None, None
+        for batch in batches:
+            docs, columns = batch.column(0), [_cells(c) for c in batch.columns[1:]]
+            kind, start, done = docs.type, 0, []
+            for end in pc.run_end_encode(docs).run_ends.to_pylist():
+                one, part = docs[start].as_py(), [c[start:end] for c in columns]
+                start = end
+                if held is not None and one == doc:
+                    for h, c in zip(held, part, strict=True):
+                        h.extend(c)
+                    continue
+                if held is not None:
+                    done.append((doc, text_of(*held)))
+                doc, held = one, part
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in done], kind), pa.array([t for _, t in done], pa.string())], made.names)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([doc], kind), pa.array([text_of(*held)], pa.string())], made.names)
+
+    return nodes.select("doc_id", "level", "type", "value", "terminal").mapInArrow(found, made)
+
+
+def _children(levels: list[int], terminals: list[bool]) -> tuple[list[int], list[int]]:
+    """How many children each node has, and how many of them are terminals: those of its level + 1 up to the next node of its level."""
+    children, leaves = [0] * len(levels), [0] * len(levels)
+    some, ends = [0] * (max(levels) + 2), [0] * (max(levels) + 2)
+    for i in range(len(levels) - 1, -1, -1):
+        level = levels[i]
+        below = level + 1
+        if some[below]:
+            children[i], leaves[i] = some[below], ends[below]
+            some[below] = ends[below] = 0
+        some[level] += 1
+        if terminals[i]:
+            ends[level] += 1
+    return children, leaves
+
+
+def _has_meaning(value: str | None) -> bool:
+    return value is not None and (value.isalnum() or (value.strip(" ") not in MEANINGLESS and value.replace("\n", "").strip(" ") not in MEANINGLESS))
+
+
+def long_text(levels: list[int], types: list[str], values: list[str], terminals: list[bool]) -> str:
+    """The text of lisp() of one tree. A piece of unknown type is left out."""
+    pieces, around = [], []  # around: level, what its children begin with, their indent, closing of each open list
+    for level, kind, value, terminal, n, leaves in zip(levels, types, values, terminals, *_children(levels, terminals), strict=True):
+        while around and around[-1][0] >= level:
+            pieces.append(around.pop()[3])
+        _, before, depth, _ = around[-1] if around else (-1, "", 0, "")
+        word = (value if _has_meaning(value) else kind) if terminal else kind
+        if word is not None:
+            pieces += (before, word) if terminal else (before, "(", word)
+        if terminal:
+            continue
+        if n <= MOST_CHILDREN or n == leaves <= MOST_TERMINALS or kind in INLINE_TYPES:
+            around.append((level, " ", 0, ")"))
+        else:
+            around.append((level, "\n" + "  " * (depth + 1), depth + 1, "\n" + "  " * depth + ")"))
+    return "".join(pieces + [closing for *_, closing in reversed(around)])
+
+
+def lisp(nodes: DataFrame, in_order: bool = False) -> DataFrame:
     """doc_id, text: trees as nested lists. A list stays on one line with up to three children, up to five where all are
     terminals, or by its type; a child of such a list is indented anew from the left. Else each child has a line of its own.
-    nodes: doc_id, place, level, type, value, terminal, in preorder; trees of any depth."""
-    rows = shaped(nodes)
-    order = [F.col("place"), F.col("closing"), -F.col("level")]
-    by = Window.partitionBy("doc_id").orderBy(*order)
-    counts = F.when(F.col("inline") & ~F.col("terminal"), F.when(F.col("closing"), -1).otherwise(1)).otherwise(0)
-    rows = rows.withColumn("around", F.sum(counts).over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.when(F.col("closing"), 0).otherwise(counts))
-    # the level of the innermost list around that stays on one line
-    nest = rows.withColumns({"nest": F.col("around"), "self": F.lit(True), "mark": F.lit(None).cast("int")})
-    marks = rows.where("inline and not terminal and not closing").select("doc_id", "place", "closing", "level", (F.col("around") + 1).alias("nest"), F.lit(False).alias("self"), F.col("level").alias("mark"))
-    within = Window.partitionBy("doc_id", "nest").orderBy(*order, F.col("self").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = nest.unionByName(marks, allowMissingColumns=True).withColumn("mark", F.last("mark", ignorenulls=True).over(within)).where("self")
-    rows = rows.withColumn("mark", F.when(F.col("around") > 0, F.col("mark")).otherwise(-1))
-    depth = F.col("level") - F.col("mark") - 1
-    indent = F.repeat(F.lit("  "), depth)
-    before = F.when(F.col("level") == 0, "").when(F.col("level") - 1 == F.col("mark"), " ").otherwise(F.concat(F.lit("\n"), indent))
-    value = F.when(meaningful(F.col("value")), F.col("value")).otherwise(F.col("type"))
-    opened = F.concat(before, F.when(F.col("terminal"), value).otherwise(F.concat(F.lit("("), "type")))
-    closed = F.when(F.col("terminal"), "").when(F.col("inline") | (F.col("children") == 0), ")").otherwise(F.concat(F.lit("\n"), indent, F.lit(")")))
-    return _texts(rows.withColumn("piece", F.when(F.col("closing"), closed).otherwise(opened)))
+    nodes: doc_id, place, level, type, value, terminal, in preorder; trees of any depth. in_order: they come as sorted_by() leaves them, without place."""
+    return written(nodes if in_order else sorted_by(nodes, "place"), long_text)
 
 
 def compact_lisp(nodes: DataFrame) -> DataFrame:

@@ -33,8 +33,25 @@ def customer_trees(spark, sf):
     return nodes.select("doc_id", place.alias("place"), "level", "type", "value", (F.col("level") == 3).alias("terminal"))
 
 
+def trees_in_order(spark, sf):
+    """The nodes of customer_trees as trees.sorted_by() leaves them: orders are moved with their lines' numbers, and become nodes where they then are."""
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    node = lambda level, kind, value=F.lit(None).cast("string"): F.struct(F.lit(level).alias("level"), kind.alias("type"), value.alias("value"))
+    none = F.array().cast("array<bigint>")
+    orders = tables.read(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("o"))
+    numbers = tables.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").cast("long").alias("l")).groupBy("o").agg(F.collect_set("l").alias("ls"))
+    rows = trees.sorted_by(orders.join(numbers, "o", "left"), "o")
+    rows = rows.withColumn("first", F.row_number().over(Window.partitionBy("doc_id").orderBy("o")) == 1)
+    word = lambda j: node(3, F.concat(F.lit("Tok"), j.cast("string")), pick(VALUES, (F.col("o") + j) % 6))
+    words = lambda x: F.transform(F.when(x % 7 > 0, F.sequence(F.lit(1).cast("long"), x % 7)).otherwise(none), word)
+    own = F.transform(F.sort_array(F.coalesce("ls", none)), lambda x: F.concat(F.array(node(2, pick(LINE_TYPES, x % 3))), words(x)))
+    order = F.concat(F.array(node(1, pick(ORDER_TYPES, F.col("o") % 4))), F.flatten(own))
+    nodes = F.when(F.col("first"), F.concat(F.array(node(0, F.lit("Program"))), order)).otherwise(order)
+    return rows.select("doc_id", F.inline(nodes)).withColumn("terminal", F.col("level") == 3)
+
+
 def tree_texts(spark, sf):
-    return trees.lisp(customer_trees(spark, sf)).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+    return trees.lisp(trees_in_order(spark, sf), in_order=True).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 def compact_tree_texts(spark, sf):

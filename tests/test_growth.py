@@ -97,3 +97,20 @@ def test_counts_of_terms_stay_where_their_text_is(spark):
     for name in ("tfidf_top_terms", "term_share", "bm25_topk", "hybrid_topk"):
         query = {**corpus.QUERIES, **search_plans.QUERIES}[name][0]
         assert not re.search(r"hashpartitioning\(doc_id#\d+L?, term", plan(query(spark, SF))), name
+
+
+def test_tree_texts_move_no_node_and_a_tree_may_go_on_over_batches(spark):
+    found = plan(tree_plans.tree_texts(spark, SF))
+    assert found.count("Exchange hash") <= 3 and found.index("Generate inline") < found.index("Exchange hash")  # nodes come after all that is moved
+    docs = {None: ["r", "x", "y"], "a": ["r"], "b": ["r", *"tuvwxyz"], "": ["r", "'", " "]}
+    rows = [(d, i, min(i, 1), k, k, i > 0) for d, kinds in docs.items() for i, k in enumerate(kinds)]
+    nodes = spark.createDataFrame(rows[::-1], "doc_id string, place int, level int, type string, value string, terminal boolean")
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+        got = {r.doc_id: r.text for r in trees.lisp(nodes.coalesce(1)).collect()}
+        assert got == {None: "(r x y)", "a": "(r)", "b": "(r" + "".join(f"\n  {k}" for k in "tuvwxyz") + "\n)", "": "(r '  )"}
+        assert trees.lisp(nodes.where("place < 0")).collect() == []
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert plan(trees.lisp(nodes)).count("Exchange hash") == 1
