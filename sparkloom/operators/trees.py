@@ -24,7 +24,7 @@ MEANINGLESS = ["", ".", "(", ")", ","]
 MOST_CHILDREN, MOST_TERMINALS = 3, 5
 ATOM = r'"[^"\\]*(?:\\[\s\S][^"\\]*)*"?|[()]|[^\s()"]+'
 ESCAPES = {"n": "\n", "r": "\r", "t": "\t"}
-_TOKEN, _ESCAPE = re.compile(ATOM, re.ASCII), re.compile(r'\\([\s\S]?)|"')
+_TOKEN, _ESCAPE, _QUOTE = re.compile(ATOM, re.ASCII), re.compile(r'\\([\s\S]?)|"'), re.compile("[ '\"]")
 MOST_ROWS = 20_000
 
 
@@ -201,38 +201,6 @@ def analysis(procs: DataFrame, stmts: DataFrame, performs: DataFrame, metadata:
     return both.select("doc_id", text.alias("text"))
 
 
-def events(nodes: DataFrame) -> DataFrame:
-    """The opening (closing = false) and closing of every node, in order of (place, closing, -level). nodes: doc_id, place, level (0: root), type, value, terminal, in preorder."""
-    by = Window.partitionBy("doc_id").orderBy("place")
-    ends = F.sequence(F.col("level").cast("int"), F.coalesce(F.lead("level").over(by), F.lit(0)).cast("int"), F.lit(-1))
-    until = F.when(F.coalesce(F.lead("level").over(by), F.lit(0)) <= F.col("level"), ends).otherwise(F.array().cast("array<int>"))
-    held = nodes.withColumn("ends", until)
-    opening = held.drop("ends").withColumn("closing", F.lit(False))
-    closing = held.select("doc_id", "place", F.explode("ends").alias("level"), F.lit(True).alias("closing"))
-    return opening.withColumn("level", F.col("level").cast("int")).unionByName(closing, allowMissingColumns=True)
-
-
-def shaped(nodes: DataFrame) -> DataFrame:
-    """Events of the nodes with children and terminals of their node, whether it stays on one line, and its parent's place."""
-    found = under(nodes, F.col("level"), F.lit(True))
-    counted = found.where("parent is not null").groupBy("doc_id", F.col("parent").alias("place")).agg(F.count("*").alias("children"), F.count_if("terminal").alias("terminals"))
-    rows = found.join(counted, ["doc_id", "place"], "left").fillna(0, ["children", "terminals"])
-    few = (F.col("children") <= MOST_CHILDREN) | ((F.col("children") == F.col("terminals")) & (F.col("children") <= MOST_TERMINALS))
-    rows = events(rows.withColumn("inline", few | F.col("type").isin(INLINE_TYPES)))
-    of_node = ["type", "terminal", "children", "inline"]
-    by = Window.partitionBy("doc_id", "level").orderBy("place", "closing").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({c: F.last(c, ignorenulls=True).over(by) for c in of_node})  # a closing belongs to the last opening of its level
-
-
-def meaningful(value: Column) -> Column:
-    return value.isNotNull() & ~F.trim(value).isin(MEANINGLESS) & ~F.trim(F.replace(value, F.lit("\n"), F.lit(""))).isin(MEANINGLESS)
-
-
-def _texts(pieces: DataFrame) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("place", "closing", (-F.col("level")).alias("l"), "piece")))
-    return pieces.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("text"))
-
-
 def sorted_by(rows: DataFrame, *order: str) -> DataFrame:
     """Rows moved once, so that a document's are in one task and in order."""
     return rows.repartition("doc_id").sortWithinPartitions("doc_id", *order)
@@ -291,17 +259,16 @@ def _has_meaning(value: str | None) -> bool:
 
 
 def long_text(levels: list[int], types: list[str], values: list[str], terminals: list[bool]) -> str:
-    """The text of lisp() of one tree. A piece of unknown type is left out."""
+    """The text of lisp() of one tree. An unknown type is an empty one."""
     pieces, around = [], []  # around: level, what its children begin with, their indent, closing of each open list
     for level, kind, value, terminal, n, leaves in zip(levels, types, values, terminals, *_children(levels, terminals), strict=True):
         while around and around[-1][0] >= level:
             pieces.append(around.pop()[3])
         _, before, depth, _ = around[-1] if around else (-1, "", 0, "")
-        word = (value if _has_meaning(value) else kind) if terminal else kind
-        if word is not None:
-            pieces += (before, word) if terminal else (before, "(", word)
         if terminal:
+            pieces += (before, value if _has_meaning(value) else kind or "")
             continue
+        pieces += (before, "(", kind or "")
         if n <= MOST_CHILDREN or n == leaves <= MOST_TERMINALS or kind in INLINE_TYPES:
             around.append((level, " ", 0, ")"))
         else:
@@ -316,14 +283,27 @@ def lisp(nodes: DataFrame, in_order: bool = False) -> DataFrame:
     return written(nodes if in_order else sorted_by(nodes, "place"), long_text)
 
 
-def compact_lisp(nodes: DataFrame) -> DataFrame:
-    """doc_id, text: trees as nested lists on one line; wrappers around an only child are left out, values with spaces or quotes are quoted."""
-    rows = shaped(nodes).withColumn("skipped", F.col("type").isin(WRAPPER_TYPES) & (F.col("children") == 1) & ~F.col("terminal"))
-    by = Window.partitionBy("doc_id").orderBy("place", "closing", -F.col("level"))
-    rows = rows.withColumn("after", F.lag(F.col("skipped") & ~F.col("closing"), 1, False).over(by))  # an only child follows its wrapper
-    before = F.when((F.col("level") == 0) | F.col("after"), "").otherwise(" ")
-    plain = F.when(F.col("value").rlike("[ '\"]"), F.concat(F.lit('"'), F.replace("value", F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(F.col("value"))
-    value = F.when(meaningful(F.col("value")), plain).otherwise(F.col("type"))
-    opened = F.concat(before, F.when(F.col("terminal"), value).when(F.col("skipped"), "").otherwise(F.concat(F.lit("("), "type")))
-    closed = F.when(F.col("terminal") | F.col("skipped"), "").otherwise(")")
-    return _texts(rows.withColumn("piece", F.when(F.col("closing"), closed).otherwise(opened)))
+def compact_text(levels: list[int], types: list[str], values: list[str], terminals: list[bool]) -> str:
+    """The text of compact_lisp() of one tree. An unknown type is an empty one."""
+    pieces, around, between = [], [], ""  # around: level, closing of each open list; an only child follows its wrapper without a space
+    for level, kind, value, terminal, n in zip(levels, types, values, terminals, _children(levels, terminals)[0], strict=True):
+        while around and around[-1][0] >= level:
+            pieces.append(around.pop()[1])
+            between = " "
+        before, between = between if around else "", " "
+        if terminal:
+            word = (kind or "") if not _has_meaning(value) else '"' + value.replace('"', '\\"') + '"' if _QUOTE.search(value) else value
+            pieces += (before, word)
+        elif n == 1 and kind in WRAPPER_TYPES:
+            pieces.append(before)
+            between = ""
+            around.append((level, ""))
+        else:
+            pieces += (before, "(", kind or "")
+            around.append((level, ")"))
+    return "".join(pieces + [closing for _, closing in reversed(around)])
+
+
+def compact_lisp(nodes: DataFrame, in_order: bool = False) -> DataFrame:
+    """doc_id, text: trees as nested lists on one line; wrappers around an only child are left out, values with spaces or quotes are quoted. nodes, in_order: as of lisp()."""
+    return written(nodes if in_order else sorted_by(nodes, "place"), compact_text)

@@ -17,24 +17,7 @@ TRICKY = ["C:\\new", "a\tb", 'DISPLAY "X" (1) ; (', "two\nlines\r\n", "\\", '"',
 
 
 def customer_trees(spark, sf):
-    orders = tables.read(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("o"))
-    rows = tables.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").cast("long").alias("l")).distinct().join(orders, "o")
-    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
-    none, text = F.lit(-1).cast("long"), F.lit(None).cast("string")
-    word = rows.select("doc_id", "o", "l", F.explode(F.when(F.col("l") % 7 > 0, F.sequence(F.lit(1).cast("long"), F.col("l") % 7))).alias("j"))
-    parts = [
-        orders.select("doc_id").distinct().select("doc_id", none.alias("o"), none.alias("l"), none.alias("j"), F.lit(0).alias("level"), F.lit("Program").alias("type"), text.alias("value")),
-        orders.select("doc_id", "o", none.alias("l"), none.alias("j"), F.lit(1).alias("level"), pick(ORDER_TYPES, F.col("o") % 4).alias("type"), text.alias("value")),
-        rows.select("doc_id", "o", "l", none.alias("j"), F.lit(2).alias("level"), pick(LINE_TYPES, F.col("l") % 3).alias("type"), text.alias("value")),
-        word.select("doc_id", "o", "l", "j", F.lit(3).alias("level"), F.concat(F.lit("Tok"), F.col("j").cast("string")).alias("type"), pick(VALUES, (F.col("o") + F.col("j")) % 6).alias("value")),
-    ]
-    nodes = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("o", "l", "j"))
-    return nodes.select("doc_id", place.alias("place"), "level", "type", "value", (F.col("level") == 3).alias("terminal"))
-
-
-def trees_in_order(spark, sf):
-    """The nodes of customer_trees as trees.sorted_by() leaves them: orders are moved with their lines' numbers, and become nodes where they then are."""
+    """The nodes of a tree for each customer, as trees.sorted_by() leaves them: orders are moved with their lines' numbers, and become nodes where they then are."""
     pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
     node = lambda level, kind, value=F.lit(None).cast("string"): F.struct(F.lit(level).alias("level"), kind.alias("type"), value.alias("value"))
     none = F.array().cast("array<bigint>")
@@ -51,11 +34,11 @@ def trees_in_order(spark, sf):
 
 
 def tree_texts(spark, sf):
-    return trees.lisp(trees_in_order(spark, sf), in_order=True).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+    return trees.lisp(customer_trees(spark, sf), in_order=True).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 def compact_tree_texts(spark, sf):
-    return trees.compact_lisp(customer_trees(spark, sf)).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+    return trees.compact_lisp(customer_trees(spark, sf), in_order=True).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 def _pick(values, at):

@@ -114,3 +114,12 @@ def test_tree_texts_move_no_node_and_a_tree_may_go_on_over_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
     assert plan(trees.lisp(nodes)).count("Exchange hash") == 1
+
+
+def test_compact_tree_texts_move_no_node(spark):
+    found = plan(tree_plans.compact_tree_texts(spark, SF))
+    assert found.count("Exchange hash") <= 3 and found.index("Generate inline") < found.index("Exchange hash")
+    kinds = [("Identifier", 0), ("Literal", 1), ("t", 2), ("Literal", 0), ("Literal", 1), ("u", 2), ("A", 1), (None, 2)]
+    nodes = spark.createDataFrame([(1, i, level, k, 'say "B"' if k == "u" else None, k in ("t", "u", None)) for i, (k, level) in enumerate(kinds)], "doc_id long, place int, level int, type string, value string, terminal boolean")
+    assert [r.text for r in trees.compact_lisp(nodes.repartition(3)).collect()] == ['t(Literal "say \\"B\\"" (A ))']
+    assert plan(trees.compact_lisp(nodes)).count("Exchange hash") == 1
